@@ -122,9 +122,13 @@ def duplicate_edges(items: DataFrame, settings: Settings = Settings()) -> DataFr
 
 
 def grouped(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members: id, group_id) and (kinds: group_id, kind) of an edge table with reasons."""
+    """(members: id, group_id) and (kinds: group_id, kind) of an edge table with reasons.
+
+    An edge of a looser reason stands for at least one pair that has no closer one, so the
+    loosest reason of a group is its kind.
+    """
     first = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "reason")
-    first = cut(first.groupBy("src", "dst").agg(F.min("reason").alias("reason")))
+    first = cut(first.groupBy("src", "dst").agg(F.max("reason").alias("reason")))
     members = connected_components(first).select(F.col("node").alias("id"), F.col("component").alias("group_id"))
     kinds = (
         first.join(members.withColumnRenamed("id", "src"), "src")

@@ -65,8 +65,8 @@ def split_clusters(
         same = same & F.col(f"_before.{column}").eqNullSafe(F.col(column))
     far = haversine_km(F.col("_before._geo.lat"), F.col("_before._geo.lon"), F.col("_geo.lat"), F.col("_geo.lon"))
     jump = F.coalesce((same & (far > gps_km)).cast("bigint"), F.lit(0))
-    rows = running(rows, jump, "place")
-    return items.join(rows.select(key, "session", "place"), key)
+    rows = cut(running(rows, jump, "place").select(key, "session", "place"))
+    return items.join(rows, key)
 
 
 def absorb(items: DataFrame, windows: DataFrame, ts: str = "taken_at", key: str = "id") -> DataFrame:
