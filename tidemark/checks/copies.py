@@ -55,8 +55,11 @@ def document_items(spark, sf):
 @query("""
 SELECT g AS src, doc_id AS dst FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS g FROM documents) WHERE g <> doc_id""")
 def exact_copies(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha256"))
-    return duplicates.exact_edges(d)
+    none = F.lit(None).cast("bigint")
+    d = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), F.lit("video").alias("kind"), F.sha2("text", 256).alias("sha256"), none.alias("sig"), none.alias("minute")
+    )
+    return duplicates.exact_edges(duplicates.mark_copies(d))
 
 
 @query(f"""WITH {DOC_SQL}, u AS (SELECT sig, min(id) AS id FROM items GROUP BY sig)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -37,33 +39,48 @@ def look_alike(
     return near | F.coalesce(close, F.lit(False))
 
 
-def _greedy(group: list[str], k: int, same_signature: int, same_cos: float, burst_cos: float, burst_seconds: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_rank", ignore_index=True)
-        room = k - int(rows["_have"].iloc[0])
-        sig = rows["sig"]
-        has_sig = sig.notna().to_numpy()
-        bits = sig.fillna(0).astype("int64").to_numpy().view(np.uint64)
-        vecs = [None if v is None else np.asarray(v, dtype=np.float64) for v in rows["vec"]]
-        at = rows["_us"].to_numpy(np.int64)
-        kept: list[int] = []
-        for i in range(len(rows)):
-            if len(kept) >= room:
-                break
-            for j in kept:
-                if has_sig[i] and has_sig[j] and int(np.bitwise_count(bits[i] ^ bits[j])) <= same_signature:
-                    break
-                if vecs[i] is not None and vecs[j] is not None:
-                    cos = float(vecs[i] @ vecs[j])
-                    if cos >= same_cos:
-                        break
-                    if cos >= burst_cos and abs(int(at[i] - at[j])) <= burst_seconds * 1_000_000:
-                        break
-            else:
-                kept.append(i)
-        out = rows.loc[kept, [*group, "id"]].copy()
-        out["pick"] = range(k - room + 1, k - room + 1 + len(kept))
-        return out
+def _greedy(group: list[str], k: int, pool: int, same_signature: int, same_cos: float, burst_cos: float, burst_seconds: int):
+    columns = [*group, "id", "pick", "more"]
+    burst_us = burst_seconds * 1_000_000
+
+    def alike(a, b) -> bool:
+        if a[0] is not None and b[0] is not None and (a[0] ^ b[0]).bit_count() <= same_signature:
+            return True
+        if a[1] is None or b[1] is None:
+            return False
+        cos = float(a[1] @ b[1])
+        return cos >= same_cos or (cos >= burst_cos and abs(a[2] - b[2]) <= burst_us)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come clustered by group and best first; a group may span batches."""
+        current, kept, out, done = None, [], [], []
+        for batch in batches:
+            keys = zip(*[batch[c] for c in group])
+            for key, item, sig, vec, at, rank, have in zip(
+                keys, batch["id"], batch["sig"], batch["vec"], batch["_us"], batch["_rank"], batch["_have"]
+            ):
+                if key != current:
+                    done += out
+                    current, kept, out = key, [], []
+                if rank > pool:
+                    # one row beyond the pool only says that the group goes on
+                    out = [(*row[:-1], True) for row in out]
+                    continue
+                if have + len(kept) >= k:
+                    continue
+                me = (
+                    None if pd.isna(sig) else int(sig) & (1 << 64) - 1,
+                    None if vec is None else np.asarray(vec, dtype=np.float64),
+                    int(at),
+                )
+                if not any(alike(me, other) for other in kept):
+                    kept.append(me)
+                    out.append((*key, item, have + len(kept), False))
+            if done:
+                yield pd.DataFrame(done, columns=columns)
+                done = []
+        if out:
+            yield pd.DataFrame(out, columns=columns)
 
     return run
 
@@ -81,44 +98,40 @@ def diverse_top_k(
     """(group, id, pick): the k best items of each group that look alike to no better pick.
 
     ``items``: group columns, id, score, ts, sig, vec. Each round looks only at the ``pool``
-    best remaining items of a group. Groups that are neither full nor exhausted go on with the
-    items that resemble none of their picks, so every further round adds a pick.
+    best remaining items of a group (the window group limit drops the others before the
+    shuffle). Groups that are neither full nor exhausted go on with the items that resemble
+    none of their picks, so every further round adds a pick.
     """
     pool = pool or 8 * k
     rules = (same_signature, same_cos, burst_cos, burst_seconds)
     by_group = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema if f.name in group)
+    schema = f"{by_group}, id bigint, pick int, more boolean"
     rank = Window.partitionBy(*group).orderBy(F.col("score").desc(), "ts", "id")
     remaining = items.select(*group, "id", "score", "ts", "sig", "vec").withColumn("_have", F.lit(0))
     picks = None
     while True:
-        top = remaining.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= pool)
-        top = top.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
-        new = cut(
-            top.select(*group, "id", "sig", "vec", "_us", "_rank", "_have")
-            .groupBy(*group)
-            .applyInPandas(_greedy(group, k, *rules), f"{by_group}, id bigint, pick int")
+        top = remaining.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= pool + 1)
+        ordered = top.select(
+            *group, "id", "sig", "vec", F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"), "_rank", "_have"
         )
+        # the window leaves the rows clustered by group and sorted by rank
+        new = cut(ordered.mapInPandas(_greedy(group, k, pool, *rules), schema))
         picks = new if picks is None else picks.unionByName(new)
-        reached = picks.groupBy(*group).agg(F.count(F.lit(1)).alias("_picked"))
-        waiting = (
-            remaining.groupBy(*group)
-            .agg(F.count(F.lit(1)).alias("_n"))
-            .where(F.col("_n") > pool)
-            .join(reached, group)
-            .where(F.col("_picked") < k)
-        )
+        latest = new.groupBy(*group).agg(F.max("pick").alias("_have"), F.max("more").alias("_more"))
+        waiting = latest.where(F.col("_more") & (F.col("_have") < k))
         if waiting.isEmpty():
-            return picks
-        details = items.select("id", "sig", "vec", "ts").join(new, "id")
+            return picks.drop("more")
+        details = items.select("id", "sig", "vec", "ts").join(new.join(waiting, group, "left_semi"), "id")
         shown = details.groupBy(*group).agg(F.collect_list(F.struct("sig", "vec", "ts")).alias("_shown"))
         me = {"sig": F.col("sig"), "vec": F.col("vec"), "ts": F.col("ts")}
         repeats = F.exists("_shown", lambda p: look_alike(me, {"sig": p["sig"], "vec": p["vec"], "ts": p["ts"]}, *rules))
+        seen = top.where(F.col("_rank") <= pool).select("id")
         remaining = cut(
             remaining.drop("_have")
-            .join(waiting.select(*group, F.col("_picked").cast("int").alias("_have")), group)
-            .join(top.select("id"), "id", "left_anti")
-            .join(shown, group, "left")
-            .where(F.col("_shown").isNull() | ~repeats)
+            .join(waiting.select(*group, "_have"), group)
+            .join(seen, "id", "left_anti")
+            .join(shown, group)
+            .where(~repeats)
             .drop("_shown")
         )
 

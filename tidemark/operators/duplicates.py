@@ -40,24 +40,22 @@ def duplicate_items(media: DataFrame, quality: DataFrame) -> DataFrame:
     )
 
 
-def _exact_centres(items: DataFrame) -> DataFrame:
-    return (
+def mark_copies(items: DataFrame) -> DataFrame:
+    """Items with the lowest id of their content (``centre``), null where it is unique."""
+    photo_sig = F.when(F.col("kind") == "photo", F.col("sig"))
+    centres = (
         items.where(F.col("sha256").isNotNull())
         .groupBy("sha256")
-        .agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("copies"))
+        .agg(F.min("id").alias("centre"), F.min_by(photo_sig, "id").alias("centre_sig"), F.count(F.lit(1)).alias("copies"))
         .where("copies > 1")
         .drop("copies")
     )
+    return items.select("id", "kind", "sha256", "sig", "minute").join(centres, "sha256", "left")
 
 
-def exact_edges(items: DataFrame) -> DataFrame:
+def exact_edges(marked: DataFrame) -> DataFrame:
     """Star edges (lowest id, other) of byte-identical items."""
-    return (
-        items.select("id", "sha256")
-        .join(_exact_centres(items), "sha256")
-        .where(F.col("id") != F.col("centre"))
-        .select(F.col("centre").alias("src"), F.col("id").alias("dst"))
-    )
+    return marked.where(F.col("id") != F.col("centre")).select(F.col("centre").alias("src"), F.col("id").alias("dst"))
 
 
 def _collapsed(photos: DataFrame, keys: list[str]) -> DataFrame:
@@ -77,18 +75,13 @@ def _collapsed(photos: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _photos(items: DataFrame) -> DataFrame:
-    photos = items.where((F.col("kind") == "photo") & F.col("sig").isNotNull()).select("id", "sha256", "sig", "minute")
-    centres = _exact_centres(items)
-    centre_sig = items.where(F.col("kind") == "photo").select(
-        F.col("id").alias("centre"), F.col("sig").alias("centre_sig")
-    )
-    return photos.join(centres.join(centre_sig, "centre", "left"), "sha256", "left")
+def _photos(marked: DataFrame) -> DataFrame:
+    return marked.where((F.col("kind") == "photo") & F.col("sig").isNotNull())
 
 
-def near_edges(items: DataFrame, threshold: int) -> DataFrame:
+def near_edges(marked: DataFrame, threshold: int) -> DataFrame:
     """Links between similar items that are not already exact pairs."""
-    photos = _photos(items)
+    photos = _photos(marked)
     rows = _collapsed(photos, ["sig"])
     across = hamming_join(rows.select("id", "sig", "sole", "lone"), threshold, above=0, links_only=True)
     # equal signatures: near unless every pair is an exact star edge already
@@ -101,9 +94,9 @@ def near_edges(items: DataFrame, threshold: int) -> DataFrame:
     )
 
 
-def burst_edges(items: DataFrame, near: int, burst: int) -> DataFrame:
+def burst_edges(marked: DataFrame, near: int, burst: int) -> DataFrame:
     """Links between less similar items of the same calendar minute."""
-    rows = _collapsed(_photos(items).where(F.col("minute").isNotNull()), ["minute", "sig"])
+    rows = _collapsed(_photos(marked).where(F.col("minute").isNotNull()), ["minute", "sig"])
     found = hamming_join(
         rows.select("id", "sig", "sole", "lone", "minute"), burst, above=near, by=["minute"], links_only=True
     )
@@ -112,11 +105,12 @@ def burst_edges(items: DataFrame, near: int, burst: int) -> DataFrame:
 
 def duplicate_edges(items: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(src, dst, reason) with reason 0 exact, 1 near, 2 burst."""
-    edges = exact_edges(items).withColumn("reason", F.lit(EXACT)).unionByName(
-        near_edges(items, settings.near_dup_threshold).withColumn("reason", F.lit(NEAR))
+    marked = cut(mark_copies(items))
+    edges = exact_edges(marked).withColumn("reason", F.lit(EXACT)).unionByName(
+        near_edges(marked, settings.near_dup_threshold).withColumn("reason", F.lit(NEAR))
     )
     if settings.burst_enabled and settings.burst_threshold > settings.near_dup_threshold:
-        found = burst_edges(items, settings.near_dup_threshold, settings.burst_threshold)
+        found = burst_edges(marked, settings.near_dup_threshold, settings.burst_threshold)
         edges = edges.unionByName(found.withColumn("reason", F.lit(BURST)))
     return edges
 

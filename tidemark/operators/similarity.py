@@ -12,14 +12,13 @@ compared two blocks at a time, so that no task holds a whole key.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import hamming
+from tidemark.session import cut
 
 SMALL_KEY = 256
 BLOCK_ROWS = 1024
@@ -104,7 +103,8 @@ def hamming_join(
     for column, kind in (("sole", "string"), ("lone", "boolean")):
         if column not in sigs.columns:
             sigs = sigs.withColumn(column, F.lit(None if column == "sole" else False).cast(kind))
-    keyed = sigs.select("id", "sig", "sole", "lone", *by)
+    # read several times below, and far narrower than what it was computed from
+    keyed = cut(sigs.select("id", "sig", "sole", "lone", *by))
     banded = threshold <= BANDED_UP_TO
     if banded:
         keyed = keyed.select("*", _band_keys(threshold).alias("key"))
