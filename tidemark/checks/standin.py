@@ -6,6 +6,8 @@ for occasions, order days for events. Every table is derived from all rows of it
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -227,7 +229,7 @@ MAKERS = {
 
 
 def library(spark: SparkSession, sf_dir: str, settings: Settings = Settings(), without: tuple[str, ...] = ()) -> Library:
-    return Library(spark, {k: make(spark, sf_dir) for k, make in MAKERS.items() if k not in without}, settings)
+    return Library(spark, {k: partial(make, spark, sf_dir) for k, make in MAKERS.items() if k not in without}, settings)
 
 
 # ---------- the same tables in SQL ----------

@@ -178,8 +178,8 @@ def place_in_chapters(rows: DataFrame, stages: DataFrame, day: str, by: list[str
     """
     by = by or []
     low, high = CALENDAR_YEARS
-    first = F.coalesce(_calendar_year(F.col("chapter_start")), F.lit(low))
-    last = F.coalesce(_calendar_year(F.col("chapter_end")), F.lit(high))
+    first = F.when(F.col("chapter_start").isNull(), low).otherwise(_calendar_year(F.col("chapter_start")))
+    last = F.when(F.col("chapter_end").isNull(), high).otherwise(_calendar_year(F.col("chapter_end")))
     spans = (
         chapters(stages, by)
         .withColumnsRenamed({"name": "chapter_name", "kind": "chapter_kind", "start": "chapter_start", "end": "chapter_end"})

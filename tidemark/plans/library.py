@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,13 +15,19 @@ from tidemark.sources import tables
 
 @dataclass(frozen=True)
 class Library:
+    """``tables`` holds DataFrames, or functions that make one when it is first asked for."""
+
     spark: SparkSession
-    tables: dict[str, DataFrame] = field(default_factory=dict)
+    tables: dict[str, DataFrame | Callable[[], DataFrame]] = field(default_factory=dict)
     settings: Settings = Settings()
 
     def __getitem__(self, name: str) -> DataFrame:
         found = self.tables.get(name)
-        return tables.empty(self.spark, name) if found is None else found
+        if found is None:
+            return tables.empty(self.spark, name)
+        if not isinstance(found, DataFrame):
+            found = self.tables[name] = found()
+        return found
 
     def having(self, **changed: DataFrame) -> "Library":
         return replace(self, tables={**self.tables, **changed})
@@ -27,7 +35,7 @@ class Library:
     @classmethod
     def load(cls, spark: SparkSession, base: str, settings: Settings = Settings()) -> "Library":
         """All tables below ``base``; each is read lazily and pruned to what a query needs."""
-        return cls(spark, {name: tables.load(spark, base, name) for name in tables.SCHEMAS}, settings)
+        return cls(spark, {name: partial(tables.load, spark, base, name) for name in tables.SCHEMAS}, settings)
 
     def store(self, base: str, *names: str) -> None:
         for name in names:

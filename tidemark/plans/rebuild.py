@@ -205,7 +205,7 @@ def forget(lib: Library, folder_id: int) -> tuple[Library, DataFrame]:
     from tidemark.operators.changes import forget_folder
     from tidemark.operators.entities import tidy_persons
 
-    left, count = forget_folder(lib.tables, folder_id)
+    left, count = forget_folder({name: lib[name] for name in lib.tables}, folder_id)
     lib = regroup(Library(lib.spark, left, lib.settings))
     lib = lib.having(persons=tidy_persons(lib["persons"], lib["faces"]))
     return rebuild_events(lib)[0], count
