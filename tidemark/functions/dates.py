@@ -15,11 +15,12 @@ MESSENGER_LONG = (
     r"(?i)WhatsApp (?:Image|Video|Audio) (\d{4})-(\d{2})-(\d{2}) at "
     r"(\d{1,2})\.(\d{2})\.(\d{2})(?:\s*([AP]M))?"
 )
-MESSENGER_SHORT = r"(?i)(?:IMG|VID|AUD|PTT|STK)-\d{8}-WA\d+"
+MESSENGER_SHORT = r"(?i)(?:IMG|VID|AUD|PTT|STK)-(\d{8})-WA\d+"
 COMPACT_DATETIME = r"(?<!\d)\d{8}[_\-T ]?\d{6}"
 DASHED_DATETIME = r"(?<!\d)\d{4}-\d{2}-\d{2}[ _\-T]\d{2}[.\-:]\d{2}[.\-:]\d{2}"
 DASHED_DATE = r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)"
 COMPACT_DATE = r"(?<!\d)\d{8}(?!\d)"
+SEPARATORS = "-_:. \tT"
 
 
 def latest_year(now: Column | None = None) -> Column:
@@ -32,33 +33,34 @@ def plausible(ts: Column, max_year: Column | None = None) -> Column:
     return F.when(F.year(ts).between(F.lit(MIN_YEAR), top), ts)
 
 
-def _build(y, mo, d, h, mi, s, max_year) -> Column:
-    # second 60 would roll over to the next minute instead of being refused
-    made = F.when(s < 60, F.try_make_timestamp_ntz(y, mo, d, h, mi, s))
-    return plausible(made, max_year)
+def _parts(digits: Column, with_time: bool) -> list[Column]:
+    """Year to second out of a run of digits."""
+    places = [(1, 4), (5, 2), (7, 2)] + ([(9, 2), (11, 2), (13, 2)] if with_time else [])
+    numbers = [F.substring(digits, at, n).try_cast("int") for at, n in places]
+    return numbers + [F.lit(0)] * (6 - len(numbers))
 
 
-def _from_digits(digits: Column, with_time: bool, max_year: Column | None) -> Column:
-    def part(start, length):
-        return F.substring(digits, start, length).try_cast("int")
+def _make(parts: list[Column]) -> Column:
+    # second 60 would roll over to the next minute instead of being refused
+    return F.when(parts[5] < 60, F.try_make_timestamp_ntz(*parts))
 
-    zero = F.lit(0)
-    clock = (part(9, 2), part(11, 2), part(13, 2)) if with_time else (zero, zero, zero)
-    return _build(part(1, 4), part(5, 2), part(7, 2), *clock, max_year)
+
+def _first_plausible(times: Column, max_year: Column | None) -> Column:
+    top = latest_year() if max_year is None else max_year
+    return F.get(F.filter(times, lambda t: F.year(t).between(F.lit(MIN_YEAR), top)), 0)
 
 
 def parse_exif(value: Column, max_year: Column | None = None) -> Column:
     """'YYYY:MM:DD hh:mm:ss' (also '-' and 'T') at the start of the text; null when not valid."""
-    digits = F.regexp_replace(F.regexp_extract(value, EXIF_PATTERN, 0), r"[^0-9]", "")
-    return _from_digits(digits, True, max_year)
+    digits = F.array(F.translate(F.regexp_extract(value, EXIF_PATTERN, 0), SEPARATORS, ""))
+    return _first_plausible(F.transform(digits, lambda d: _make(_parts(d, True))), max_year)
 
 
-def _first_valid(name: Column, pattern: str, with_time: bool, max_year: Column | None) -> Column:
-    hits = F.regexp_extract_all(name, F.lit(pattern), F.lit(0))
-    times = F.transform(
-        hits, lambda m: _from_digits(F.regexp_replace(m, r"[^0-9]", ""), with_time, max_year)
-    )
-    return F.get(F.filter(times, lambda t: t.isNotNull()), 0)
+def _first_valid(name: Column, pattern: str, group: int, with_time: bool, max_year: Column | None) -> Column:
+    # one step per transform, so that nothing is computed twice within a step
+    hits = F.regexp_extract_all(name, F.lit(pattern), F.lit(group))
+    digits = F.transform(hits, lambda m: F.translate(m, SEPARATORS, ""))
+    return _first_plausible(F.transform(digits, lambda d: _make(_parts(d, with_time))), max_year)
 
 
 def _messenger_long(name: Column, max_year: Column | None) -> Column:
@@ -70,18 +72,19 @@ def _messenger_long(name: Column, max_year: Column | None) -> Column:
 
     half = F.upper(group(7))
     hour = F.when(half == "", number(4)).otherwise(number(4) % 12 + F.when(half == "PM", 12).otherwise(0))
-    return _build(number(1), number(2), number(3), hour, number(5), number(6), max_year)
+    made = _make([number(1), number(2), number(3), hour, number(5), number(6)])
+    return F.when(F.lower(name).contains("whatsapp"), _first_plausible(F.array(made), max_year))
 
 
 def date_from_name(name: Column, max_year: Column | None = None) -> Column:
     """First valid timestamp spelled in a file name."""
     return F.coalesce(
         _messenger_long(name, max_year),
-        _first_valid(name, MESSENGER_SHORT, False, max_year),
-        _first_valid(name, COMPACT_DATETIME, True, max_year),
-        _first_valid(name, DASHED_DATETIME, True, max_year),
-        _first_valid(name, DASHED_DATE, False, max_year),
-        _first_valid(name, COMPACT_DATE, False, max_year),
+        _first_valid(name, MESSENGER_SHORT, 1, False, max_year),
+        _first_valid(name, COMPACT_DATETIME, 0, True, max_year),
+        _first_valid(name, DASHED_DATETIME, 0, True, max_year),
+        _first_valid(name, DASHED_DATE, 0, False, max_year),
+        _first_valid(name, COMPACT_DATE, 0, False, max_year),
     )
 
 

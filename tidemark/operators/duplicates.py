@@ -61,15 +61,15 @@ def exact_edges(marked: DataFrame) -> DataFrame:
 def _collapsed(photos: DataFrame, keys: list[str]) -> DataFrame:
     """One row per distinct ``keys``: its lowest item and what tells copies apart.
 
-    ``sole`` is the only content hash in the row, if there is just one; ``lone`` marks a row
-    that is nothing but the centre of an exact star. Two rows of one content, one of them
-    lone, consist of exact pairs only.
+    ``sole`` is the centre of the only content in the row, if there is just one and it has
+    copies; ``lone`` marks a row that is nothing but such a centre. Two rows of one content,
+    one of them lone, consist of exact pairs only.
     """
     hashes = F.min("sha256") == F.max("sha256")
     return photos.groupBy(*keys).agg(
         F.min("id").alias("id"),
         F.count(F.lit(1)).alias("size"),
-        F.when(hashes & (F.count("sha256") == F.count(F.lit(1))), F.min("sha256")).alias("sole"),
+        F.when(hashes & (F.count("sha256") == F.count(F.lit(1))), F.min("centre")).alias("sole"),
         ((F.count(F.lit(1)) == 1) & F.max(F.coalesce(F.col("id") == F.col("centre"), F.lit(False)))).alias("lone"),
         F.count_if((F.col("id") != F.col("centre")) & (F.col("sig") == F.col("centre_sig"))).alias("star"),
     )

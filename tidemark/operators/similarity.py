@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import hamming
@@ -23,6 +23,7 @@ from tidemark.session import cut
 SMALL_KEY = 256
 BLOCK_ROWS = 1024
 BANDED_UP_TO = 11
+NO_CENTRE = -(1 << 63)
 
 
 def _bands(threshold: int) -> list[tuple[int, int]]:
@@ -32,17 +33,43 @@ def _bands(threshold: int) -> list[tuple[int, int]]:
     return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:])]
 
 
-def _band_keys(threshold: int):
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >= 1 << 63 else bits
+
+
+def _band_values(threshold: int) -> list[Column]:
+    """The key of each band's own value. Bands below 64 bits carry their number above bit 40."""
     keys = []
     for number, (low, width) in enumerate(_bands(threshold)):
-        mask = (1 << width) - 1
-        mask = mask - (1 << 64) if mask >= 1 << 63 else mask
-        value = F.shiftrightunsigned("sig", low).bitwiseAND(F.lit(mask).cast("bigint"))
-        flips = [1 << i for i in range(width)]
-        flips = [f - (1 << 64) if f >= 1 << 63 else f for f in flips]
-        near = [value] + [value.bitwiseXOR(F.lit(f).cast("bigint")) for f in flips]
-        keys += [F.struct(F.lit(number).alias("band"), v.alias("value")) for v in near]
-    return F.explode(F.array(*keys))
+        value = F.shiftrightunsigned("sig", low).bitwiseAND(F.lit(_signed((1 << width) - 1)).cast("bigint"))
+        keys.append(value if width == 64 else value.bitwiseOR(F.lit(number << 40).cast("bigint")))
+    return keys
+
+
+def _around(key: Column, width: int) -> list[Column]:
+    """A band key and all keys one bit away."""
+    return [key] + [key.bitwiseXOR(F.lit(_signed(1 << i)).cast("bigint")) for i in range(width)]
+
+
+def _keys(threshold: int) -> Column:
+    widths = [w for _, w in _bands(threshold)]
+    return F.array(*[k for value, w in zip(_band_values(threshold), widths) for k in _around(value, w)])
+
+
+def _crowded_keys(sigs: DataFrame, threshold: int, by: list[str]) -> DataFrame:
+    """Keys that may be shared by more than SMALL_KEY rows.
+
+    A key gathers the rows of its own value and of those one bit away. If none of these values
+    is shared by many rows, the key cannot be crowded, so only the values are counted.
+    """
+    widths = [w for _, w in _bands(threshold)]
+    values = sigs.select(*by, F.posexplode(F.array(*_band_values(threshold))).alias("band", "key"))
+    busy = values.groupBy(*by, "band", "key").agg(F.count(F.lit(1)).alias("n"))
+    busy = busy.where(F.col("n") * (max(widths) + 1) > SMALL_KEY)
+    around = F.array()
+    for number, width in enumerate(widths):
+        around = F.when(F.col("band") == number, F.array(*_around(F.col("key"), width))).otherwise(around)
+    return busy.select(*by, F.explode(around).alias("key")).distinct()
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -70,9 +97,9 @@ def _compare_blocks(above: int, threshold: int, links_only: bool):
         hit = np.triu((dist > above) & (dist <= threshold), 1)
         if not same:
             hit &= block[:, None] != block[None, :]
-        sole = rows["sole"].to_numpy()
+        sole = rows["sole"].to_numpy(np.int64)
         lone = rows["lone"].to_numpy(bool)
-        known = sole != None  # noqa: E711
+        known = sole != NO_CENTRE
         copies = (sole[:, None] == sole[None, :]) & known[:, None] & (lone[:, None] | lone[None, :])
         a, b = np.nonzero(hit & ~copies)
         if links_only:
@@ -100,25 +127,25 @@ def hamming_join(
     instead of all of its pairs, so that its output stays linear.
     """
     by = by or []
-    for column, kind in (("sole", "string"), ("lone", "boolean")):
+    for column, kind in (("sole", "bigint"), ("lone", "boolean")):
         if column not in sigs.columns:
             sigs = sigs.withColumn(column, F.lit(None if column == "sole" else False).cast(kind))
     # read several times below, and far narrower than what it was computed from
-    keyed = cut(sigs.select("id", "sig", "sole", "lone", *by))
+    sigs = cut(sigs.select("id", "sig", F.coalesce("sole", F.lit(NO_CENTRE)).alias("sole"), "lone", *by))
     banded = threshold <= BANDED_UP_TO
+    on = [*by, "key"]
     if banded:
-        keyed = keyed.select("*", _band_keys(threshold).alias("key"))
+        keyed = sigs.select("*", F.explode(_keys(threshold)).alias("key"))
+        crowded = _crowded_keys(sigs, threshold, by)
     else:
-        keyed = keyed.withColumn("key", F.lit(0))
-    on = [*by, "key"]
-    sizes = keyed.groupBy(*on).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    keyed = keyed.join(sizes, on)
+        keyed = sigs.withColumn("key", F.lit(0).cast("bigint"))
+        crowded = keyed.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL_KEY).drop("n")
 
-    few = keyed.where(F.col("size") <= SMALL_KEY)
+    few = keyed.join(crowded, on, "left_anti")
     left = few.select(*on, *[F.col(c).alias(f"{c}_a") for c in ("id", "sig", "sole", "lone")])
     right = few.select(*on, *[F.col(c).alias(f"{c}_b") for c in ("id", "sig", "sole", "lone")])
     distance = hamming(F.col("sig_a"), F.col("sig_b"))
-    linked = F.coalesce(F.col("sole_a") == F.col("sole_b"), F.lit(False)) & (F.col("lone_a") | F.col("lone_b"))
+    linked = (F.col("sole_a") != NO_CENTRE) & (F.col("sole_a") == F.col("sole_b")) & (F.col("lone_a") | F.col("lone_b"))
     pairs = (
         left.join(right, on)
         .where((F.col("id_a") < F.col("id_b")) & (distance > above) & (distance <= threshold) & ~linked)
@@ -126,15 +153,16 @@ def hamming_join(
     )
 
     blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
+    busy = keyed.join(crowded, on, "left_semi")
     many = (
-        keyed.where(F.col("size") > SMALL_KEY)
+        busy.join(busy.groupBy(*on).agg(F.count(F.lit(1)).alias("size")), on)
         .withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .withColumn("lo", F.least("block", "other"))
         .withColumn("hi", F.greatest("block", "other"))
     )
-    crowded = many.groupBy(*on, "lo", "hi").applyInPandas(
+    compared = many.groupBy(*on, "lo", "hi").applyInPandas(
         _compare_blocks(above, threshold, links_only), "a bigint, b bigint, distance int"
     )
-    out = pairs.unionByName(crowded)
+    out = pairs.unionByName(compared)
     return out.dropDuplicates(["a", "b"]) if banded else out
