@@ -77,10 +77,12 @@ def assign_entities(
     link: float = LINK_THRESHOLD,
     seed_quality: float = SEED_QUALITY,
     min_moments: int = MIN_MOMENTS,
+    last_id: int = 0,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Match to known people, cluster the rest, match again. Assigned faces never move.
 
-    Returns (faces, persons, summary).
+    New people get ids above ``last_id`` and above all present ones. Returns (faces, persons,
+    summary).
     """
     dim = vector_size(faces, "embedding")
     columns = faces.columns
@@ -89,7 +91,7 @@ def assign_entities(
 
     rows = cut(_match(rows, persons, dim, match))
     found = new_clusters(rows, dim, link, seed_quality, min_moments)
-    top = persons.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
+    top = max(last_id, persons.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"])
     leads = dense_index(
         found.select("cluster", "lead_quality").distinct(), [F.col("lead_quality").desc(), F.col("cluster")]
     ).select("cluster", (F.lit(top) + 1 + F.col("_idx")).alias("new_id"))
@@ -128,8 +130,12 @@ def tidy_persons(persons: DataFrame, faces: DataFrame) -> DataFrame:
     )
 
 
-def recluster_unnamed(faces: DataFrame, persons: DataFrame, dup_members: DataFrame, **thresholds):
-    """Dissolve automatic assignments to unnamed, visible people and cluster again."""
+def recluster_unnamed(faces: DataFrame, persons: DataFrame, dup_members: DataFrame, last_id: int = 0, **thresholds):
+    """Dissolve automatic assignments to unnamed, visible people and cluster again.
+
+    Ids of dissolved people are not used again.
+    """
+    last_id = max(last_id, persons.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"])
     unnamed = persons.where(F.col("name").isNull() & ~F.col("hidden")).select(
         F.col("id").alias("person_id"), F.lit(True).alias("_unnamed")
     )
@@ -137,7 +143,7 @@ def recluster_unnamed(faces: DataFrame, persons: DataFrame, dup_members: DataFra
     dissolve = F.col("_unnamed") & (F.col("assigned_by") == "auto")
     loosened = loosened.withColumn("person_id", F.when(F.coalesce(dissolve, F.lit(False)), None).otherwise(F.col("person_id")))
     loosened = cut(loosened.select(*faces.columns))
-    return assign_entities(loosened, tidy_persons(persons, loosened), dup_members, **thresholds)
+    return assign_entities(loosened, tidy_persons(persons, loosened), dup_members, last_id=last_id, **thresholds)
 
 
 def likely_mistakes(faces: DataFrame, media: DataFrame, dim: int) -> DataFrame:

@@ -141,7 +141,9 @@ def hamming_join(
         keyed = sigs.withColumn("key", F.lit(0).cast("bigint"))
         crowded = keyed.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL_KEY).drop("n")
 
-    few = keyed.join(crowded, on, "left_anti")
+    crowded = cut(crowded)
+    quiet = crowded.isEmpty()
+    few = keyed if quiet else keyed.join(crowded, on, "left_anti")
     left = few.select(*on, *[F.col(c).alias(f"{c}_a") for c in ("id", "sig", "sole", "lone")])
     right = few.select(*on, *[F.col(c).alias(f"{c}_b") for c in ("id", "sig", "sole", "lone")])
     distance = hamming(F.col("sig_a"), F.col("sig_b"))
@@ -153,6 +155,9 @@ def hamming_join(
     )
 
     blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
+    if quiet:
+        return pairs.dropDuplicates(["a", "b"]) if banded else pairs
+
     busy = keyed.join(crowded, on, "left_semi")
     many = (
         busy.join(busy.groupBy(*on).agg(F.count(F.lit(1)).alias("size")), on)

@@ -55,8 +55,9 @@ def attach_results(lib: Library, quality: DataFrame, signatures: DataFrame, embe
 def run_analysis(lib: Library, classes: DataFrame | None = None) -> tuple[Library, DataFrame]:
     """Rebuild all derived tables and report one row of counts."""
     lib = regroup(lib)
-    faces, persons, people = entities.assign_entities(lib["faces"], lib["persons"], lib["dup_members"])
+    faces, persons, people = entities.assign_entities(lib["faces"], lib["persons"], lib["dup_members"], last_id=lib.top_id("persons"))
     lib = lib.having(faces=cut(faces), persons=cut(persons))
+    lib = lib.marked("persons", lib.top_id("persons"))
     if classes is not None:
         lib = retag(lib, classes)
         lib = lib.having(media_tags=cut(lib["media_tags"]))

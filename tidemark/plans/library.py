@@ -8,7 +8,10 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import curation, duplicates
+from tidemark.operators.edits import highest_id
 from tidemark.params import Settings
 from tidemark.sources import tables
 
@@ -41,6 +44,18 @@ class Library:
         for name in names:
             tables.store(self[name], base, name)
 
+    # ---------- ids ----------
+
+    def top_id(self, name: str) -> int:
+        """Highest id that a table has or ever had."""
+        mark = self["id_marks"].where(F.col("name") == name).agg(F.max("top").alias("top")).first()["top"]
+        return max(mark or 0, highest_id(self[name]))
+
+    def marked(self, name: str, top: int) -> "Library":
+        row = self.spark.createDataFrame([(name, top)], tables.SCHEMAS["id_marks"])
+        kept = self["id_marks"].where(F.col("name") != name)
+        return self.having(id_marks=kept.unionByName(row))
+
     # ---------- shared intermediates ----------
 
     def hidden(self) -> DataFrame:

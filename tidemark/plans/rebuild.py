@@ -155,7 +155,8 @@ def rebuild_events(lib: Library, by: list[str] | None = None) -> tuple[Library,
     old = lib["event_media"].join(open_events.select(F.col("id").alias("event_id"), "kind"), "event_id")
     old = old.select(F.col("media_id").alias("id"), "event_id", "kind")
     reused = sessions.reuse_ids(groups.select("group_id", "kind", "position"), placed.select("id", "group_id"), old)
-    fresh = allocate(groups.join(reused, "group_id", "left_anti"), [F.col("position")], highest_id(events), "event_id")
+    top = lib.top_id("events")
+    fresh = allocate(groups.join(reused, "group_id", "left_anti"), [F.col("position")], top, "event_id")
     ids = cut(reused.unionByName(fresh.select("group_id", "event_id")))
 
     auto = F.lit("auto").alias("assigned_by")
@@ -173,6 +174,7 @@ def rebuild_events(lib: Library, by: list[str] | None = None) -> tuple[Library,
     lib = lib.having(event_media=cut(membership), events=kept.unionByName(created, allowMissingColumns=True))
     out = refresh_events(lib)
     out = out.having(events=cut(out["events"]))
+    out = out.marked("events", max(top, highest_id(out["events"])))
     old_ids = events.select("id", "locked")
     summary = out["events"].join(old_ids.select("id", F.lit(True).alias("_old")), "id", "left").agg(
         F.count(F.lit(1)).alias("events"), F.count_if(F.col("_old").isNull()).alias("created")

@@ -37,6 +37,8 @@ SCHEMAS = {
     "festivals": "id long, festival string, year int, date date, start date, end date, user_edited boolean",
     "stages": "id long, name string, start date, kind string, suggested boolean, created_at timestamp_ntz",
     "settings": "key string, value string",
+    # highest id ever given out per table, so that ids of deleted rows are not used again
+    "id_marks": "name string, top long",
 }
 
 
