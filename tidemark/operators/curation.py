@@ -240,7 +240,9 @@ def thin_sequence(
     )
     rows = dense_index(narrow, [*map(F.col, by), F.col(ts), F.col(key)])
     rows = cut(rows.withColumn("_chunk", F.floor(F.col("_idx") / chunk_rows)).drop(ts))
-    states = rows.select("_chunk", *by, "_us", "_print", key)
+    # aliases keep the two sides of the cogroup apart
+    columns = ["_chunk", *by, "_us", "_print", key]
+    states = rows.select(*[F.col(c).alias(c) for c in columns])
     entry = states.limit(0)
     before = None
     run = _thin(by, key, window_s, max_diff)
@@ -259,5 +261,5 @@ def thin_sequence(
             break
         before = ends
         handed = ends.where("state is not null").select((F.col("_chunk") + 1).alias("_chunk"), F.col("state").alias(key))
-        entry = handed.join(states.drop("_chunk"), key).select("_chunk", *by, "_us", "_print", key)
+        entry = handed.join(states.drop("_chunk"), key).select(*[F.col(c).alias(c) for c in columns])
     return items.join(done.where("kept").select(key), key, "left_semi")
