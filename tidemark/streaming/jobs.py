@@ -77,7 +77,7 @@ def stream_absorb(stream: DataFrame, windows: DataFrame, ts: str = "ts", key: st
 
 
 class _Thinning(StatefulProcessor):
-    """Keeps the last kept fingerprint of an owner for as long as it can suppress others."""
+    """Keeps the last kept fingerprint of an owner: one row of state per owner."""
 
     def __init__(self, window_s: float, max_diff: float):
         self.window_us = int(window_s * 1_000_000)
@@ -124,7 +124,7 @@ def stream_thin(stream: DataFrame, owner: str, fingerprint: str, window_s: float
         statefulProcessor=_Thinning(window_s, max_diff),
         outputStructType=f"owner {owner_type}, id bigint, us bigint",
         outputMode="Append",
-        timeMode="ProcessingTime",
+        timeMode="None",
     )
 
 
