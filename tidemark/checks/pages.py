@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from tidemark.checks.calendar import DAYS, STAGE_ROWS, _stages, calendar_sql
 from tidemark.checks.registry import big, day_text, query, time_text
 from tidemark.checks.standin import library, table, with_tables
-from tidemark.operators import browse, entities, rollups, storyboard
-from tidemark.plans import views
+from tidemark.operators import browse, changes, edits, entities, rollups, storyboard
+from tidemark.operators.ordering import dense_index
 from tidemark.params import Settings
+from tidemark.plans import rebuild, views
 
 
 @query(with_tables(["media"], """
@@ -92,11 +93,9 @@ SELECT row_number() OVER (ORDER BY name IS NULL, coalesce(pc, 0) DESC, coalesce(
 FROM persons LEFT JOIN s ON s.person_id = id WHERE NOT hidden"""))
 def entity_directory(spark, sf):
     """Visible people in display order."""
-    from pyspark.sql import Window
-
     people, _ = views.people_list(library(spark, sf))
-    order = Window.orderBy(F.col("name").isNull(), F.col("photo_count").desc(), F.coalesce("name", F.lit("")), "id")
-    return people.select(big(F.row_number().over(order), "position"), "id", "name", "face_count", "photo_count")
+    order = [F.col("name").isNull(), F.col("photo_count").desc(), F.coalesce("name", F.lit("")), F.col("id")]
+    return dense_index(people, order).select((F.col("_idx") + 1).alias("position"), "id", "name", "face_count", "photo_count")
 
 
 @query(with_tables(["media", "faces", "persons"], """
@@ -226,3 +225,70 @@ def storyboard_plan(spark, sf):
     """Cards, slides, pairs and clips of the whole collection with their start times."""
     rows = storyboard.storyboard(browse.live(library(spark, sf)["media"], clean=True))
     return rows.select("position", "segment", "first_id", "second_id", big("year"), "duration", F.round("start", 2).alias("start"))
+
+
+@query(calendar_sql([*EVENT_TABLES, "festivals", "recurring"], SUMMARY + """
+SELECT media_id, event_id, title FROM event_media JOIN summary ON summary.id = event_id"""))
+def item_events(spark, sf):
+    """The event of every item, with its title."""
+    return views.item_event(library(spark, sf)).select("media_id", "event_id", "title")
+
+
+@query(with_tables(["events"], "").replace("events AS MATERIALIZED", "events_ AS MATERIALIZED") + """
+SELECT DISTINCT CAST(y AS BIGINT) AS year FROM (SELECT year(start_at) AS y FROM events_ UNION ALL SELECT year(end_at) FROM events_)""")
+def event_years(spark, sf):
+    return rollups.distinct_years(library(spark, sf)["events"], "start_at", "end_at").select(big("year"))
+
+
+@query(calendar_sql(["events", "event_media"], """
+SELECT e.id, strftime(CASE WHEN e.id % 50 = 0 THEN least(e.start_at - INTERVAL 2 HOUR, min(taken_at)) ELSE min(taken_at) END, '%Y-%m-%d %H:%M:%S') AS start_at,
+  strftime(CASE WHEN e.id % 50 = 0 THEN greatest(e.end_at - INTERVAL 2 HOUR, max(taken_at)) ELSE max(taken_at) END, '%Y-%m-%d %H:%M:%S') AS end_at
+FROM events_ e JOIN event_media ON event_id = e.id JOIN media m ON m.id = media_id AND NOT missing GROUP BY e.id, e.start_at, e.end_at"""))
+def fitted_events(spark, sf):
+    """Event ranges fitted to their live members; locked custom ones only widen."""
+    lib = library(spark, sf)
+    early = F.timestamp_add("HOUR", F.lit(-2), F.col("start_at")).cast("timestamp_ntz")
+    ends = F.timestamp_add("HOUR", F.lit(-2), F.col("end_at")).cast("timestamp_ntz")
+    custom = lib["events"].withColumn("kind", F.when(F.col("locked"), "custom").otherwise(F.col("kind")))
+    custom = custom.withColumn("start_at", early).withColumn("end_at", ends)
+    members = lib.live_members()
+    rows = rebuild.fit_events(custom, members).join(members.select(F.col("event_id").alias("id")).distinct(), "id")
+    return rows.select("id", time_text("start_at").alias("start_at"), time_text("end_at").alias("end_at"))
+
+
+@query(with_tables(["media", "faces"], """
+SELECT m.id AS media_id, count(f.id) AS faces, round(avg(CASE WHEN size_px >= 20 THEN CASE WHEN assigned_by='user' THEN 1.0 ELSE 0.0 END END), 6) AS eyes_open,
+  round(avg(CASE WHEN size_px >= 20 THEN quality END), 6) AS subject_sharpness FROM media m LEFT JOIN faces f ON f.media_id = m.id GROUP BY 1"""))
+def subject_quality(spark, sf):
+    """Judged sub-objects of every item."""
+    lib = library(spark, sf)
+    faces = lib["faces"].withColumn("eyes_open", F.col("assigned_by") == "user").withColumn("sharpness", F.col("quality"))
+    rows = entities.subject_quality(lib["media"], faces, 20)
+    return rows.select("media_id", "faces", F.round("eyes_open", 6).alias("eyes_open"), F.round("subject_sharpness", 6).alias("subject_sharpness"))
+
+
+@query(with_tables(["media", "dup_members"], """,
+p AS (SELECT group_id, max(media_id) AS pin FROM dup_members GROUP BY 1)
+SELECT m.id, CASE WHEN d.media_id IS NOT NULL THEN m.id = p.pin ELSE pinned_best END AS pinned FROM media m LEFT JOIN dup_members d ON d.media_id = m.id LEFT JOIN p USING (group_id)"""))
+def pinned_items(spark, sf):
+    """Items after pinning the newest member of every group."""
+    lib = library(spark, sf)
+    pins = lib["dup_members"].groupBy("group_id").agg(F.max("media_id").alias("media_id")).withColumn("ts", F.lit(1))
+    media, _ = edits.pin_best(lib["media"], lib["dup_members"], pins)
+    return media.select("id", F.col("pinned_best").alias("pinned"))
+
+
+@query(with_tables(["media", "faces", "media_tags"], """
+SELECT 'media' AS name, count(*) AS n FROM media WHERE folder_id <> 2
+UNION ALL SELECT 'faces', count(*) FROM faces WHERE media_id NOT IN (SELECT id FROM media WHERE folder_id = 2)
+UNION ALL SELECT 'media_tags', count(*) FROM media_tags WHERE media_id NOT IN (SELECT id FROM media WHERE folder_id = 2)
+UNION ALL SELECT 'forgotten', count(*) FROM media WHERE folder_id = 2"""))
+def forgotten_folder(spark, sf):
+    """Rows that stay in each table after forgetting one folder."""
+    lib = library(spark, sf)
+    names = ("media", "faces", "media_tags")
+    left, gone = changes.forget_folder({n: lib[n] for n in names}, 2)
+    out = gone.select(F.lit("forgotten").alias("name"), F.col("media_forgotten").alias("n"))
+    for n in names:
+        out = out.unionByName(left[n].agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n"))
+    return out

@@ -38,6 +38,15 @@ def dense_index(df: DataFrame, order: list[Column], name: str = INDEX, partition
     )
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` in which null keys are equal, so that no row is lost."""
+    named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(named[f"_r_{k}"])
+    return left.join(named, on).drop(*[f"_r_{k}" for k in keys])
+
+
 def _chunked(df: DataFrame, index: str, rows: int) -> DataFrame:
     return df.withColumn("_chunk", F.floor(F.col(index) / rows))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import haversine_km, valid_geo
-from tidemark.operators.ordering import carried_last, dense_index, running
+from tidemark.operators.ordering import carried_last, dense_index, join_same, running
 from tidemark.session import cut
 
 
@@ -35,7 +35,7 @@ def gap_sessions(items: DataFrame, gap_hours: float, by: list[str] | None = None
     numbered = spans.withColumn("_split", split).select(
         *by, "_bucket", (F.sum("_split").over(along) + 1).alias("session")
     )
-    return bucketed.join(numbered, [*by, "_bucket"]).drop("_bucket")
+    return join_same(bucketed, numbered, [*by, "_bucket"]).drop("_bucket")
 
 
 def split_clusters(
@@ -120,14 +120,14 @@ def roll_up_small(
     kinds = marked.select(*keys, "cluster", F.when(keep, "auto").otherwise("moments").alias("kind"))
     month = F.when(F.col("kind") == "moments", F.trunc(F.col(ts), "MONTH"))
     placed = (
-        clustered.join(kinds, keys)
+        join_same(clustered, kinds, keys)
         .withColumn("_month", month)
         .withColumn("_cluster", F.when(F.col("kind") == "auto", F.col("cluster")))
         .select(*by, key, ts, "kind", "_month", "_cluster")
     )
     bucket = [*by, "_month"]
     months = placed.where("kind = 'moments'").groupBy(*bucket).agg(F.min(key).alias("_first"))
-    moments = placed.where("kind = 'moments'").join(months, bucket).select(key, "kind", F.col("_first").alias("group_id"))
+    moments = join_same(placed.where("kind = 'moments'"), months, bucket).select(key, "kind", F.col("_first").alias("group_id"))
     autos = placed.where("kind = 'auto'").select(key, "kind", F.col("_cluster").alias("group_id"))
     return autos.unionByName(moments)
 
