@@ -17,18 +17,20 @@ CHUNK_ROWS = 1 << 20
 
 
 def dense_index(df: DataFrame, order: list[Column], name: str = INDEX, partitions: int | None = None) -> DataFrame:
-    """Add the 0-based position of every row in ``order`` (which must be a total order)."""
-    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Add the 0-based position of every row in ``order`` (which must be a total order).
+
+    Without a number of partitions, adaptive execution may merge neighbouring ranges.
+    """
+    spread = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     placed = cut(
-        df.repartitionByRange(parts, *order)
-        .sortWithinPartitions(*order)
+        spread.sortWithinPartitions(*order)
         # partition number in the upper bits, position within the partition in the lower 33
         .withColumn("_place", F.monotonically_increasing_id())
     )
     part = F.shiftright("_place", 33)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per range partition: at most ``parts`` rows
+    # one row per range partition: at most as many as there are shuffle partitions
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     return (
         placed.withColumn("_part", part)
