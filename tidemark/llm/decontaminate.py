@@ -131,10 +131,12 @@ class Items:
         ids = np.fromiter((get(w, -1) for words in split for w in (*words, b" ")), np.int64, int(counts.sum()))
         ends = np.cumsum(counts)
         item, place, at = self._hits(ids)
+        if not len(item):
+            return []
         text = np.searchsorted(ends, at, "right")
         order = np.lexsort((place, at - place, item, text))
         item, place, at, text = item[order], place[order], at[order], text[order]
-        pair = np.flatnonzero(np.r_[True, (np.diff(item) != 0) | (np.diff(text) != 0)]) if len(item) else np.zeros(0, np.int64)
+        pair = np.flatnonzero(np.r_[True, (np.diff(item) != 0) | (np.diff(text) != 0)])
         found = []
         for a, b in zip(pair.tolist(), [*pair[1:].tolist(), len(item)], strict=True):
             own, least = self.words[item[a]], self.least[item[a]]
