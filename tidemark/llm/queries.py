@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, materialise, mixing, simhash, toxicity
+from tidemark.llm import decontaminate, fuzzy_lines, licenses, materialise, mixing, simhash, tool_calls, toxicity, warc, winnowing
 from tidemark.llm.common import read
 
 QUERIES = {}
@@ -46,3 +46,76 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+# what the tools of the derived calls accept
+_SCHEMAS = [
+    ("search", '{"type":"object","required":["query","limit"],"additionalProperties":false,"properties":{"query":{"type":"string","minLength":1},"limit":{"type":"integer","minimum":1,"maximum":50}}}'),
+    ("lookup", '{"type":"object","required":["key"],"properties":{"key":{"type":"integer","minimum":0},"fields":{"type":"array","items":{"type":"string","maxLength":12}}}}'),
+    ("note", '{"type":"object","required":["body","share"],"properties":{"body":{"type":"string"},"share":{"type":"number","maximum":4},"kind":{"enum":["plain","rich"]}}}'),
+]
+
+
+def derived_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results in the conversations: each assistant turn calls a tool with its text, the turn after it has the result.
+
+    Every call needs the result of the assistant's turn before; each seventh turn names that of its own result's turn, which is no call.
+    """
+    size = F.size(F.split(F.coalesce("text", F.lit("")), r"\s+"))
+    call = F.concat_ws("-", F.lit("call"), "conv_id", "turn")
+    kind = F.element_at(F.array(F.lit("search"), F.lit("lookup"), F.lit("note"), F.lit("sort")), (F.pmod(F.floor(F.col("turn") / 2), F.lit(4)) + 1).cast("int"))
+    arguments = (
+        F.when(kind == "search", F.to_json(F.struct(F.col("text").alias("query"), size.alias("limit"))))
+        .when(kind == "lookup", F.to_json(F.struct(F.split("text", r"\s+").alias("fields"), F.col("conv_id").alias("key"))))
+        .otherwise(F.to_json(F.struct((size / 16).alias("share"), F.col("text").alias("body"), F.lit("plain").alias("kind"))))
+    )
+    before = F.concat_ws("-", F.lit("call"), "conv_id", F.col("turn") - 2)
+    odd = F.concat_ws("-", F.lit("call"), "conv_id", F.col("turn") + 1)
+    calls = turns.where("role = 'assistant'").select(
+        "conv_id", F.col("turn").alias("pos"), call.alias("call_id"), kind.alias("name"), arguments.alias("arguments"),
+        F.when(F.pmod("turn", F.lit(7)) == 0, F.array(before, odd)).otherwise(F.array(before)).alias("needs"),
+    )
+    results = turns.where("role = 'user' and turn > 0").select(
+        "conv_id", F.col("turn").alias("pos"), F.concat_ws("-", F.lit("call"), "conv_id", F.col("turn") - 1).alias("call_id"), F.col("text").alias("content")
+    )
+    return calls, results
+
+
+@query
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = derived_calls(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return tool_calls.formatted(calls, results, spark.createDataFrame(_SCHEMAS, "name string, schema string"))
+
+
+@query
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = winnowing.edited_and_next(read(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), winnowing.digest(F.col("entries")).alias("fingerprint"),
+        F.when(F.col("edited").isNotNull(), winnowing.digest(F.col("edited_entries"))).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
+@query
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.documents(read(spark, sf_dir, "documents"))
+
+
+@query
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
+ORACLES["op7_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+same AS (SELECT sha1(body) AS digest, strlen(body) AS size, max(page_id) AS largest FROM p WHERE strlen(body) >= 1000 GROUP BY 1, 2)
+SELECT p.page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest,
+       CASE WHEN largest IS NULL OR largest = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN largest <> page_id THEN largest END AS refers_to
+FROM p LEFT JOIN same ON digest = sha1(body) AND size = strlen(body)
+"""
