@@ -10,8 +10,8 @@ is one row per task), then meet in a full outer hash join by (conv_id, call_id).
 Order. A result comes after its call, a call after the results that it needs; otherwise time decides. A row's place is
 (``order_pos``, ``order_depth``): the latest position among itself and all it depends on, then how many dependencies lie between. It
 is the fixed point of one join per round; rounds are needed only along chains of rows that stand before what they need, not along a
-conversation, and nothing is gathered per conversation. Rows on a cycle have depths beyond the number of rows that share their
-position; they get status ``cycle`` and their own position.
+conversation, and nothing is gathered per conversation. On a cycle depths outgrow the number of calls that had to wait: those
+that do (on the cycle, or waiting for it) get status ``cycle``, their own position, and their needs are dropped, which breaks it.
 
 Validation. Schemas are joined by name and read once per task. ``errors`` lists the paths that break ``type``, ``required``,
 ``properties``, ``additionalProperties`` (false), ``enum``, ``minimum``, ``maximum``, ``minLength``, ``maxLength`` or ``items``;
@@ -178,14 +178,13 @@ def ordered(linked: DataFrame) -> DataFrame:
         changed = moved.where("place > _old")
         if changed.isEmpty():
             break
-        # an acyclic row has fewer steps behind it than rows (calls and results) share its position
-        room = moved.groupBy("conv_id", F.col("place.p").alias("_p")).agg((F.count(F.lit(1)) * 2).alias("_room"))
-        room = room.withColumnRenamed("conv_id", "_conv")
-        beyond = changed.join(room, changed.conv_id.eqNullSafe(room._conv) & (F.col("place.p") == F.col("_p"))).where(F.col("place.d") > F.col("_room"))
+        # steps lead through different delayed calls of the conversation, unless there is a cycle; a delayed call stays delayed
+        late = moved.where("place.p > pos or place.d > 0")
+        room = late.groupBy(F.col("conv_id").alias("_conv")).agg((F.count(F.lit(1)) * 2).alias("_room"))
+        beyond = changed.join(room, changed.conv_id.eqNullSafe(room._conv)).where(F.col("place.d") > F.col("_room"))
         found = stored(beyond.select("conv_id", "call_id"), "tool-cycle")
         place = moved.select("conv_id", "call_id", "pos", "place")
         if not found.isEmpty():
-            # rows on a cycle, and what waits for them, keep their own position; their needs are dropped
             cyclic = found if cyclic is None else stored(cyclic.unionByName(found).distinct(), "tool-cycles")
             mark = found.select(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_call"))
             edges = stored(edges.join(mark, edges.conv_id.eqNullSafe(F.col("_conv")) & (edges.call_id == F.col("_call")), "left_anti"), "tool-needs")

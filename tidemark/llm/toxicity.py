@@ -34,6 +34,7 @@ from tidemark.llm.common import chunks, map_batches, raw_texts
 BITS = 18
 SIZES = (3, 4, 5, 6)
 FEATURES = 8
+SLICE = 20_000  # words whose pieces are hashed at once
 # lower-case A-Z; punctuation and control characters separate words
 _TABLE = bytes(
     c + 32 if 65 <= c <= 90 else (c if c >= 128 or chr(c).isalnum() or c == 39 else 32) for c in range(256)
@@ -52,7 +53,7 @@ class Settings:
     rate: float = 0.01
     batch: int = 128
     seed: int = 7
-    vocabulary: int = 300_000
+    vocabulary: int = 200_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -76,16 +77,29 @@ def _pieces(words: list[bytes]):
         key = key * np.uint64(0x100000001B3) + wide[n - 1 : n - 1 + len(end)] + np.uint64(1)
         if n in SIZES:
             mixed = ((key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
-            out.append(np.where(at + n <= end, mixed.astype(np.int64), -1))
+            out.append(np.where(at + n <= end, mixed.astype(np.int32), np.int32(-1)))
     return out, starts
 
 
+def _all_pieces(words: list[bytes]):
+    """(sizes, bytes) hashed pieces of a whole vocabulary, with the first byte of each word and the end."""
+    parts, starts, base = [], [], 0
+    for i in range(0, len(words), SLICE):
+        keys, at = _pieces(words[i : i + SLICE])
+        parts.append(np.stack(keys))
+        starts.append(at + base)
+        base += len(keys[0])
+    return (np.concatenate(parts, 1), np.concatenate([*starts, [base]])) if parts else (np.zeros((len(SIZES), 0), np.int32), np.zeros(1, np.int64))
+
+
 def _word_keys(words: list[bytes]) -> np.ndarray:
     return np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) & ((1 << BITS) - 1)
 
 
 def word_features(words: list[bytes], word_table: np.ndarray, piece_table: np.ndarray) -> np.ndarray:
     """(words, FEATURES) inputs from the weights of words and pieces."""
+    if len(words) > SLICE:
+        return np.concatenate([word_features(words[i : i + SLICE], word_table, piece_table) for i in range(0, len(words), SLICE)])
     out = np.zeros((len(words), FEATURES), np.float32)
     if not words:
         return out
@@ -160,9 +174,13 @@ def _pool(out: np.ndarray, real: np.ndarray, bias: float):
     return (weight * out[:, :, 1]).sum(0) + bias, weight, out[:, :, 1]
 
 
-def window_logits(features: np.ndarray, ids: np.ndarray, real: np.ndarray, net: dict, block: int = 2048) -> np.ndarray:
-    """A logit for every window; ``features`` are those of the words that ``ids`` point at."""
-    projected = {d: features @ net["W" + d] + net["c" + d] for d in "fb"}
+def project(features: np.ndarray, net: dict) -> dict[str, np.ndarray]:
+    """What words add to the gates of each direction."""
+    return {d: features @ net["W" + d] + net["c" + d] for d in "fb"}
+
+
+def window_logits(projected: dict[str, np.ndarray], ids: np.ndarray, real: np.ndarray, net: dict, block: int = 2048) -> np.ndarray:
+    """A logit for every window; ``projected`` are the words that ``ids`` point at."""
     found = np.empty(len(ids), np.float32)
     for i in range(0, len(ids), block):
         part, mask = ids[i : i + block], real[i : i + block]
@@ -175,8 +193,11 @@ def _gradients(features, ids, real, target, weight_of, net):
     """Gradients of the weighted logistic loss."""
     kept: dict[str, list] = {"f": [], "b": []}
     outs = {}
+    # only the words of these windows
+    words, local = np.unique(ids, return_inverse=True)
+    projected = project(features[words], net)
     for d in "fb":
-        outs[d] = _run(features @ net["W" + d] + net["c" + d], ids, real, net, d, kept[d])
+        outs[d] = _run(projected[d], local.reshape(ids.shape), real, net, d, kept[d])
     logit, attention, value = _pool(outs["f"] + outs["b"], real, net["bias"][0])
     p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     d_logit = ((p - target) * weight_of / weight_of.sum()).astype(np.float32)
@@ -225,7 +246,7 @@ def _gather(ids: np.ndarray, starts: np.ndarray, doc, first, size, settings: Set
     real = at[None, :] < size[:, None]
     place = np.where(real, (starts[doc] + first)[:, None] + at[None, :], 0)
     found = ids[place] if len(ids) else np.zeros(place.shape, np.int64)
-    return np.where(real, found, 0), real.astype(np.float32)
+    return np.where(real, found, 0).astype(np.int32), real.astype(np.float32)
 
 
 def _summary(logits: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
@@ -257,16 +278,17 @@ def train(texts: list[bytes], toxic: np.ndarray, share: float, settings: Setting
     vocabulary = list(number)
     fold = np.arange(n) % settings.folds
     word_key = _word_keys(vocabulary)
-    pieces, starts = _pieces(vocabulary) if vocabulary else ([], np.zeros(0, np.int64))
-    ends = np.append(starts[1:], len(pieces[0]) if pieces else 0)
+    pieces, starts = _all_pieces(vocabulary)
     seen = np.zeros((settings.folds, 2, 2, size), np.float32)  # fold, word or piece, label, feature
     for i, ids in enumerate(docs):
         own = np.unique(ids)
         seen[fold[i], 0, int(toxic[i]), np.unique(word_key[own])] += 1
         if len(own):
-            at = np.concatenate([np.arange(a, b) for a, b in zip(starts[own], ends[own], strict=True)])
-            keys = np.unique(np.concatenate([p[at] for p in pieces]))
+            length = starts[own + 1] - starts[own]
+            at = np.repeat(starts[own] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+            keys = np.unique(pieces[:, at])
             seen[fold[i], 1, int(toxic[i]), keys[keys >= 0]] += 1
+    del pieces
     total = seen.sum(0)
 
     def tables(left_out: int | None):
@@ -287,7 +309,7 @@ def train(texts: list[bytes], toxic: np.ndarray, share: float, settings: Setting
     net = _init(settings)
     rng, moments, step = np.random.default_rng(settings.seed), {k: [0.0, 0.0] for k in net}, 0
     each = np.where(toxic == 1, 0.5 / toxic.sum(), 0.5 / (1 - toxic).sum()) * n
-    logits = feats[win][:, :, :5].clip(0).sum((1, 2))
+    logits = feats[:, :5].clip(0).sum(1)[win].sum(1).astype(np.float32)
     first_of = np.searchsorted(doc, np.arange(n))
     per_doc = np.bincount(doc, minlength=n)
     for _ in range(settings.epochs):
@@ -302,7 +324,10 @@ def train(texts: list[bytes], toxic: np.ndarray, share: float, settings: Setting
                 m = moments[k]
                 m[0], m[1] = 0.9 * m[0] + 0.1 * g, 0.999 * m[1] + 0.001 * g * g
                 net[k] = (net[k] - settings.rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-        logits = window_logits(feats, win, real, net)
+        for f in range(settings.folds):
+            own = fold[doc] == f
+            projected = project(np.concatenate((feats[:1], feats[base + span * f : base + span * (f + 1)])), net)
+            logits[own] = window_logits(projected, np.where(win[own] > 0, win[own] - span * f, 0), real[own], net)
     prior = np.where(toxic == 1, share / toxic.sum(), (1 - share) / (1 - toxic).sum()) * n
     final = _logistic(_summary(logits, doc, n), toxic, prior)
     return Model(settings, *tables(None), net, final, share)
@@ -317,7 +342,8 @@ class Scorer:
 
     def _clear(self):
         self.number: dict[bytes, int] = {}
-        self.features = np.zeros((1, FEATURES), np.float32)
+        if self.model.net is not None:
+            self.projected = project(np.zeros((1, FEATURES), np.float32), self.model.net)
 
     def _ids(self, words: list[bytes]) -> np.ndarray:
         number = self.number
@@ -326,7 +352,8 @@ class Scorer:
         ids = [get(w) or number.setdefault(w, len(number) + 1) for w in words]
         if len(number) > known:
             fresh = list(number)[known:]
-            self.features = np.concatenate((self.features, word_features(fresh, self.model.word_table, self.model.piece_table)))
+            more = project(word_features(fresh, self.model.word_table, self.model.piece_table), self.model.net)
+            self.projected = {d: np.concatenate((self.projected[d], more[d])) for d in more}
         return np.array(ids, np.int64)
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
@@ -342,7 +369,7 @@ class Scorer:
             ids = self._ids([w for words in split for w in words])
             doc, first, length = cut_windows(counts, model.settings)
             win, real = _gather(ids, np.cumsum(counts) - counts, doc, first, length, model.settings)
-            logits = window_logits(self.features, win, real, model.net)
+            logits = window_logits(self.projected, win, real, model.net)
             x = _summary(logits, doc, b - a) @ model.final
             found[a:b] = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
         return found
