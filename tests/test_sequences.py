@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import curation, sessions, vectors
@@ -149,20 +150,41 @@ def test_vector_shards(spark):
         assert {(r["id"], r["tag"]) for r in got.collect()} == tags
 
 
-def test_leader_clusters(spark):
-    """Exact in one block; in many blocks well separated clusters come out the same."""
-    rng = np.random.default_rng(4)
-    centres = rng.normal(size=(5, 16))
+@pytest.mark.parametrize("partitions, block_bytes", [(1, 1 << 20), (4, 1 << 20), (64, 8 * 12 * 7), (4, 8 * 12)])
+def test_leader_clusters(spark, partitions, block_bytes):
+    """One rule, whatever the partitions and the size of a block: compared with a loop over the seeds."""
+    rng = np.random.default_rng(21)
     rows = []
-    for i in range(80):
-        v = centres[i % 5] + rng.normal(size=16) * 0.1
-        rows.append((i, float(rng.random()), (v / np.linalg.norm(v)).tolist()))
-    df = spark.createDataFrame(rows, "id long, quality double, embedding array<double>")
-    for block in (1000, 16):
-        groups = {}
-        for r in vectors.leader_clusters(df, 0.5, dim=16, block_rows=block).collect():
-            groups.setdefault(r["cluster"], set()).add(r["id"])
-        if block == 1000:
-            assert sorted(map(sorted, groups.values())) == [[i for i in range(80) if i % 5 == c] for c in range(5)]
-        # a block run never mixes well separated clusters and loses no row
-        assert all(len({i % 5 for i in g}) == 1 for g in groups.values()) and sum(map(len, groups.values())) == 80
+    for i in range(90):
+        v = np.repeat(np.eye(6), 2, axis=1)[i % 6] + rng.normal(size=12) * rng.choice([0.2, 0.5, 1.0])
+        rows.append((i, float(rng.integers(0, 20)) if i % 9 else None, (v / np.linalg.norm(v)).tolist()))
+    rows += [(200, 5.0, None), (201, 30.0, [0.0] * 12)]
+    leaders, want = [], {}
+    order = sorted((r for r in rows if r[2]), key=lambda r: (-(r[1] or 0.0), r[0]))
+    for id, _, v in order:
+        if all(np.dot(v, w) < 0.6 for _, w in leaders):
+            leaders.append((id, v))
+    for id, _, v in order:
+        want[id] = id if any(id == x for x, _ in leaders) else max(leaders, key=lambda x: np.dot(v, x[1]))[0]
+    df = spark.createDataFrame(rows, "id long, quality double, embedding array<double>").repartition(partitions)
+    got = {r["id"]: r["cluster"] for r in vectors.leader_clusters(df, 0.6, block_bytes=block_bytes).collect()}
+    assert got == want and len(leaders) > 7
+    assert vectors.leader_clusters(df.limit(0), 0.6).count() == 0
+
+
+def test_windows_of_two_owners(spark):
+    """A window takes items of its own owner only; a null owner is an owner too."""
+    day = datetime(2021, 7, 9)
+    items = [(i, ["north", "south", None][i % 3], day + timedelta(hours=i)) for i in range(40)]
+    windows = [(1, "north", day, day + timedelta(hours=20)), (2, "south", day + timedelta(hours=5), day + timedelta(hours=30)), (3, None, day, day + timedelta(hours=9)), (4, "north", day, day + timedelta(hours=25))]
+    got = sessions.absorb(
+        spark.createDataFrame(items, "id long, owner string, taken_at timestamp_ntz"),
+        spark.createDataFrame(windows, "event_id long, owner string, start_at timestamp_ntz, end_at timestamp_ntz"),
+        by=["owner"],
+    )
+    want = {}
+    for id, owner, at in items:
+        fits = sorted((s, e, w) for w, o, s, e in windows if o == owner and s <= at <= e)
+        if fits:
+            want[id] = fits[0][2]
+    assert {r["id"]: r["event_id"] for r in got.collect()} == want

@@ -64,14 +64,49 @@ def zero_shot_tags(spark, sf):
     return vectors.zero_shot_tags(_vectors(spark, sf), classes, 0.3, scale=20.0, key="id", vector="embedding")
 
 
-@query()
+# leaders best first: a seed leads if none of its better similar seeds does
+LEADERS = """
+seq AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY quality DESC, id) AS rn FROM seed),
+near AS MATERIALIZED (SELECT a.rn, list(b.id) AS better FROM seq a JOIN seq b ON b.rn < a.rn AND list_dot_product(a.v, b.v) >= {link} GROUP BY 1),
+walk(rn, ids) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT s.rn, CASE WHEN n.better IS NOT NULL AND list_has_any(w.ids, n.better) THEN w.ids ELSE list_append(w.ids, s.id) END
+  FROM walk w JOIN seq s ON s.rn = w.rn + 1 LEFT JOIN near n ON n.rn = s.rn),
+lead AS MATERIALIZED (SELECT unnest(arg_max(ids, rn)) AS id FROM walk),
+clusters AS MATERIALIZED (
+  SELECT s.id, coalesce(max(CASE WHEN l.id = s.id THEN l.id END), arg_max(l.id, list_dot_product(s.v, t.v))) AS cluster
+  FROM seq s, lead l JOIN seq t ON t.id = l.id WHERE l.id = s.id OR list_dot_product(s.v, t.v) >= {link} GROUP BY 1)"""
+
+
+@query("""WITH RECURSIVE seed AS MATERIALIZED (SELECT vec_id AS id, (vec_id * 37 % 101) / 100.0 AS quality, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),"""
++ LEADERS.replace("{link}", "0.40") + """
+SELECT id, cluster FROM clusters""")
 def leader_clusters(spark, sf):
     """Greedy clusters of all vectors, best quality first."""
     rows = _vectors(spark, sf).withColumn("quality", F.pmod(F.col("id") * 37, F.lit(101)) / 100.0)
-    return vectors.leader_clusters(rows, 0.40, dim=64)
-
-
-@query()
+    return vectors.leader_clusters(rows, 0.40)
+
+
+def _matched(source: str, target: str) -> str:
+    """Free faces of ``source`` join the most similar person."""
+    return f"""
+{target}_sum AS (SELECT person, i, sum(v[i]) AS s FROM {source}, range(1, 65) r(i) WHERE person IS NOT NULL GROUP BY 1, 2),
+{target}_len AS (SELECT person, sqrt(sum(s*s)) + 1e-8 AS l FROM {target}_sum GROUP BY 1),
+{target}_mean AS MATERIALIZED (SELECT person, list(s/l ORDER BY i) AS c FROM {target}_sum JOIN {target}_len USING (person) GROUP BY 1),
+{target}_best AS (SELECT f.id, arg_max(m.person, list_dot_product(v, c)) AS p FROM {source} f, {target}_mean m
+  WHERE f.person IS NULL AND list_dot_product(v, c) >= 0.35 GROUP BY 1),
+{target} AS MATERIALIZED (SELECT f.id, quality, v, coalesce(f.person, b.p) AS person FROM {source} f LEFT JOIN {target}_best b ON b.id = f.id)"""
+
+
+@query("""WITH RECURSIVE f0 AS MATERIALIZED (SELECT vec_id AS id, (vec_id * 37 % 101) / 100.0 AS quality, CAST(embedding AS DOUBLE[]) AS v,
+  CASE WHEN label < 5 AND vec_id < 100 THEN CAST(label + 1 AS BIGINT) END AS person FROM embeddings),""" + _matched("f0", "f1") + """,
+seed AS MATERIALIZED (SELECT id, quality, v FROM f1 WHERE person IS NULL AND quality >= 0.30),""" + LEADERS.replace("{link}", "0.40") + """,
+big AS (SELECT cluster, max(quality) AS q FROM clusters JOIN seed USING (id) GROUP BY 1 HAVING count(*) >= 2),
+fresh AS (SELECT cluster, (SELECT greatest(coalesce(max(label), -1) + 1, 0) FROM embeddings WHERE label < 5) + row_number() OVER (ORDER BY q DESC, cluster) AS person FROM big),
+f2 AS MATERIALIZED (SELECT f.id, quality, v, coalesce(f.person, n.person) AS person FROM f1 f
+  LEFT JOIN clusters c ON c.id = f.id LEFT JOIN fresh n ON n.cluster = c.cluster),""" + _matched("f2", "f3") + """
+SELECT id, CAST(person AS BIGINT) AS person_id, 'auto' AS assigned_by FROM f3""")
 def entity_assignment(spark, sf):
     """A full assignment pass: half of the classes are known people, the rest is clustered."""
     rows = _vectors(spark, sf)

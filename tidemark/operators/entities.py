@@ -53,14 +53,14 @@ def _match(faces: DataFrame, persons: DataFrame, dim: int, threshold: float) ->
 
 
 def new_clusters(
-    faces: DataFrame, dim: int, link: float = LINK_THRESHOLD, seed_quality: float = SEED_QUALITY, min_moments: int = MIN_MOMENTS
+    faces: DataFrame, link: float = LINK_THRESHOLD, seed_quality: float = SEED_QUALITY, min_moments: int = MIN_MOMENTS
 ) -> DataFrame:
     """(id, cluster, lead_quality) of new clusters of unassigned, uncorrected, good faces that
     were seen in enough distinct moments."""
     seeds = faces.where(
         F.col("person_id").isNull() & (F.col("quality") >= seed_quality) & (F.size("not_person_ids") == 0)
     )
-    placed = leader_clusters(seeds, link, dim=dim).join(seeds.select("id", "moment", "quality"), "id")
+    placed = leader_clusters(seeds, link).join(seeds.select("id", "moment", "quality"), "id")
     enough = (
         placed.groupBy("cluster")
         .agg(F.count_distinct("moment").alias("moments"), F.max("quality").alias("lead_quality"))
@@ -90,7 +90,7 @@ def assign_entities(
     free = faces.where(F.col("person_id").isNull()).select("id", F.lit(True).alias("_free"))
 
     rows = cut(_match(rows, persons, dim, match))
-    found = new_clusters(rows, dim, link, seed_quality, min_moments)
+    found = new_clusters(rows, link, seed_quality, min_moments)
     top = max(last_id, persons.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"])
     leads = dense_index(
         found.select("cluster", "lead_quality").distinct(), [F.col("lead_quality").desc(), F.col("cluster")]

@@ -69,22 +69,24 @@ def split_clusters(
     return items.join(rows, key)
 
 
-def absorb(items: DataFrame, windows: DataFrame, ts: str = "taken_at", key: str = "id") -> DataFrame:
+def absorb(
+    items: DataFrame, windows: DataFrame, ts: str = "taken_at", key: str = "id", by: list[str] | None = None
+) -> DataFrame:
     """(key, event_id) of items inside a window; the first window by (start, end, id) wins.
 
+    ``by`` names owner columns of both tables: a window takes items of its own owner only.
     Windows are laid out per calendar day, so that the join is an equi join.
     """
+    by = by or []
     days = windows.select(
+        *by,
         "event_id",
         "start_at",
         "end_at",
         F.explode(F.sequence(F.col("start_at").cast("date"), F.col("end_at").cast("date"))).alias("_day"),
     ).where("start_at <= end_at")
-    hits = (
-        items.select(key, ts, F.col(ts).cast("date").alias("_day"))
-        .join(days, "_day")
-        .where(F.col(ts).between(F.col("start_at"), F.col("end_at")))
-    )
+    seen = items.select(key, ts, *by, F.col(ts).cast("date").alias("_day"))
+    hits = join_same(seen, days, ["_day", *by]).where(F.col(ts).between(F.col("start_at"), F.col("end_at")))
     first = F.min(F.struct("start_at", "end_at", "event_id"))
     return hits.groupBy(key).agg(first.alias("_w")).select(key, F.col("_w.event_id").alias("event_id"))
 

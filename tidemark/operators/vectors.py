@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
@@ -23,6 +22,8 @@ from tidemark.session import cut
 
 CLASS_ROWS = 20_000
 ITEM_BLOCK = 20_000
+# vectors that the leaders of one round are chosen from
+LEADER_BYTES = 32 << 20
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -198,33 +199,15 @@ def zero_shot_tags(
 
 # ---------- leader clustering ----------
 
-def _leader(link: float, weighted: bool):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Visit rows best first; join the most similar running sum or start a new one."""
-        rows = rows.sort_values(["quality", "first"], ascending=[False, True], ignore_index=True)
-        vectors = np.stack([np.asarray(v, dtype=np.float64) for v in rows["total"]])
-        own = np.linalg.norm(vectors, axis=1) if weighted else np.ones(len(vectors))
-        sums = np.zeros_like(vectors)
-        lengths = np.ones(len(vectors))
-        size = 0
-        label = np.empty(len(rows), dtype=np.int64)
-        for i, vector in enumerate(vectors):
-            best = -1
-            if size:
-                sims = (sums[:size] @ vector) / (lengths[:size] * (own[i] or 1.0))
-                if sims.max() >= link:
-                    # the latest of equally similar clusters wins
-                    best = size - 1 - int(np.argmax(sims[::-1]))
-            if best < 0:
-                best = size
-                size += 1
-            sums[best] += vector
-            lengths[best] = np.linalg.norm(sums[best]) or 1.0
-            label[i] = best
-        lead = rows.groupby(label)["first"].transform("first")
-        return pd.DataFrame({"first": rows["first"], "cluster": lead})
-
-    return run
+def _leads(vectors: np.ndarray, link: float) -> np.ndarray:
+    """Which rows of a best-first block lead: those that no leading row before them is similar to."""
+    free = np.ones(len(vectors), dtype=bool)
+    leads = np.zeros(len(vectors), dtype=bool)
+    for i in range(len(vectors)):
+        if free[i]:
+            leads[i] = True
+            free &= vectors @ vectors[i] < link
+    return leads
 
 
 def leader_clusters(
@@ -233,53 +216,51 @@ def leader_clusters(
     key: str = "id",
     vector: str = "embedding",
     quality: str = "quality",
-    dim: int = 512,
-    block_rows: int = 20_000,
+    block_bytes: int = LEADER_BYTES,
 ) -> DataFrame:
-    """(key, cluster): greedy clusters of the seeds, best quality first.
+    """(key, cluster): clusters of the seeds that have a vector, named after their leaders.
 
-    A cluster is named after its best seed. Up to ``block_rows`` seeds are visited in one
-    sequence, which is the exact order-dependent result. More seeds are ordered by the signs
-    of their components, so that similar ones are neighbours, and visited in blocks; the
-    resulting clusters are then visited again as weighted rows, in shifted blocks, until a
-    whole round merges nothing. No block grows with the data.
+    One rule at every size: a seed leads if no better seed that leads has a similarity of ``link``
+    with it (better: quality, then the lower key); every other seed joins its most similar leader.
+
+    The best seeds still open, as many as ``block_bytes`` hold, are settled among themselves; then
+    all open seeds that are similar to one of the new leaders stop being candidates. Neither the
+    size of the block nor the partitions change the result, as a leader only depends on better ones.
     """
-    level = seeds.select(
-        F.col(key).alias("first"), F.col(quality).cast("double").alias("quality"), F.col(vector).cast("array<double>").alias("total")
-    )
-    level = cut(level)
-    mapping = level.select(F.col("first").alias(key), F.col("first").alias("cluster"))
-    count = level.count()
-    shift = 0
-    while count:
-        whole = count <= block_rows
-        if whole:
-            blocked = level.withColumn("block", F.lit(0))
-        else:
-            signs = F.transform(F.slice("total", 1, min(dim, 64)), lambda x: F.when(x > 0, "1").otherwise("0"))
-            start = 1 + (shift * 7) % min(dim, 64)
-            turned = F.concat(F.array_join(signs, ""), F.array_join(signs, ""))
-            placed = dense_index(level, [F.substring(turned, start, min(dim, 64)), F.col("first")], "_at")
-            half = block_rows // 2 * (shift % 2)
-            blocked = placed.withColumn("block", F.floor((F.col("_at") + half) / block_rows).cast("int")).drop("_at")
-        joined = cut(
-            blocked.select("block", "first", "quality", "total")
-            .groupBy("block")
-            .applyInPandas(_leader(link, shift > 0), "first bigint, cluster bigint")
+    rows = cut(
+        seeds.where(F.col(vector).isNotNull()).select(
+            F.col(key).alias("id"), F.coalesce(F.col(quality).cast("double"), F.lit(0.0)).alias("quality"), F.col(vector).cast("array<double>").alias("_v")
         )
-        mapping = cut(
-            mapping.withColumnRenamed("cluster", "first").join(joined, "first").select(key, "cluster")
-        )
-        if whole:
+    )
+    first = rows.select(F.size("_v").alias("n")).first()
+    if first is None:
+        return rows.select(F.col("id").alias(key), F.col("id").alias("cluster"))
+    block_rows = max(1, block_bytes // (8 * max(1, first["n"])))
+    best_first = [F.col("quality").desc(), F.col("id")]
+    undecided, leaders = rows, None
+    while True:
+        # at most block_bytes of vectors
+        block = undecided.orderBy(*best_first).limit(block_rows).toPandas()
+        if block.empty:
             break
-        sums = [F.sum(F.get("total", i)).alias(f"_s{i}") for i in range(dim)]
-        merged = level.join(joined, "first").groupBy("cluster").agg(F.max("quality").alias("quality"), *sums)
-        level = cut(
-            merged.select(F.col("cluster").alias("first"), "quality", F.array(*[f"_s{i}" for i in range(dim)]).alias("total"))
+        vectors = np.stack([np.asarray(v, dtype=np.float64) for v in block["_v"]])
+        chosen = _leads(vectors, link)
+        found = seeds.sparkSession.createDataFrame(
+            [(int(i), v.tolist()) for i, v in zip(block["id"][chosen], vectors[chosen], strict=True)], "class_id bigint, class_vector array<double>"
         )
-        now = level.count()
-        shift += 1
-        if now == count and shift > 1:
+        leaders = cut(found) if leaders is None else cut(leaders.unionByName(found))
+        if len(block) < block_rows:
             break
-        count = now
-    return mapping
+        lead, last = vectors[chosen], (float(block["quality"].iloc[-1]), int(block["id"].iloc[-1]))
+
+        def open_rows(batches: Iterator[pa.RecordBatch], lead=lead) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield batch.filter(pa.array((matrix(batch.column("_v")) @ lead.T).max(axis=1) < link))
+
+        later = (F.col("quality") < last[0]) | ((F.col("quality") == last[0]) & (F.col("id") > last[1]))
+        undecided = cut(undecided.where(later).mapInArrow(open_rows, undecided.schema))
+    # a leader is most similar to itself, whatever the length of its vector
+    others = rows.join(leaders.select(F.col("class_id").alias("id")), "id", "left_anti")
+    joined = nearest_class(others, leaders, link - 1e-9, "id", "_v").select("id", F.col("class_id").alias("cluster"))
+    return joined.unionByName(leaders.select(F.col("class_id").alias("id"), F.col("class_id").alias("cluster"))).withColumnRenamed("id", key)

@@ -120,7 +120,12 @@ def place_items(lib: Library, by: list[str] | None = None) -> tuple[DataFrame, D
     sticky = member_of.where((F.col("assigned_by") == "user") | F.col("locked")).select("media_id", "event_id", "assigned_by")
     sticky = sticky.join(live.select(F.col("id").alias("media_id")), "media_id", "left_semi")
     rest = live.join(sticky.select(F.col("media_id").alias("id")), "id", "left_anti")
-    absorbed = sessions.absorb(rest, locked.select(F.col("id").alias("event_id"), "start_at", "end_at"))
+    windows = locked.select(F.col("id").alias("event_id"), "start_at", "end_at")
+    if by:
+        # a locked event belongs to the owners of its items
+        owners = lib["event_media"].join(lib["media"].select(F.col("id").alias("media_id"), *by), "media_id").select("event_id", *by).distinct()
+        windows = windows.join(owners, "event_id")
+    absorbed = sessions.absorb(rest, windows, by=by)
     absorbed = cut(absorbed)
     free = rest.join(absorbed.select("id"), "id", "left_anti")
 
