@@ -7,99 +7,70 @@ from tidemark.operators import duplicates, similarity
 from tidemark.operators.components import connected_components
 from tidemark.params import Settings
 
-SAME, NEAR, BURST, FAR = "0000000000000000", "0000000000000007", "00000000000fffff", "f" * 16
-SCHEMA = "id long, kind string, sha256 string, phash string, minute string, pinned boolean, total double, pixels long"
-
-
-def row(id, phash=SAME, sha=None, minute=None, kind="photo", pinned=False, total=50.0, pixels=1000):
-    return (id, kind, sha or f"sha{id}", phash, minute, pinned, total, pixels)
-
-
-def groups(spark, rows, near=8, burst=22, enabled=True):
-    items = spark.createDataFrame(rows, SCHEMA).withColumn("sig", F.conv("phash", 16, -10).cast("bigint"))
-    items = items.withColumn("taken_at", F.lit(None).cast("timestamp_ntz"))
-    settings = Settings(near_dup_threshold=near, burst_threshold=burst, burst_enabled=enabled)
-    found, members = duplicates.duplicate_groups(items, settings)
-    kinds = {r["id"]: (r["kind"], r["best_media_id"], r["size"]) for r in found.collect()}
-    out = {}
-    for r in members.collect():
-        out.setdefault(r["group_id"], []).append(r["media_id"])
-    assert all(kinds[g][2] == len(m) for g, m in out.items())
-    return sorted((kinds[g][0], sorted(m), kinds[g][1]) for g, m in out.items())
-
-
-@pytest.mark.parametrize(
-    "rows, options, want",
-    [
-        (
-            [
-                row(1, "00000000ffff0000", "x"), row(2, "00000000ffff0000", "x"), row(3, FAR),
-                row(4, None, "v", kind="video"), row(5, None, "v", kind="video"),
-                row(6, "ffff000000000000", minute="m"), row(7, "ffff0000000fffff", minute="n"), row(8, "ffff0000000fffff"),
-                row(9, "ffffffff00000000", total=60.0, pinned=True), row(10, "ffffffff00000001", total=80.0),
-            ],
-            {},
-            [("exact", [1, 2], 1), ("exact", [4, 5], 4), ("near", [7, 8], 7), ("near", [9, 10], 9)],
-        ),
-        ([row(1), row(2, NEAR), row(3, FAR)], {"near": 2}, []),
-        ([row(1, minute="m"), row(2, BURST, minute="m")], {}, [("burst", [1, 2], 1)]),
-        ([row(1, minute="m"), row(2, BURST, minute="m")], {"enabled": False}, []),
-        ([row(1, sha="s"), row(2, NEAR, "s"), row(3, "000000000000003f")], {}, [("near", [1, 2, 3], 1)]),
-        ([row(1, sha="s"), row(2, NEAR, "s")], {}, [("exact", [1, 2], 1)]),
-        # three identical items also form a near pair besides the star
-        ([row(1, sha="s"), row(2, sha="s"), row(3, sha="s")], {}, [("near", [1, 2, 3], 1)]),
-        ([row(1, total=60.0), row(2, total=80.0), row(3, total=80.0, pixels=5000)], {}, [("near", [1, 2, 3], 3)]),
-    ],
-)
-def test_groups(spark, rows, options, want):
-    assert groups(spark, rows, **options) == want
-
-
-def brute(rows, near, burst):
-    """The pairwise definition: a pair keeps its first reason, groups the loosest one."""
-    reasons, parent = {}, {r[0]: r[0] for r in rows}
+ITEM = "id long, kind string, sha256 string, phash string, minute string, pinned boolean, total double, pixels long"
+
+
+def found_groups(spark, items, near, burst, with_bursts=True):
+    """{members: (kind, best)} of the operator."""
+    rows = spark.createDataFrame(items, ITEM).withColumn("sig", F.conv("phash", 16, -10).cast("bigint"))
+    rows = rows.withColumn("taken_at", F.lit(None).cast("timestamp_ntz"))
+    groups, members = duplicates.duplicate_groups(rows, Settings(near_dup_threshold=near, burst_threshold=burst, burst_enabled=with_bursts))
+    sets = {}
+    for m in members.collect():
+        sets.setdefault(m["group_id"], set()).add(m["media_id"])
+    out = {frozenset(sets[g["id"]]): (g["kind"], g["best_media_id"]) for g in groups.collect()}
+    assert all(g["size"] == len(sets[g["id"]]) for g in groups.collect()) and len(out) == len(sets)
+    return out
+
+
+def pairwise_groups(items, near, burst, with_bursts=True):
+    """The definition: a pair's reason is its strictest, a group's kind its loosest, its best the first by pin, score, size, id."""
+    reason, parent = {}, {i[0]: i[0] for i in items}
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    def link(a, b, reason):
-        reasons.setdefault((min(a, b), max(a, b)), reason)
-        ra, rb = root(a), root(b)
-        parent[max(ra, rb)] = min(ra, rb)
-
-    first = {}
-    for r in rows:
-        if r[2] in first:
-            link(first[r[2]], r[0], 0)
-        first.setdefault(r[2], r[0])
-    shown = [r for r in rows if r[1] == "photo" and r[3]]
-    for limit, reason in ((near, 1), (burst, 2)):
-        for i, a in enumerate(shown):
-            for b in shown[i + 1 :]:
-                if (int(a[3], 16) ^ int(b[3], 16)).bit_count() <= limit and (reason == 1 or (a[4] and a[4] == b[4])):
-                    link(a[0], b[0], reason)
-    worst, members = {}, {}
-    for (a, _), reason in reasons.items():
-        worst[root(a)] = max(worst.get(root(a), 0), reason)
-    for r in rows:
-        members.setdefault(root(r[0]), []).append(r[0])
-    return sorted((["exact", "near", "burst"][worst[g]], sorted(m)) for g, m in members.items() if len(m) > 1)
-
-
-@pytest.mark.parametrize("seed", [1])
-def test_groups_against_pairs(spark, seed):
+    same = {}
+    for id, _, sha, *_ in items:
+        # copies hang on their first one
+        head = same.setdefault(sha, id) if sha else id
+        if head != id:
+            reason[(head, id)] = 0
+    shown = [i for i in items if i[1] == "photo" and i[3]]
+    for n, a in enumerate(shown):
+        for b in shown[n + 1 :]:
+            bits = (int(a[3], 16) ^ int(b[3], 16)).bit_count()
+            if bits <= near:
+                reason.setdefault((a[0], b[0]), 1)
+            elif with_bursts and bits <= burst and a[4] and a[4] == b[4]:
+                reason.setdefault((a[0], b[0]), 2)
+    for a, b in reason:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    loosest, sets = {}, {}
+    for (a, _), why in reason.items():
+        loosest[root(a)] = max(why, loosest.get(root(a), 0))
+    for item in items:
+        sets.setdefault(root(item[0]), []).append(item)
+    first = lambda i: (not i[5], -i[6], -i[7], i[0])
+    return {frozenset(i[0] for i in s): (("exact", "near", "burst")[loosest[g]], min(s, key=first)[0]) for g, s in sets.items() if len(s) > 1}
+
+
+@pytest.mark.parametrize("seed, near, burst, with_bursts", [(31, 6, 18, True), (32, 3, 14, True), (33, 9, 20, False)])
+def test_groups_against_pairs(spark, seed, near, burst, with_bursts):
     rng = random.Random(seed)
-    bases = [rng.getrandbits(64) for _ in range(12)]
-    rows = []
-    for i in range(90):
-        bits = rng.choice(bases)
-        for _ in range(rng.choice([0, 0, 2, 5, 9, 14])):
-            bits ^= 1 << rng.randrange(64)
-        rows.append(row(i + 1, f"{bits:016x}", rng.choice([None, None, f"s{rng.randrange(8)}"]), rng.choice([None, "m1", "m2"])))
-    got = [(k, m) for k, m, _ in groups(spark, rows, 6, 18)]
-    assert sorted(got) == brute(rows, 6, 18)
+    scenes, items = [rng.getrandbits(64) for _ in range(14)], []
+    for id in range(1, 101):
+        bits = rng.choice(scenes)
+        for place in rng.sample(range(64), rng.choice([0, 0, 1, 4, 7, 11, 16])):
+            bits ^= 1 << place
+        film = rng.random() < 0.15
+        items.append((
+            id, "video" if film else "photo", rng.choice([f"one{id}", f"one{id}", f"copy{rng.randrange(9)}"]), None if film or rng.random() < 0.05 else f"{bits:016x}",
+            rng.choice([None, "09:14", "17:40"]), rng.random() < 0.1, float(rng.randrange(4)), rng.randrange(3) * 1000,
+        ))
+    assert found_groups(spark, items, near, burst, with_bursts) == pairwise_groups(items, near, burst, with_bursts)
 
 
 @pytest.mark.parametrize("threshold, small", [(2, 256), (8, 256), (8, 4), (20, 4)])
