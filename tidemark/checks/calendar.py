@@ -135,13 +135,12 @@ def on_this_day(spark, sf):
 
 
 @query("""
-WITH base AS (SELECT o_orderkey AS id, o_orderdate AS ts, strftime(o_orderdate, '%m%d') AS md FROM orders WHERE year(o_orderdate) < 2001 AND strftime(o_orderdate, '%m%d') NOT IN ('0229'))
-SELECT CAST(year(ts) AS BIGINT) AS year, 'week' AS span, count(*) AS n FROM base WHERE md IN ('0226','0227','0228','0301','0302','0303') GROUP BY 1""")
+SELECT CAST(year(ts) AS BIGINT) AS year, 'week' AS span, count(*) AS n FROM events
+WHERE strftime(ts, '%m%d') IN ('0129','0130','0131','0201','0202','0203','0204') AND NOT EXISTS (SELECT 1 FROM events WHERE strftime(ts, '%m%d') = '0201') GROUP BY 1""")
 def same_week(spark, sf):
-    """A day without any item falls back to the days around it."""
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("taken_at"))
-    o = o.where(~((F.month("taken_at") == 2) & (F.dayofmonth("taken_at") == 29)) & (F.year("taken_at") < 2001))
-    rows = occ.on_this_day(o.withColumn("taken_at", F.col("taken_at")), date(2004, 2, 29))
+    """A day without any item falls back to the days around it: no event is on a first of February."""
+    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("taken_at"))
+    rows = occ.on_this_day(e, date(2027, 2, 1))
     return rows.groupBy(big("year"), "span").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -79,7 +79,7 @@ def stale_rows(spark, sf):
 
 
 @query("""
-WITH h AS (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS y FROM orders WHERE o_orderpriority <> '1-URGENT' AND year(o_orderdate) < 1999),
+WITH h AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS y FROM orders GROUP BY 1 HAVING count(*) % 2 = 0),
 b AS (SELECT f.festival, y.y AS year, make_date(y.y, f.m, f.d) AS date FROM (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS y FROM orders) y,
   (VALUES ('sankranti',1,14),('holi',3,10),('diwali',11,1)) f(festival,m,d))
 SELECT b.festival, CAST(b.year AS BIGINT) AS year, strftime(b.date, '%Y-%m-%d') AS date, 100 + row_number() OVER (ORDER BY festival, year) AS id
@@ -89,7 +89,7 @@ def seeded_windows(spark, sf):
     from tidemark.checks.standin import festivals
 
     builtin = festivals(spark, sf).drop("id", "user_edited")
-    years = table(spark, sf, "orders").where("o_orderpriority <> '1-URGENT' and year(o_orderdate) < 1999").select(F.year("o_orderdate").alias("year")).distinct()
+    years = table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 0")
     have = festivals(spark, sf).join(years, "year", "left_semi").where("festival <> 'holi'").withColumn("id", F.lit(100).cast("bigint"))
     _, added = reference.seed_missing(have.select("id", "festival", "year", "date", "start", "end", "user_edited"), builtin)
     return added.select("festival", big("year"), day_text("date").alias("date"), big("id"))
@@ -129,7 +129,7 @@ def song_list(spark, sf):
 @query("""
 WITH e AS (SELECT o_custkey AS c, o_orderkey AS ts, CASE WHEN o_orderstatus='F' THEN 'name' ELSE 'segment' END AS field,
     CASE WHEN o_orderpriority='5-LOW' THEN NULL ELSE o_orderpriority || o_orderkey END AS value FROM orders WHERE o_orderstatus <> 'P'),
-l AS (SELECT o_custkey AS c, arg_max(CASE WHEN o_totalprice > 300000 THEN 'delete' ELSE 'insert' END, o_orderkey) AS life FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority='1-URGENT' GROUP BY 1),
+l AS (SELECT o_custkey AS c, arg_max(CASE WHEN o_totalprice > 300000 AND o_orderpriority='1-URGENT' THEN 'delete' ELSE 'insert' END, o_orderkey) AS life FROM orders WHERE o_orderstatus = 'P' GROUP BY 1),
 n AS (SELECT c, arg_max({'v': value}, ts) AS x FROM e WHERE field='name' GROUP BY 1), s AS (SELECT c, arg_max({'v': value}, ts) AS x FROM e WHERE field='segment' GROUP BY 1)
 SELECT c_custkey AS id, CASE WHEN n.x IS NULL THEN c_name ELSE n.x.v END AS name, CASE WHEN s.x IS NULL THEN c_mktsegment ELSE s.x.v END AS segment
 FROM customer LEFT JOIN n ON n.c = c_custkey LEFT JOIN s ON s.c = c_custkey LEFT JOIN l ON l.c = c_custkey WHERE coalesce(life, '') <> 'delete'""")
@@ -141,9 +141,8 @@ def edit_overlay(spark, sf):
         "ts", "id", F.lit("set").alias("op"), F.when(F.col("o_orderstatus") == "F", "name").otherwise("segment").alias("field"),
         F.when(F.col("o_orderpriority") != "5-LOW", F.concat("o_orderpriority", F.col("ts").cast("string"))).alias("value"),
     )
-    lives = base.where("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'").select(
-        "ts", "id", F.when(F.col("o_totalprice") > 300000, "delete").otherwise("insert").alias("op")
-    )
+    drop = (F.col("o_totalprice") > 300000) & (F.col("o_orderpriority") == "1-URGENT")
+    lives = base.where("o_orderstatus = 'P'").select("ts", "id", F.when(drop, "delete").otherwise("insert").alias("op"))
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
     return edits.overlay(c, sets.unionByName(lives, allowMissingColumns=True), "id", ["name", "segment"])
 

@@ -169,8 +169,8 @@ s AS (SELECT *, 1/(1+exp(-(log10(greatest(variance,1e-3))-2.0)*3)) AS sharpness,
 SELECT l_orderkey AS id, CAST(l_linenumber AS BIGINT) AS line, l_partkey AS part, l_suppkey AS supp,
   round(sharpness,6) AS sharpness, round(exposure,6) AS exposure, round(resolution,6) AS resolution,
   round(face,6) AS face, round(aesthetic,6) AS aesthetic,
-  round((0.30*sharpness+0.15*exposure+0.10*resolution+coalesce(0.20*face,0)+coalesce(0.25*aesthetic,0))
-    / (0.55 + CASE WHEN face IS NULL THEN 0 ELSE 0.20 END + CASE WHEN aesthetic IS NULL THEN 0 ELSE 0.25 END), 4) AS total
+  round_even(100 * (0.30*sharpness+0.15*exposure+0.10*resolution+coalesce(0.20*face,0)+coalesce(0.25*aesthetic,0))
+    / (0.55 + CASE WHEN face IS NULL THEN 0 ELSE 0.20 END + CASE WHEN aesthetic IS NULL THEN 0 ELSE 0.25 END), 1) AS total
 FROM s""")
 def quality_scores(spark, sf):
     """Score curves and their null-aware weighted mean."""
@@ -194,10 +194,7 @@ def quality_scores(spark, sf):
         "face": numeric.face_score(F.col("eyes"), F.col("mean")),
         "aesthetic": numeric.aesthetic_score(F.col("rating")),
     }
-    weights = numeric.QUALITY_WEIGHTS
-    num = sum(F.coalesce(weights[k] * c, F.lit(0.0)) for k, c in parts.items())
-    den = sum(F.when(c.isNotNull(), weights[k]).otherwise(0.0) for k, c in parts.items())
-    return rows.select("id", "line", "part", "supp", *[F.round(c, 6).alias(k) for k, c in parts.items()], F.round(num / den, 4).alias("total"))
+    return rows.select("id", "line", "part", "supp", *[F.round(c, 6).alias(k) for k, c in parts.items()], numeric.total_score(parts).alias("total"))
 
 
 @query("""
@@ -238,21 +235,18 @@ def json_props(spark, sf):
 
 
 @query("""
-SELECT n_nationkey*1000+y AS id, strftime(make_date(CAST(y AS INTEGER), CAST(m AS INTEGER), CAST(least(d, day(last_day(make_date(CAST(y AS INTEGER), CAST(m AS INTEGER), 1)))) AS INTEGER)),'%Y-%m-%d') AS day,
-  d <= day(last_day(make_date(CAST(y AS INTEGER), CAST(m AS INTEGER), 1))) AS valid,
-  CAST(n AS BIGINT) AS n
-FROM (SELECT n_nationkey, n_nationkey%12+1 AS m, 20+n_nationkey%12 AS d FROM nation),
-  (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1)""")
+SELECT k*1000+y AS id, strftime(make_date(CAST(y AS INTEGER), CAST(m AS INTEGER), CAST(least(d, day(last_day(make_date(CAST(y AS INTEGER), CAST(m AS INTEGER), 1)))) AS INTEGER)),'%Y-%m-%d') AS day,
+  d <= day(last_day(make_date(CAST(y AS INTEGER), CAST(m AS INTEGER), 1))) AS valid, n
+FROM (SELECT c_nationkey AS k, c_nationkey%12+1 AS m, 20+c_nationkey%12 AS d, year(o_orderdate) AS y, count(*) AS n
+  FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL)""")
 def clamped_days(spark, sf):
-    """Fixed month days in every order year, clamped to the end of the month."""
-    key = F.col("n_nationkey")
-    nations = F.array_sort(F.collect_list(F.struct(key, (key % 12 + 1).alias("m"), (20 + key % 12).alias("d"))))
-    days = table(spark, sf, "nation").agg(nations.alias("days")).select("days").scalar()
-    years = table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    rows = years.select("y", "n", F.inline(days))
-    return rows.select(
-        big(key * 1000 + F.col("y"), "id"),
-        day_text(dates.on_year(F.col("m"), F.col("d"), F.col("y"))).alias("day"),
-        dates.valid_month_day(F.col("m"), F.col("d"), F.col("y")).alias("valid"),
+    """A month day per nation in every year with orders from it, clamped to the end of the month."""
+    buyers = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("key"))
+    years = table(spark, sf, "orders").join(buyers, "o_custkey").groupBy("key", F.year("o_orderdate").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    m, d = F.col("key") % 12 + 1, 20 + F.col("key") % 12
+    return years.select(
+        big(F.col("key") * 1000 + F.col("y"), "id"),
+        day_text(dates.on_year(m, d, F.col("y"))).alias("day"),
+        dates.valid_month_day(m, d, F.col("y")).alias("valid"),
         "n",
     )

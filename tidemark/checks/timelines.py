@@ -105,21 +105,20 @@ def moments_rollup(spark, sf):
 
 
 @query("""
-WITH w AS (SELECT o_custkey AS event_id, o_orderdate + to_days(CAST((DATE '2024-01-01' - DATE '1995-01-01') AS INTEGER)) AS s0 FROM orders WHERE year(o_orderdate) = 1995 AND month(o_orderdate) = 1),
-v AS (SELECT event_id, min(s0) AS start_at, min(s0) + to_hours(CAST(6 + event_id % 50 AS INTEGER)) AS end_at FROM w GROUP BY event_id)
-SELECT e.event_id AS id, (SELECT v.event_id FROM v WHERE e.ts BETWEEN v.start_at AND v.end_at ORDER BY start_at, end_at, v.event_id LIMIT 1) AS window_id
-FROM events e WHERE EXISTS (SELECT 1 FROM v WHERE e.ts BETWEEN v.start_at AND v.end_at)""")
+WITH v AS (SELECT o_custkey % 200 AS event_id, TIMESTAMP '2024-01-01' + to_days(CAST(max(o_orderkey) % 29 AS INTEGER)) AS start_at,
+    TIMESTAMP '2024-01-01' + to_days(CAST(max(o_orderkey) % 29 AS INTEGER)) + to_hours(CAST(6 + count(*) % 50 AS INTEGER)) AS end_at FROM orders GROUP BY 1),
+hit AS (SELECT e.event_id AS id, arg_min(v.event_id, {'s': start_at, 'e': end_at, 'i': v.event_id}) AS window_id FROM events e JOIN v ON e.ts BETWEEN v.start_at AND v.end_at GROUP BY 1)
+SELECT id, window_id FROM hit""")
 def absorb_windows(spark, sf):
-    """Events inside fixed windows (laid over the month by order dates); the first window wins."""
-    o = table(spark, sf, "orders").where((F.year("o_orderdate") == 1995) & (F.month("o_orderdate") == 1))
-    shift = F.datediff(F.lit("2024-01-01").cast("date"), F.lit("1995-01-01").cast("date"))
+    """Events inside fixed windows (one for every 200th customer's orders); the first window wins."""
     windows = (
-        o.groupBy(F.col("o_custkey").alias("event_id"))
-        .agg(F.timestamp_add("DAY", shift, F.min("o_orderdate")).cast("timestamp_ntz").alias("start_at"))
-        .withColumn("end_at", F.timestamp_add("HOUR", (6 + F.col("event_id") % 50).cast("int"), "start_at").cast("timestamp_ntz"))
+        table(spark, sf, "orders").groupBy((F.col("o_custkey") % 200).alias("event_id"))
+        .agg(F.max("o_orderkey").alias("k"), F.count(F.lit(1)).alias("n"))
+        .withColumn("start_at", F.timestamp_add("DAY", (F.col("k") % 29).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")).cast("timestamp_ntz"))
+        .withColumn("end_at", F.timestamp_add("HOUR", (6 + F.col("n") % 50).cast("int"), "start_at").cast("timestamp_ntz"))
     )
     items = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("taken_at"))
-    return sessions.absorb(items, windows).withColumnRenamed("event_id", "window_id")
+    return sessions.absorb(items, windows.select("event_id", "start_at", "end_at")).withColumnRenamed("event_id", "window_id")
 
 
 @query()
