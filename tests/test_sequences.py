@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import curation, sessions, vectors
 from tidemark.operators.ordering import carried_last, dense_index, running
+from tidemark.session import cut
 
 
 def test_index_and_running(spark):
@@ -83,6 +84,19 @@ def test_reuse(spark):
     assert got == want
 
 
+def test_reuse_along_a_chain(spark, monkeypatch):
+    """A thousand groups, each over its old event and a part of the next, settle at once."""
+    rounds = []
+    monkeypatch.setattr(sessions, "cut", lambda df: rounds.append(1) or cut(df))
+    old = [(10 * g + i, g, "auto") for g in range(1001) for i in range(10)]
+    new = [(10 * g + i, 5000 + g) for g in range(1000) for i in range(2, 12)]
+    got = sessions.reuse_ids(
+        spark.createDataFrame([(5000 + g, "auto", g) for g in range(1000)], "group_id long, kind string, position long"),
+        spark.createDataFrame(new, "id long, group_id long"), spark.createDataFrame(old, "id long, event_id long, kind string"),
+    )
+    assert {(r["group_id"], r["event_id"]) for r in got.collect()} == {(5000 + g, g) for g in range(1000)} and len(rounds) <= 2
+
+
 def test_diverse_in_rounds(spark):
     """Crowds of look-alikes force several rounds; the result is the sequential one."""
     rng = random.Random(2)

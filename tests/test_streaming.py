@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.streaming import jobs
@@ -35,10 +36,27 @@ def test_copies_and_windows(spark, tmp_path):
     assert sorted((r["id"], r["event_id"]) for r in got) == [(1, 8), (2, 8), (3, 7)]
 
 
-def test_entities(spark, tmp_path):
-    stream = source(spark, tmp_path, [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [-1.0, 0.0])], "id long, embedding array<float>")
-    known = spark.createDataFrame([(10, [1.0, 0.1], True), (20, [0.0, 1.0], True)], "class_id long, class_vector array<double>, named boolean")
-    assert sorted((r["id"], r["class_id"]) for r in run(jobs.stream_entities(stream, known, 0.4), "entities")) == [(1, 10), (2, 20)]
+@pytest.mark.parametrize("max_classes", [1, 2, 100])
+def test_entities(spark, tmp_path, max_classes):
+    arrivals = [(1, [0.6, 0.8]), (2, [0.0, -2.0]), (3, [-1.0, 0.0]), (4, None), (5, [0.5, 0.5])]
+    stream = source(spark, tmp_path, arrivals, "id long, embedding array<float>")
+    known = spark.createDataFrame([(30, [0.0, 1.0]), (10, [1.0, 0.0]), (20, [0.0, -1.0]), (40, [1.0, 0.0])], "class_id long, class_vector array<double>")
+    got = run(jobs.stream_entities(stream, known, 0.4, max_classes=max_classes), f"entities{max_classes}")
+    assert sorted((r["id"], r["class_id"], round(r["similarity"], 5)) for r in got) == [(1, 30, 0.8), (2, 20, 2.0), (5, 10, 0.5)]
+    assert run(jobs.stream_entities(stream, known.limit(0), 0.4), f"no_one{max_classes}") == []
+
+
+def test_late_rows_do_not_turn_back_the_state(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STATE_STORE)
+    t = datetime(2021, 6, 1)
+    schema = "id long, who string, ts timestamp, mark array<double>"
+    stream = source(spark, tmp_path / "in", [(1, "k", t, [0.0]), (2, "k", t + timedelta(seconds=200), [50.0])], schema)
+    job = jobs.stream_thin(stream, "who", "mark").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out"))
+    job.trigger(availableNow=True).start().awaitTermination()
+    # an hour late and unlike the last one: kept; then one like the last one: dropped
+    source(spark, tmp_path / "in", [(3, "k", t - timedelta(hours=1), [90.0]), (4, "k", t + timedelta(seconds=260), [51.0])], schema)
+    job.trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
 
 
 def test_thinning(spark, tmp_path):

@@ -121,7 +121,22 @@ def absorb_windows(spark, sf):
     return sessions.absorb(items, windows.select("event_id", "start_at", "end_at")).withColumnRenamed("event_id", "window_id")
 
 
-@query()
+def _sessions(hours: int) -> str:
+    return f"""
+m{hours} AS (SELECT event_id AS id, user_id AS u, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM
+  (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL {hours} HOUR THEN 1 ELSE 0 END AS fresh FROM events)),
+g{hours} AS MATERIALIZED (SELECT id, min(id) OVER (PARTITION BY u, k) AS g, min(ts) OVER (PARTITION BY u, k) AS s FROM m{hours})"""
+
+
+@query(f"""WITH RECURSIVE {_sessions(4)}, {_sessions(6)},
+edge AS (SELECT a.g, a.s, b.g AS e, count(*) AS n FROM g4 a JOIN g6 b USING (id) GROUP BY ALL),
+turn AS MATERIALIZED (SELECT g, row_number() OVER (ORDER BY s, g) AS rn, wish FROM (SELECT g, s, list(e ORDER BY n DESC, e) AS wish FROM edge GROUP BY 1, 2)),
+walk(rn, g, e, used) AS (
+  SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT t.rn, t.g, x.e, CASE WHEN x.e IS NULL THEN w.used ELSE list_append(w.used, x.e) END
+  FROM walk w JOIN turn t ON t.rn = w.rn + 1, LATERAL (SELECT list_filter(t.wish, lambda v: NOT list_contains(w.used, v))[1] AS e) x)
+SELECT g AS group_id, e AS event_id FROM walk WHERE e IS NOT NULL""")
 def id_reuse(spark, sf):
     """New 4 hour sessions take over the ids of the 6 hour sessions they overlap most."""
     e = table(spark, sf, "events").select(F.col("event_id").alias("id"), "user_id", F.col("ts").alias("taken_at"))

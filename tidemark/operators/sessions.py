@@ -139,8 +139,12 @@ def reuse_ids(groups: DataFrame, members: DataFrame, old: DataFrame) -> DataFram
 
     ``groups``: group_id, kind, position (sortable). ``members``: id, group_id. ``old``: id,
     event_id, kind. Groups choose in order of position, each old event is used once, and only
-    an event of the same kind qualifies. A choice is final as soon as no earlier undecided
-    group touches the same event, so all such groups decide in one round.
+    an event of the same kind qualifies.
+
+    All groups ask for the best event they were not refused; an event keeps the earliest that
+    asked and refuses all later ones for good. As every event prefers earlier groups, this ends
+    where choosing one after the other would. There are as many rounds as refusals follow from
+    each other, not as many as groups overlap.
     """
     seen = old.groupBy("event_id").agg(F.min("id").alias("seen"))
     edges = (
@@ -149,16 +153,13 @@ def reuse_ids(groups: DataFrame, members: DataFrame, old: DataFrame) -> DataFram
         .groupBy("group_id", "position", "event_id")
         .agg(F.count(F.lit(1)).alias("n"))
         .join(seen, "event_id")
+        .withColumn("turn", F.struct("position", "group_id"))
+        .drop("position")
     )
-    edges = cut(edges)
-    decided = None
     while True:
-        choice = edges.groupBy("group_id", "position").agg(
-            F.max_by("event_id", F.struct("n", -F.col("seen"))).alias("event_id")
-        )
-        earliest = edges.groupBy("event_id").agg(F.min("position").alias("position"))
-        final = cut(choice.join(earliest, ["event_id", "position"]).select("group_id", "event_id"))
-        decided = final if decided is None else decided.unionByName(final)
-        edges = cut(edges.join(final, "group_id", "left_anti").join(final, "event_id", "left_anti"))
-        if edges.isEmpty():
-            return decided
+        edges = cut(edges)
+        asked = edges.groupBy("group_id", "turn").agg(F.max_by("event_id", F.struct("n", -F.col("seen"))).alias("event_id"))
+        held = asked.groupBy("event_id").agg(F.min("turn").alias("holder"))
+        if asked.join(held, "event_id").where("turn > holder").isEmpty():
+            return asked.select("group_id", "event_id")
+        edges = edges.join(held, "event_id", "left").where("holder is null or turn <= holder").drop("holder")

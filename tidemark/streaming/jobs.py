@@ -9,11 +9,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.changes import classify_changes
+from tidemark.operators.ordering import dense_index
+from tidemark.operators.vectors import CLASS_ROWS, matrix
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -99,9 +102,11 @@ class _Thinning(StatefulProcessor):
                 kept.append(i)
                 continue
             value = np.asarray(value, dtype=np.float64)
-            if at is not None and us - at <= self.window_us and np.abs(value - mark).mean() < self.max_diff:
+            if at is not None and abs(us - at) <= self.window_us and np.abs(value - mark).mean() < self.max_diff:
                 continue
-            at, mark = int(us), value
+            # a row that comes late is kept, but what came after it stays the last one
+            if at is None or us >= at:
+                at, mark = int(us), value
             kept.append(i)
         if at is not None:
             self.state.update((at, [float(x) for x in mark]))
@@ -112,7 +117,10 @@ class _Thinning(StatefulProcessor):
 
 
 def stream_thin(stream: DataFrame, owner: str, fingerprint: str, window_s: float = 120, max_diff: float = 12.0, ts: str = "ts", key: str = "id") -> DataFrame:
-    """Sequential thinning per owner; rows are put in order within each batch."""
+    """Sequential thinning per owner; rows are put in order within each batch.
+
+    State has no expiry: with a clock of its own the query would never come to an end on a bounded source.
+    """
     rows = stream.select(
         F.col(owner).alias("owner"),
         F.col(key).alias("id"),
@@ -128,8 +136,40 @@ def stream_thin(stream: DataFrame, owner: str, fingerprint: str, window_s: float
     )
 
 
-def stream_entities(stream: DataFrame, persons: DataFrame, threshold: float, vector: str = "embedding", key: str = "id") -> DataFrame:
-    """Assign arriving vectors to known centroids (class_id, class_vector, named)."""
-    from tidemark.operators.vectors import nearest_class
+def stream_entities(
+    stream: DataFrame, persons: DataFrame, threshold: float, vector: str = "embedding", key: str = "id", max_classes: int = CLASS_ROWS
+) -> DataFrame:
+    """(key, class_id, similarity) of arriving vectors at or above ``threshold``; equal ones go to the lowest class.
 
-    return nearest_class(stream, persons, threshold, key, vector)
+    The centroids (class_id, class_vector) are those of the start of the query. They are sent to the tasks in shards of
+    ``max_classes``; the stream passes one after the other and carries its best match along. Without any nothing matches.
+    """
+    known = dense_index(persons.select("class_id", F.col("class_vector").cast("array<double>").alias("v")), [F.col("class_id")], "at")
+    shards = -(-known.count() // max_classes)
+    found = stream.where(F.col(vector).isNotNull()).select(
+        F.col(key).cast("bigint").alias(key), F.col(vector).cast("array<double>").alias("v"), F.lit(None).cast("bigint").alias("class_id"),
+        F.lit(None).cast("double").alias("similarity"),
+    )
+    for n in range(shards):
+        # at most max_classes rows
+        rows = known.where(F.floor(F.col("at") / max_classes) == n).orderBy("class_id").collect()
+        ids, mat = np.array([r["class_id"] for r in rows]), np.array([r["v"] for r in rows])
+
+        def better(batches: Iterator[pa.RecordBatch], ids=ids, mat=mat) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                sims = matrix(batch.column("v")) @ mat.T
+                top = sims.argmax(axis=1)
+                score = sims[np.arange(len(sims)), top]
+                before = batch.column("similarity").fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                old = batch.column("class_id").fill_null(-1).to_numpy(zero_copy_only=False)
+                new = (score >= threshold) & (score > before)
+                best, value = np.where(new, ids[top], old), np.where(new, score, before)
+                none = value == -np.inf
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(best, mask=none), pa.array(value, mask=none)], names=batch.schema.names
+                )
+
+        found = found.mapInArrow(better, found.schema)
+    return found.where("class_id is not null").drop("v")
