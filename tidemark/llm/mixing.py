@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import stored
 from tidemark.operators.ordering import dense_index, running
 
+SLOTS_PER_TASK = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -129,6 +130,9 @@ def _shard_counts(plan: DataFrame, settings: Settings) -> DataFrame:
 def slots_of(plan: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(shard, rank, number, epoch, block): the block of each slot of the output."""
     counts = _shard_counts(plan, settings).join(plan.select("rank", "blocks"), "rank")
+    # a row here becomes many: dealt out by the slots to come, as the counts themselves would fit one task
+    slots = plan.agg(F.sum("quota")).first()[0] or 0
+    counts = counts.repartition(1 + slots // SLOTS_PER_TASK, "rank", "shard")
     each = counts.select("shard", "rank", "blocks", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)).alias("number"))
     epoch = F.floor(F.col("number") / F.col("blocks"))
     return each.select(
