@@ -328,6 +328,17 @@ def test_pieces_make_up_the_text(spark):
         assert "".join(r["p"]) == texts[r["i"]] and all(len(x) <= 2001 for x in r["p"])
 
 
+def test_a_last_line_is_cut_like_one_inside(spark):
+    rng = random.Random(8)
+    lines = {n: (" ".join(prose(rng, 12) + "." for _ in range(60)))[:n] for n in (500, 1999, 2000, 2500)}
+    texts = [t for line in lines.values() for t in (line, line + "\n" + "z")]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", F.regexp_extract_all("t", F.lit(fuzzy_lines.PIECES)).alias("p")).collect()
+    cut = {r["i"]: [x.rstrip("\n") for x in r["p"]] for r in rows}
+    assert cut[0] == [lines[500]] and all(cut[i] + ["z"] == cut[i + 1] for i in range(0, len(texts), 2))
+    docs = spark.createDataFrame([(1, "z z\n" + lines[500] + "\nother words"), (2, "more text\n" + lines[500])], "doc_id long, text string")
+    assert {(r["doc_id"], r["line"]) for r in fuzzy_lines.decisions(docs).collect() if not r["kept"]} == {(2, 1)}
+
+
 def test_fuzzy_lines_against_all_pairs(spark):
     """Groups equal those of all pairs that share a key, are near in bits and similar in letters."""
     rng = random.Random(12)
