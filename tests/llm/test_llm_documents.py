@@ -394,6 +394,26 @@ def test_fuzzy_lines_against_all_pairs(spark):
     assert {(r["doc_id"], r["line"]) for r in decided if r["kept"] and r["group"] is not None} == set(firsts.values())
 
 
+def test_edited_lines_meet(spark):
+    """Lines against an edited copy each: nearly all with edit similarity 0.8 are found, whatever their bits are."""
+    rng = random.Random(21)
+    one, two = [], []
+    while len(one) < 200:
+        n = rng.choice([3, 6, 8, 10, 20, 30])
+        w = prose(rng, n).split()
+        v = list(w)
+        for at in rng.sample(range(n), max(1, n // 10)):
+            v[at] = word(rng) if rng.random() < 0.7 else v[at][:1] + "q" + v[at][1:]
+        a, b = " ".join(w), " ".join(v)
+        if a != b and distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9):
+            one.append(a)
+            two.append(b)
+    docs = spark.createDataFrame([(1, "\n".join(one)), (2, "\n".join(two))], "doc_id long, text string")
+    dropped = {r["doc_id"]: len(r["dropped"]) for r in fuzzy_lines.documents(docs).collect()}
+    print("found of 200:", dropped[2])
+    assert dropped[2] >= 190 and dropped[1] <= 10
+
+
 def test_simhash_of_a_line(spark):
     rng = random.Random(3)
     texts = [prose(rng, n) for n in (1, 2, 3, 30, 120, 1000)] + ["abcd abcd efgh", "de la"]
