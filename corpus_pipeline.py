@@ -28,7 +28,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return materialise.ordered(docs)
+    return materialise.materialised(docs)
 
 
 STAGES = [

@@ -569,6 +569,29 @@ def test_training_order_round_trip(spark, tmp_path):
     assert materialise.ordered(empty(spark)).count() == 0
 
 
+def test_resume_with_another_split(spark, tmp_path):
+    """The order is that of the data, and shards of another order are not kept."""
+    settings = materialise.Settings(length=64, per_shard=50)
+    docs, folder = messy(spark), tmp_path / "shards"
+
+    def plain(df):
+        return sorted(tuple(r) for r in df.select("slot", "shard", "offset", "doc_id", "part", "n", "payload").collect())
+
+    one = plain(materialise.materialised(docs.repartition(3), settings, str(folder)))
+    assert one == plain(materialise.ordered(docs.repartition(5, "text"), settings))
+    kept = {f.name: (f.read_bytes(), f.stat().st_mtime_ns) for f in folder.iterdir() if f.name.endswith(".bin")}
+    assert len(kept) == one[-1][1] + 1
+    (folder / "shard-000000.bin").unlink()
+    (folder / "shard-000001.bin").write_bytes(kept["shard-000001.bin"][0][::-1])
+    assert plain(materialise.materialised(docs.repartition(7, "source"), settings, str(folder))) == one
+    again = {f.name: (f.read_bytes(), f.stat().st_mtime_ns) for f in folder.iterdir() if f.name.endswith(".bin")}
+    assert {k: v[0] for k, v in again.items()} == {k: v[0] for k, v in kept.items()}
+    assert all(again[k] == kept[k] for k in kept if k > "shard-000001.bin")
+    with pytest.raises(ValueError):
+        materialise.materialised(docs.limit(3), settings, str(folder))
+    assert materialise.materialised(empty(spark)).count() == 0
+
+
 def test_feistel_is_a_permutation(spark):
     for n in (1, 2, 3, 5, 17, 1000):
         slots = [r["slot"] for r in materialise.permuted(spark.range(n).withColumnRenamed("id", "i"), "i", n, 4).collect()]

@@ -1,16 +1,17 @@
 """Training-order materialisation: token ids in fixed-stride shards, in the order of a keyed Feistel permutation.
 
 1. Texts are tokenised with a public vocabulary (``vocabulary``: a rank file, its path is a parameter) and end with ``end``.
-   Every ``length`` ids are a sequence, which has ids of one text only. Sequences are written once to the shared folder, each with
-   its partition and number in it; only counts per partition are summed up to give a sequence its index.
+   Every ``length`` ids are a sequence, which has ids of one text only. Sequences are written once to the shared folder. A sequence's
+   index is its place in the order of id, text hash and part; rows equal in all of them have equal sequences.
 2. A Feistel network over the next even number of bits permutes the index, keyed by ``key``; it walks the cycle until the result
    is below the number of sequences. Each sequence so has one global slot and each slot one sequence, whatever their number.
 3. A range shuffle by slot brings the sequences to their shards, sorted. Sequences are padded with ``pad`` to the same stride, so
    slot s is at byte (s mod ``per_shard``) * stride of shard s div ``per_shard``: reads are sequential and can start anywhere.
 
-The order depends on key, rows and the partitions in which the table is read, not on timing; a task that runs again gives the same
-rows. ``write_shards`` writes a file per shard under another name and moves it, so a shard is whole or absent, and skips those that
-are there: a broken run is taken up again.
+The order depends on key and rows only, not on files, partitions or timing. ``write_shards`` writes a file per shard under another
+name and moves it, so a shard is whole or absent. A shard that is there stays only if its bytes have the digest of the shard to be
+written, else it is replaced: a broken run is taken up again, and orders are never mixed. ``materialised`` writes all shards and gives
+the rows with the payloads as read back from them; it is an error if the folder then holds shards beyond the last one.
 
 Defined cases. Null and empty texts are the end id alone. Repeated rows are sequences of their own, ids may be null. An empty table
 gives no sequence. A text of any length is cut into as many sequences as it needs. Only ``doc_id`` and ``text`` are read.
@@ -19,6 +20,7 @@ gives no sequence. A text of any length is cut into as many sequences as it need
 from __future__ import annotations
 
 import base64
+import hashlib
 import posixpath
 from dataclasses import dataclass
 
@@ -28,7 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import filesystem, put_file, stored
+from tidemark.llm.common import filesystem, put_file, shared_folder, stored
+from tidemark.operators.ordering import dense_index
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: how the public vocabulary cuts texts before merging
@@ -76,8 +79,8 @@ def parts_of(text: str, size: int = PART) -> list[str]:
 
 
 def sequences(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(partition, number, doc_id, part, n, ids) of every sequence; ids are little-endian 16-bit numbers."""
-    schema = pa.schema([("partition", pa.int64()), ("number", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int32()), ("n", pa.int32()), ("ids", pa.binary())])
+    """(partition, number, doc_id, hash, part, n, ids) of every sequence; ids are little-endian 16-bit numbers."""
+    schema = pa.schema([("partition", pa.int64()), ("number", pa.int64()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("part", pa.int32()), ("n", pa.int32()), ("ids", pa.binary())])
 
     def run(batches):
         encode = encoder(settings.vocabulary).encode_to_numpy
@@ -90,12 +93,12 @@ def sequences(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, text, digest in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 parts = parts_of(text.as_py() or "")
                 ids = np.concatenate([*(encode(p, disallowed_special=()) for p in parts), [settings.end]]).astype("<u2")
                 for k in range(0, len(ids), settings.length):
                     own = ids[k : k + settings.length]
-                    rows.append((partition, number, doc_id, k // settings.length, len(own), own.tobytes()))
+                    rows.append((partition, number, doc_id, digest, k // settings.length, len(own), own.tobytes()))
                     number += 1
                     held += own.nbytes
                 if held > 1 << 22:
@@ -103,8 +106,9 @@ def sequences(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
                     rows, held = [], 0
         yield out()
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-        run, "partition bigint, number bigint, doc_id bigint, part int, n int, ids binary"
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("bigint"), text, F.xxhash64(text).alias("hash")).mapInArrow(
+        run, "partition bigint, number bigint, doc_id bigint, hash bigint, part int, n int, ids binary"
     )
 
 
@@ -137,19 +141,11 @@ def permuted(df: DataFrame, index: str, n: int, key: int, name: str = "slot") ->
 
 def ordered(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(slot, shard, offset, doc_id, part, n, payload) of every sequence, in slot order within range partitions."""
-    spark = docs.sparkSession
     kept = stored(sequences(docs, settings), "sequences")
-    sizes = kept.groupBy("partition").agg(F.count(F.lit(1)).alias("own"))
-    # one number per input partition
-    counts = sorted((r["partition"], r["own"]) for r in sizes.collect())
-    starts, n = [], 0
-    for partition, own in counts:
-        starts.append((partition, n))
-        n += own
-    starts = spark.createDataFrame(starts, "partition bigint, start bigint")
-    # one number per partition that holds rows
-    placed = kept.join(F.broadcast(starts), "partition").withColumn("_index", F.col("start") + F.col("number"))
-    slots = permuted(placed, "_index", n, settings.key)
+    narrow = kept.select("partition", "number", "doc_id", "hash", "part")
+    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("hash"), F.col("part"), F.col("partition"), F.col("number")]
+    placed = permuted(dense_index(narrow, order, "_index"), "_index", kept.count(), settings.key).select("partition", "number", "slot")
+    slots = kept.join(stored(placed, "slots"), ["partition", "number"])
     parts = [settings.partitions] if settings.partitions else []
     pad = F.lit(int(settings.pad).to_bytes(2, "little"))
     return slots.repartitionByRange(*parts, "slot").sortWithinPartitions("slot").select(
@@ -161,18 +157,26 @@ def ordered(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     )
 
 
+def _digest(store, path: str) -> bytes:
+    digest = hashlib.sha256()
+    with store.open_input_file(path) as shard:
+        for part in iter(lambda: shard.read(1 << 20), b""):
+            digest.update(part)
+    return digest.digest()
+
+
 def write_shards(rows: DataFrame, folder: str) -> DataFrame:
-    """Write ``shard-000000.bin`` and so on; (shard, sequences) of every shard. Shards that are there stay."""
+    """Write ``shard-000000.bin`` and so on; (shard, sequences) of every shard. Shards that are there with the same bytes stay."""
 
     def run(batches):
         import tempfile
 
-        open_shard, spool, count = None, None, 0
+        open_shard, spool, count, digest = None, None, 0, None
 
         def close():
             target = posixpath.join(folder, f"shard-{open_shard:06d}.bin")
             store, path = filesystem(target)
-            if not store.get_file_info(path).is_file:
+            if not store.get_file_info(path).is_file or _digest(store, path) != digest.digest():
                 spool.seek(0)
                 put_file(target, lambda out: [out.write(x) for x in iter(lambda: spool.read(1 << 20), b"")])
             spool.close()
@@ -183,8 +187,9 @@ def write_shards(rows: DataFrame, folder: str) -> DataFrame:
                 if shard != open_shard:
                     if open_shard is not None:
                         yield close()
-                    open_shard, spool, count = shard, tempfile.SpooledTemporaryFile(1 << 24), 0
+                    open_shard, spool, count, digest = shard, tempfile.SpooledTemporaryFile(1 << 24), 0, hashlib.sha256()
                 spool.write(payload)
+                digest.update(payload)
                 count += 1
         if open_shard is not None:
             yield close()
@@ -192,6 +197,50 @@ def write_shards(rows: DataFrame, folder: str) -> DataFrame:
     return rows.repartition("shard").sortWithinPartitions("slot").select("shard", "payload").mapInArrow(run, "shard bigint, sequences bigint")
 
 
+def read_shards(places: DataFrame, folder: str, settings: Settings = Settings()) -> DataFrame:
+    """``places`` (slot, shard, offset, doc_id, part, n) with the payload that the shards hold for each slot."""
+
+    def run(batches):
+        name, shard = None, None
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1024):  # a megabyte of payloads at 512 ids
+                part = batch.slice(low, 1024)
+                payloads = []
+                for number, offset in zip(part.column("shard").to_pylist(), part.column("offset").to_pylist(), strict=True):
+                    if number != name:
+                        if shard is not None:
+                            shard.close()
+                        store, path = filesystem(posixpath.join(folder, f"shard-{number:06d}.bin"))
+                        name, shard = number, store.open_input_file(path)
+                    shard.seek(offset)
+                    payload = shard.read(settings.stride)
+                    if len(payload) != settings.stride:
+                        raise ValueError(f"shard {number} ends before byte {offset + settings.stride}")
+                    payloads.append(payload)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(payloads, pa.binary())], [*part.schema.names, "payload"])
+        if shard is not None:
+            shard.close()
+
+    schema = "slot bigint, shard bigint, offset bigint, doc_id bigint, part int, n int, payload binary"
+    return places.mapInArrow(run, schema)
+
+
+def materialised(docs: DataFrame, settings: Settings = Settings(), folder: str | None = None) -> DataFrame:
+    """The rows of ``ordered``, written as shards to ``folder`` (a fresh one of the shared store by default) and read back."""
+    from pyarrow import fs
+
+    folder = folder or shared_folder(docs.sparkSession, "shards")
+    rows = ordered(docs, settings)
+    # one row for all shards
+    last = write_shards(rows, folder).agg(F.max("shard")).first()[0]
+    store, path = filesystem(folder)
+    there = store.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    named = [x.base_name for x in there if x.base_name.startswith("shard-") and x.base_name.endswith(".bin")]
+    if len(named) != (0 if last is None else last + 1):
+        raise ValueError(f"{folder} holds shards of another order beyond the last one")
+    return read_shards(rows.drop("payload"), folder, settings)
+
+
 def read_slot(folder: str, slot: int, settings: Settings = Settings()) -> np.ndarray:
     """The padded ids of one slot, read at its place in its shard."""
     store, path = filesystem(posixpath.join(folder, f"shard-{slot // settings.per_shard:06d}.bin"))

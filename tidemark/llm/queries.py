@@ -33,7 +33,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = materialise.ordered(read(spark, sf_dir, "documents"))
+    rows = materialise.materialised(read(spark, sf_dir, "documents"))
     return rows.withColumn("sha256", F.sha2("payload", 256)).drop("payload")
 
 
