@@ -139,16 +139,15 @@ def permuted(df: DataFrame, index: str, n: int, key: int, name: str = "slot") ->
     return out
 
 
-def ordered(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(slot, shard, offset, doc_id, part, n, payload) of every sequence, in slot order within range partitions."""
+def _placed(docs: DataFrame, settings: Settings) -> DataFrame:
+    """(slot, shard, offset, doc_id, part, n, payload) of every sequence, in no order."""
     kept = stored(sequences(docs, settings), "sequences")
     narrow = kept.select("partition", "number", "doc_id", "hash", "part")
     order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("hash"), F.col("part"), F.col("partition"), F.col("number")]
     placed = permuted(dense_index(narrow, order, "_index"), "_index", kept.count(), settings.key).select("partition", "number", "slot")
     slots = kept.join(stored(placed, "slots"), ["partition", "number"])
-    parts = [settings.partitions] if settings.partitions else []
     pad = F.lit(int(settings.pad).to_bytes(2, "little"))
-    return slots.repartitionByRange(*parts, "slot").sortWithinPartitions("slot").select(
+    return slots.select(
         "slot",
         F.floor(F.col("slot") / settings.per_shard).alias("shard"),
         (F.col("slot") % settings.per_shard * settings.stride).alias("offset"),
@@ -157,6 +156,16 @@ def ordered(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     )
 
 
+def _by_slot(rows: DataFrame, settings: Settings) -> DataFrame:
+    parts = [settings.partitions] if settings.partitions else []
+    return rows.repartitionByRange(*parts, "slot").sortWithinPartitions("slot")
+
+
+def ordered(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(slot, shard, offset, doc_id, part, n, payload) of every sequence, in slot order within range partitions."""
+    return _by_slot(_placed(docs, settings), settings)
+
+
 def _digest(store, path: str) -> bytes:
     digest = hashlib.sha256()
     with store.open_input_file(path) as shard:
@@ -230,7 +239,7 @@ def materialised(docs: DataFrame, settings: Settings = Settings(), folder: str |
     from pyarrow import fs
 
     folder = folder or shared_folder(docs.sparkSession, "shards")
-    rows = ordered(docs, settings)
+    rows = _placed(docs, settings)
     # one row for all shards
     last = write_shards(rows, folder).agg(F.max("shard")).first()[0]
     store, path = filesystem(folder)
@@ -238,7 +247,7 @@ def materialised(docs: DataFrame, settings: Settings = Settings(), folder: str |
     named = [x.base_name for x in there if x.base_name.startswith("shard-") and x.base_name.endswith(".bin")]
     if len(named) != (0 if last is None else last + 1):
         raise ValueError(f"{folder} holds shards of another order beyond the last one")
-    return read_shards(rows.drop("payload"), folder, settings)
+    return read_shards(_by_slot(rows.drop("payload"), settings), folder, settings)
 
 
 def read_slot(folder: str, slot: int, settings: Settings = Settings()) -> np.ndarray:
