@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import inspect
 import random
 import re
 import struct
@@ -414,6 +415,10 @@ def test_edited_lines_meet(spark):
     assert dropped[2] >= 190 and dropped[1] <= 10
 
 
+def test_bits_of_the_blocks():
+    assert inspect.signature(fuzzy_lines.decisions).parameters["distance"].default == 14
+
+
 def test_simhash_of_a_line(spark):
     rng = random.Random(3)
     texts = [prose(rng, n) for n in (1, 2, 3, 30, 120, 1000)] + ["abcd abcd efgh", "de la"]
