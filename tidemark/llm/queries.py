@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, fuzzy_lines, licenses, materialise, mixing, simhash, tool_calls, toxicity, warc, winnowing
+from tidemark.llm import align, decontaminate, exact_dedup, fuzzy_lines, licenses, materialise, mixing, simhash, spelling, tool_calls, toxicity, warc, winnowing
 from tidemark.llm.common import read
 
 QUERIES = {}
@@ -119,3 +119,26 @@ SELECT p.page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest,
        CASE WHEN largest <> page_id THEN largest END AS refers_to
 FROM p LEFT JOIN same ON digest = sha1(body) AND size = strlen(body)
 """
+
+
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+@query
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(read(spark, sf_dir, "documents"), {"text_sha256": exact_dedup.digest(F.col("text"))}).drop("settled")
+
+
+ORACLES["op12_exact_dedup"] = r"""
+WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id) = 1 AS kept, text_sha256
+FROM t WINDOW same AS (PARTITION BY text_sha256)
+"""
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.documents(read(spark, sf_dir, "documents"))
