@@ -225,12 +225,12 @@ def test_people_match_identities(people):
 
 def test_people_do_not_depend_on_blocks(people, monkeypatch):
     """The same clusters when a round settles a few faces only."""
-    from tidemark.operators import vectors
+    from tidemark.operators import leaders
 
     faces, persons = people
     free = faces.withColumn("person_id", F.lit(None).cast("long"))
-    whole = vectors.leader_clusters(free, 0.4).collect()
-    assert sorted(whole) == sorted(vectors.leader_clusters(free.repartition(7), 0.4, block_bytes=8 * 24 * 4).collect())
+    whole = leaders.leader_clusters(free, 0.4).collect()
+    assert sorted(whole) == sorted(leaders.leader_clusters(free.repartition(7), 0.4, block_bytes=8 * 24 * 4).collect())
 
 
 def test_corrections_survive(spark, people):

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import curation, sessions, vectors
+from tidemark.operators import curation, leaders as leading, sessions, vectors
 from tidemark.operators.ordering import carried_last, dense_index, running
 from tidemark.session import cut
 
@@ -164,7 +164,7 @@ def test_vector_shards(spark):
         assert {(r["id"], r["tag"]) for r in got.collect()} == tags
 
 
-@pytest.mark.parametrize("partitions, block_bytes", [(1, 1 << 20), (4, 1 << 20), (64, 8 * 12 * 7), (4, 8 * 12)])
+@pytest.mark.parametrize("partitions, block_bytes", [(1, 1 << 20), (4, 1 << 20), (64, 8 * 12 * 7), (4, 8 * 12 * 3)])
 def test_leader_clusters(spark, partitions, block_bytes):
     """One rule, whatever the partitions and the size of a block: compared with a loop over the seeds."""
     rng = np.random.default_rng(21)
@@ -181,9 +181,69 @@ def test_leader_clusters(spark, partitions, block_bytes):
     for id, _, v in order:
         want[id] = id if any(id == x for x, _ in leaders) else max(leaders, key=lambda x: np.dot(v, x[1]))[0]
     df = spark.createDataFrame(rows, "id long, quality double, embedding array<double>").repartition(partitions)
-    got = {r["id"]: r["cluster"] for r in vectors.leader_clusters(df, 0.6, block_bytes=block_bytes).collect()}
+    got = {r["id"]: r["cluster"] for r in leading.leader_clusters(df, 0.6, block_bytes=block_bytes).collect()}
     assert got == want and len(leaders) > 7
-    assert vectors.leader_clusters(df.limit(0), 0.6).count() == 0
+    assert leading.leader_clusters(df.limit(0), 0.6).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 40, 10_000])
+def test_first_independent_set(spark, few):
+    """Rounds of joins choose what a loop over the nodes chooses, in few rounds on links without order."""
+    rng = random.Random(3)
+    nodes = list(range(300))
+    links = {tuple(sorted(rng.sample(nodes, 2))) for _ in range(900)} | {(7, n) for n in range(8, 200)}
+    taken: set[int] = set()
+    for n in nodes:
+        if not any(b == n and a in taken for a, b in links):
+            taken.add(n)
+    df = spark.createDataFrame([(n,) for n in nodes], "at long")
+    found, rounds = leading.first_independent(df, spark.createDataFrame([*links, (7, 8)], "better long, worse long"), few)
+    assert {r["at"] for r in found.collect()} == taken
+    assert rounds <= 12 and (few < 10_000 or rounds == 0)
+
+
+def test_first_independent_chain(spark):
+    """A chain is followed by one task once it is short enough."""
+    df = spark.range(500).withColumnRenamed("id", "at")
+    links = df.where("at < 499").select(F.col("at").alias("better"), (F.col("at") + 1).alias("worse"))
+    found, rounds = leading.first_independent(df, links, 490)
+    assert sorted(r["at"] for r in found.collect()) == list(range(0, 500, 2)) and rounds <= 5
+
+
+def test_dense_cluster_is_not_compared_with_itself(spark, monkeypatch):
+    """A cluster of most rows is closed by its leaders: the links between its members are not all made."""
+    made = []
+    pairs = leading.similar_pairs
+
+    def counted(rows, link, blocks):
+        out = cut(pairs(rows, link, blocks))
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(leading, "similar_pairs", counted)
+    rng = np.random.default_rng(2)
+    vectors_ = np.eye(16)[0] + rng.normal(size=(600, 16)) * 0.05
+    rows = [(i, float(i % 13), (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(vectors_)]
+    df = spark.createDataFrame(rows, "id long, quality double, embedding array<double>")
+    got = leading.leader_clusters(df, 0.6, block_rows=32).collect()
+    assert {r["cluster"] for r in got} == {12} and len(got) == 600
+    assert made[0] == 32 * 31 // 2 and sum(made) == made[0]
+
+
+@pytest.mark.parametrize("held", [vectors.SUM_BYTES, 200])
+def test_centroids_in_parts(spark, monkeypatch, held):
+    """Partial sums of tasks that may hold few classes only."""
+    monkeypatch.setattr(vectors, "SUM_BYTES", held)
+    rng = np.random.default_rng(5)
+    rows = [(i, f"c{i % 7}" if i % 10 else None, rng.normal(size=6).tolist() if i % 11 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, c string, v array<double>").repartition(5)
+    got = {r["c"]: (r["members"], r["centroid"]) for r in vectors.centroids(df, "c", "v", 6).collect()}
+    assert set(got) == {f"c{k}" for k in range(7)}
+    for name, (members, centroid) in got.items():
+        own = np.array([v for _, c, v in rows if c == name and v])
+        mean = own.sum(axis=0)
+        assert members == len(own) and np.allclose(centroid, mean / (np.linalg.norm(mean) + 1e-8))
+    assert vectors.centroids(df.limit(0), "c", "v", 6).collect() == []
 
 
 def test_windows_of_two_owners(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.checks.registry import big, query
 from tidemark.checks.standin import library, table, with_tables
-from tidemark.operators import curation, entities, vectors
+from tidemark.operators import curation, entities, leaders, vectors
 from tidemark.plans import views
 
 CENTROIDS = """
@@ -85,7 +85,7 @@ SELECT id, cluster FROM clusters""")
 def leader_clusters(spark, sf):
     """Greedy clusters of all vectors, best quality first."""
     rows = _vectors(spark, sf).withColumn("quality", F.pmod(F.col("id") * 37, F.lit(101)) / 100.0)
-    return vectors.leader_clusters(rows, 0.40)
+    return leaders.leader_clusters(rows, 0.40)
 
 
 def _matched(source: str, target: str) -> str:

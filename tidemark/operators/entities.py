@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import iou
+from tidemark.operators.leaders import leader_clusters
 from tidemark.operators.ordering import dense_index
-from tidemark.operators.vectors import centroids, leader_clusters, nearest_class, similarity_to_own
+from tidemark.operators.vectors import centroids, nearest_class, similarity_to_own
 from tidemark.params import (
     CARRY_OVER_IOU,
     LINK_THRESHOLD,

@@ -17,13 +17,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.functions.numeric import dot, norm
-from tidemark.operators.ordering import dense_index
 from tidemark.session import cut
 
+# most bytes of class vectors that are sent to every task, and most rows of them
+CLASS_BYTES = 32 << 20
 CLASS_ROWS = 20_000
-ITEM_BLOCK = 20_000
-# vectors that the leaders of one round are chosen from
-LEADER_BYTES = 32 << 20
+# rows and bytes of vectors that a task holds of either side when two tables meet block by block
+BLOCK_ROWS = 4096
+BLOCK_BYTES = 8 << 20
+# similarities that a task holds at once
+BLOCK_CELLS = 1 << 21
+# bytes of partial sums that a task holds before it passes them on
+SUM_BYTES = 32 << 20
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -35,17 +40,66 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
 
 
+def _summed(rows: DataFrame, schema: str) -> DataFrame:
+    """(by, members, sum) with one row per class and task, from rows (by, members, sum).
+
+    A task with more classes than fit passes some on early, but never the one it read last: where
+    equal classes follow each other, each gives one row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            counts, sums = zip(*held.values(), strict=True)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(held), kind), pa.array(counts, pa.int64()), pa.array([x.tolist() for x in sums], pa.list_(pa.float64()))], ["by", "members", "sum"]
+            )
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind = batch.column(0).type
+            coded = batch.column(0).dictionary_encode()
+            codes = coded.indices.to_numpy()
+            order = np.argsort(codes, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(codes[order]) > 0])
+            sums = np.add.reduceat(matrix(batch.column(2))[order], starts, axis=0)
+            counts = np.add.reduceat(batch.column(1).to_numpy()[order], starts)
+            for name, count, total in zip(coded.dictionary.to_pylist(), counts.tolist(), sums, strict=True):
+                if name in held:
+                    held[name] = (held[name][0] + count, held[name][1] + total)
+                else:
+                    held[name] = (count, total)
+                    size += total.nbytes
+            if size > SUM_BYTES:
+                last = batch.column(0)[batch.num_rows - 1].as_py()
+                kept = held.pop(last)
+                if held:
+                    yield out()
+                held, size = {last: kept}, kept[1].nbytes
+        if held:
+            yield out()
+
+    return rows.mapInArrow(run, schema)
+
+
 def centroids(rows: DataFrame, by: str, vector: str, dim: int, mean: bool = False) -> DataFrame:
-    """(by, centroid, members): normalised sum (or mean) of the members' vectors.
+    """(by, centroid, members): normalised sum (or mean) of the members' vectors of ``dim`` components.
 
-    One partial aggregate per component: a large class is summed before anything is shuffled.
+    Each task adds its vectors up as matrices, class by class; what is shuffled is one partial sum
+    per class and task, so a large class arrives as at most one row from each task.
     """
-    sums = [F.sum(F.get(F.col(vector), i).cast("double")).alias(f"_s{i}") for i in range(dim)]
-    totals = rows.where(F.col(by).isNotNull() & F.col(vector).isNotNull()).groupBy(by).agg(
-        F.count(F.lit(1)).alias("members"), *sums
+    kind = dict(rows.dtypes)[by]
+    schema = f"by {kind}, members bigint, sum array<double>"
+    first = rows.where(F.col(by).isNotNull() & F.col(vector).isNotNull()).select(
+        F.col(by).alias("by"), F.lit(1).cast("bigint").alias("members"), F.col(vector).cast("array<double>").alias("sum")
     )
+    partial = _summed(first.where(F.size("sum") == dim), schema)
+    totals = _summed(partial.repartition("by").sortWithinPartitions("by"), schema)
     scale = F.col("members").cast("double") if mean else F.lit(1.0)
-    parts = totals.select(by, "members", F.array(*[F.col(f"_s{i}") / scale for i in range(dim)]).alias("_sum"))
+    parts = totals.select(F.col("by").alias(by), "members", F.transform("sum", lambda x: x / scale).alias("_sum"))
     return parts.withColumn("_n", norm(F.col("_sum")) + 1e-8).select(
         by, "members", F.transform("_sum", lambda x: x / F.col("_n")).alias("centroid")
     )
@@ -61,16 +115,54 @@ def similarity_to_own(rows: DataFrame, cents: DataFrame, by: str, vector: str) -
 Kernel = Callable[[pa.RecordBatch, np.ndarray, list], pa.RecordBatch]
 
 
+def blocks_of(n: int, dim: int, rows: int = BLOCK_ROWS, size: int = BLOCK_BYTES) -> int:
+    """How many blocks ``n`` vectors are dealt out to, so that a block has few enough rows and bytes."""
+    return max(1, -(-n // max(1, min(rows, size // (8 * max(1, dim))))))
+
+
+def block_join(left: DataFrame, right: DataFrame, key: str, right_key: str, n_left: int, n_right: int, kernel: Callable, schema: str, triangle: bool = False) -> DataFrame:
+    """``kernel(left table, right table)`` for each of the ``n_left`` x ``n_right`` pairs of blocks.
+
+    Rows are dealt out to blocks by hash, so neither a class nor a quality gathers in one. Each
+    pair of blocks is a group of its own: a task holds two blocks, whatever the sizes of the sides.
+    With ``triangle`` both sides are the same rows and each pair of blocks meets once.
+    """
+
+    def dealt(rows: DataFrame, by: str, own: str, n: int, other: str, others: int, low: bool) -> DataFrame:
+        rows = rows.withColumn(own, F.pmod(F.xxhash64(by), F.lit(n)).cast("int"))
+        first, last = F.lit(0), F.lit(others - 1)
+        if triangle:
+            first, last = (F.col(own), last) if low else (first, F.col(own))
+        return rows.withColumn(other, F.explode(F.sequence(first, last)))
+
+    a = dealt(left, key, "_lb", n_left, "_rb", n_right, True)
+    # with names of its own, as both sides may be the same table
+    b = dealt(right.toDF(*right.columns), right_key, "_rb", n_right, "_lb", n_left, False)
+    target = to_arrow_schema(left.sparkSession.createDataFrame([], schema).schema)
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return target.empty_table()
+        return pa.Table.from_batches([kernel(x, y)]).cast(target)
+
+    return a.groupBy("_lb", "_rb").cogroup(b.groupBy("_lb", "_rb")).applyInArrow(run, schema)
+
+
 def _against_classes(
     items: DataFrame, classes: DataFrame, key: str, vector: str, extra: list[str], kernel: Kernel, schema: str, max_classes: int
-) -> DataFrame:
-    """Run ``kernel(batch, class matrix, class rows)`` for every item and class shard."""
-    table = classes.select("class_id", F.col("class_vector").cast("array<double>"), *[c for c in classes.columns if c not in ("class_id", "class_vector")])
+) -> tuple[DataFrame, bool]:
+    """Run ``kernel(batch, class matrix, class rows)`` for every item and class shard; whether there are several shards.
+
+    The classes are worked out once. Up to ``CLASS_BYTES`` and ``max_classes`` rows of them go to every
+    task; beyond that items and classes meet block by block.
+    """
+    table = cut(classes.select("class_id", F.col("class_vector").cast("array<double>"), *[c for c in classes.columns if c not in ("class_id", "class_vector")]))
     needed = items.where(F.col(vector).isNotNull()).select(key, F.col(vector).alias("_v"), *extra)
-    count = table.limit(max_classes + 1).count()
+    found = table.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("class_vector")).alias("dim")).first()
+    count, dim = found["n"], found["dim"] or 1
     if count == 0:
-        return items.sparkSession.createDataFrame([], schema)
-    if count <= max_classes:
+        return items.sparkSession.createDataFrame([], schema), False
+    if count <= max_classes and count * dim * 8 <= CLASS_BYTES:
         known = table.toPandas()
         cols = known.drop(columns="class_vector").to_dict("list")
         mat = np.stack([np.asarray(v, dtype=np.float64) for v in known["class_vector"]])
@@ -80,28 +172,15 @@ def _against_classes(
                 if batch.num_rows:
                     yield kernel(batch, mat, cols)
 
-        return needed.mapInArrow(one_pass, schema)
-
-    spark = items.sparkSession
-    shards = -(-table.count() // max_classes)
-    salts = max(1, -(-needed.count() // ITEM_BLOCK))
-    numbered = dense_index(table, [F.col("class_id")], "_at")
-    right = numbered.withColumn("_shard", F.floor(F.col("_at") / max_classes).cast("int")).drop("_at").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    left = needed.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).withColumn(
-        "_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    )
+        return needed.mapInArrow(one_pass, schema), False
 
-    def block(part: pa.Table, known: pa.Table) -> pa.Table:
-        if not part.num_rows or not known.num_rows:
-            return target.empty_table()
-        cols = {c: known[c].to_pylist() for c in known.column_names if c != "class_vector"}
-        batch = part.combine_chunks().to_batches()[0]
-        return pa.Table.from_batches([kernel(batch, matrix(known["class_vector"]), cols)])
+    def block(part: pa.Table, known: pa.Table) -> pa.RecordBatch:
+        cols = {c: known[c].to_pylist() for c in known.column_names if c not in ("class_vector", "_lb", "_rb")}
+        return kernel(part.combine_chunks().to_batches()[0], matrix(known["class_vector"]), cols)
 
-    target = to_arrow_schema(spark.createDataFrame([], schema).schema)
-    return left.groupBy("_shard", "_salt").cogroup(right.groupBy("_shard", "_salt")).applyInArrow(block, schema)
+    shards = blocks_of(count, dim, rows=min(max_classes, BLOCK_ROWS))
+    parts = blocks_of(needed.count(), dim)
+    return block_join(needed, table, key, "class_id", parts, shards, block, schema), True
 
 
 def nearest_class(
@@ -138,10 +217,10 @@ def nearest_class(
         )
 
     cols = [forbidden] if forbidden else []
-    found = _against_classes(
+    found, several = _against_classes(
         items, classes, key, vector, cols, kernel, f"{key} bigint, class_id bigint, similarity double", max_classes
     )
-    if classes.limit(max_classes + 1).count() <= max_classes:
+    if not several:
         return found
     best = F.max_by("class_id", F.struct("similarity", -F.col("class_id")))
     return found.groupBy(key).agg(best.alias("class_id"), F.max("similarity").alias("similarity"))
@@ -180,8 +259,8 @@ def zero_shot_tags(
         )
 
     schema = f"{key} bigint, top double, total double, found array<struct<tag:string,logit:double>>"
-    parts = _against_classes(items, classes, key, vector, [], kernel, schema, max_classes)
-    if classes.limit(max_classes + 1).count() > max_classes:
+    parts, several = _against_classes(items, classes, key, vector, [], kernel, schema, max_classes)
+    if several:
         tops = parts.groupBy(key).agg(F.max("top").alias("_top"))
         parts = parts.join(tops, key)
         parts = parts.groupBy(key).agg(
@@ -195,72 +274,3 @@ def zero_shot_tags(
         .where(F.col("p") >= threshold)
         .select(key, "tag", F.round("p", 3).alias("score"))
     )
-
-
-# ---------- leader clustering ----------
-
-def _leads(vectors: np.ndarray, link: float) -> np.ndarray:
-    """Which rows of a best-first block lead: those that no leading row before them is similar to."""
-    free = np.ones(len(vectors), dtype=bool)
-    leads = np.zeros(len(vectors), dtype=bool)
-    for i in range(len(vectors)):
-        if free[i]:
-            leads[i] = True
-            free &= vectors @ vectors[i] < link
-    return leads
-
-
-def leader_clusters(
-    seeds: DataFrame,
-    link: float,
-    key: str = "id",
-    vector: str = "embedding",
-    quality: str = "quality",
-    block_bytes: int = LEADER_BYTES,
-) -> DataFrame:
-    """(key, cluster): clusters of the seeds that have a vector, named after their leaders.
-
-    One rule at every size: a seed leads if no better seed that leads has a similarity of ``link``
-    with it (better: quality, then the lower key); every other seed joins its most similar leader.
-
-    The best seeds still open, as many as ``block_bytes`` hold, are settled among themselves; then
-    all open seeds that are similar to one of the new leaders stop being candidates. Neither the
-    size of the block nor the partitions change the result, as a leader only depends on better ones.
-    """
-    rows = cut(
-        seeds.where(F.col(vector).isNotNull()).select(
-            F.col(key).alias("id"), F.coalesce(F.col(quality).cast("double"), F.lit(0.0)).alias("quality"), F.col(vector).cast("array<double>").alias("_v")
-        )
-    )
-    first = rows.select(F.size("_v").alias("n")).first()
-    if first is None:
-        return rows.select(F.col("id").alias(key), F.col("id").alias("cluster"))
-    block_rows = max(1, block_bytes // (8 * max(1, first["n"])))
-    best_first = [F.col("quality").desc(), F.col("id")]
-    undecided, leaders = rows, None
-    while True:
-        # at most block_bytes of vectors
-        block = undecided.orderBy(*best_first).limit(block_rows).toPandas()
-        if block.empty:
-            break
-        vectors = np.stack([np.asarray(v, dtype=np.float64) for v in block["_v"]])
-        chosen = _leads(vectors, link)
-        found = seeds.sparkSession.createDataFrame(
-            [(int(i), v.tolist()) for i, v in zip(block["id"][chosen], vectors[chosen], strict=True)], "class_id bigint, class_vector array<double>"
-        )
-        leaders = cut(found) if leaders is None else cut(leaders.unionByName(found))
-        if len(block) < block_rows:
-            break
-        lead, last = vectors[chosen], (float(block["quality"].iloc[-1]), int(block["id"].iloc[-1]))
-
-        def open_rows(batches: Iterator[pa.RecordBatch], lead=lead) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    yield batch.filter(pa.array((matrix(batch.column("_v")) @ lead.T).max(axis=1) < link))
-
-        later = (F.col("quality") < last[0]) | ((F.col("quality") == last[0]) & (F.col("id") > last[1]))
-        undecided = cut(undecided.where(later).mapInArrow(open_rows, undecided.schema))
-    # a leader is most similar to itself, whatever the length of its vector
-    others = rows.join(leaders.select(F.col("class_id").alias("id")), "id", "left_anti")
-    joined = nearest_class(others, leaders, link - 1e-9, "id", "_v").select("id", F.col("class_id").alias("cluster"))
-    return joined.unionByName(leaders.select(F.col("class_id").alias("id"), F.col("class_id").alias("cluster"))).withColumnRenamed("id", key)
