@@ -7,8 +7,9 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.dates import add_years, last_day_number, on_year, years_ago_label
+from tidemark.functions.dates import add_years, on_year, years_ago_label
 from tidemark.functions.text import FESTIVAL_NAMES, lookup, occasion_label
+from tidemark.operators.intervals import day_number, points_in_ranges
 from tidemark.operators.ordering import next_on_or_after
 
 EARLY_YEARS = "Early years"
@@ -69,18 +70,14 @@ def calendar_list(occasions: DataFrame, persons: DataFrame) -> DataFrame:
 
 # ---------- placing occasions on date ranges ----------
 
-def _days(ranges: DataFrame, start: str, end: str, name: str) -> DataFrame:
-    return ranges.where(F.col(start) <= F.col(end)).withColumn(
-        name, F.explode(F.sequence(F.col(start).cast("date"), F.col(end).cast("date")))
-    )
-
-
 def overlaps(left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str]) -> DataFrame:
-    """Pairs of rows whose date ranges share a day, as an equi join on the first shared day."""
-    a = _days(left, *left_range, "_day")
-    b = _days(right, *right_range, "_day")
-    first_shared = F.greatest(F.col(left_range[0]).cast("date"), F.col(right_range[0]).cast("date"))
-    return a.join(b, "_day").where(F.col("_day") == first_shared).drop("_day")
+    """Pairs of rows whose date ranges share a day: one of the two starts within the other."""
+    a = left.where(F.col(left_range[0]).cast("date") <= F.col(left_range[1]).cast("date"))
+    b = right.where(F.col(right_range[0]).cast("date") <= F.col(right_range[1]).cast("date"))
+    (la, ha), (lb, hb) = ([day_number(F.col(c)) for c in names] for names in (left_range, right_range))
+    within = points_in_ranges(a, la, b, lb, hb)
+    after = points_in_ranges(b, lb, a, la + 1, ha)
+    return within.unionByName(after)
 
 
 def festival_hits(ranges: DataFrame, festivals: DataFrame, key: str = "event_id") -> DataFrame:
@@ -100,22 +97,32 @@ def festival_hits(ranges: DataFrame, festivals: DataFrame, key: str = "event_id"
     )
 
 
+def _occurrences(ranges: DataFrame, recurring: DataFrame) -> DataFrame:
+    """``recurring`` with its ``date`` in every year that the ranges reach, from its first year on.
+
+    29 Feb falls on 28 Feb in common years. Dates that no calendar has are left out.
+    """
+    reach = ranges.where("start_date <= end_date").agg(F.min(F.year("start_date")).alias("low"), F.max(F.year("end_date")).alias("high")).first()
+    if reach["low"] is None:
+        return recurring.withColumn("date", F.lit(None).cast("date")).limit(0)
+    first = F.greatest(F.coalesce(F.col("first_year"), F.lit(0)), F.lit(reach["low"]))
+    years = F.when(first <= reach["high"], F.sequence(first, F.lit(reach["high"])))
+    leap = (F.col("month") == 2) & (F.col("day") == 29)
+    on = F.when(leap, on_year(F.col("month"), F.col("day"), F.col("_year"))).otherwise(F.try_make_timestamp_ntz("_year", "month", "day", F.lit(0), F.lit(0), F.lit(0)).cast("date"))
+    return recurring.withColumn("_year", F.explode(years)).withColumn("date", on).drop("_year").where("date is not null")
+
+
 def recurring_hits(ranges: DataFrame, recurring: DataFrame, key: str = "event_id") -> DataFrame:
     """Each recurring date inside each range, from its first year on.
 
-    Joined on (month, day) of the days in the range. 28 Feb of a common year also stands for
-    29 Feb.
+    A recurring date is a point in every year, so that what meets are days, not the 366 days of a
+    year. 28 Feb of a common year also stands for 29 Feb.
     """
-    days = _days(ranges.select(key, "start_date", "end_date"), "start_date", "end_date", "date")
-    month, day = F.month("date"), F.dayofmonth("date")
-    stands_for = F.when(
-        (month == 2) & (day == 28) & (last_day_number(F.year("date"), F.lit(2)) == 28), F.array(F.lit(28), F.lit(29))
-    ).otherwise(F.array(day))
-    days = days.select(key, "date", month.alias("month"), F.explode(stands_for).alias("day"))
-    first = F.coalesce(F.col("first_year"), F.lit(0))
-    hits = days.join(recurring, ["month", "day"]).where((first == 0) | (F.year("date") >= first))
+    spans = ranges.select(key, "start_date", "end_date").withColumnRenamed(key, "_range")
+    days = _occurrences(ranges, recurring)
+    hits = points_in_ranges(days, day_number(F.col("date")), spans, day_number(F.col("start_date")), day_number(F.col("end_date")))
     return hits.select(
-        key,
+        F.col("_range").alias(key),
         "kind",
         "key",
         occasion_label(F.col("kind"), F.col("name"), F.year("date"), F.col("first_year")).alias("name"),
@@ -125,6 +132,21 @@ def recurring_hits(ranges: DataFrame, recurring: DataFrame, key: str = "event_id
     )
 
 
+def on_any_occasion(ranges: DataFrame, festivals: DataFrame, recurring: DataFrame, key: str = "event_id") -> DataFrame:
+    """The keys of the ranges that some festival or recurring date falls into.
+
+    However many people share a birthday, a date of the year counts once: with the earliest of its
+    first years there are 366 dates at most.
+    """
+    dates = recurring.groupBy("month", "day").agg(F.min(F.coalesce("first_year", F.lit(0))).alias("first_year"))
+    spans = ranges.select(F.col(key).alias("_range"), "start_date", "end_date")
+    days = _occurrences(ranges, dates).select("date").distinct()
+    recur = points_in_ranges(days, day_number(F.col("date")), spans, day_number(F.col("start_date")), day_number(F.col("end_date")))
+    windows = festivals.select(F.col("start").alias("_start"), F.col("end").alias("_end")).distinct()
+    fest = overlaps(spans, windows, ("start_date", "end_date"), ("_start", "_end"))
+    return recur.select(F.col("_range").alias(key)).unionByName(fest.select(F.col("_range").alias(key))).distinct()
+
+
 def occasion_hits(ranges: DataFrame, festivals: DataFrame, recurring: DataFrame, key: str = "event_id") -> DataFrame:
     """Festivals and family dates per range (key, start_date, end_date); order by ``rank``
     (family first, then by date)."""

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import haversine_km, valid_geo
+from tidemark.operators.intervals import day_number, points_in_ranges
 from tidemark.operators.ordering import carried_last, dense_index, join_same, running
 from tidemark.session import cut
 
@@ -75,20 +76,41 @@ def absorb(
     """(key, event_id) of items inside a window; the first window by (start, end, id) wins.
 
     ``by`` names owner columns of both tables: a window takes items of its own owner only.
-    Windows are laid out per calendar day, so that the join is an equi join.
+    Windows are cut into blocks of days, at most two per power of two, see ``intervals``.
     """
     by = by or []
-    days = windows.select(
-        *by,
-        "event_id",
-        "start_at",
-        "end_at",
-        F.explode(F.sequence(F.col("start_at").cast("date"), F.col("end_at").cast("date"))).alias("_day"),
-    ).where("start_at <= end_at")
-    seen = items.select(key, ts, *by, F.col(ts).cast("date").alias("_day"))
-    hits = join_same(seen, days, ["_day", *by]).where(F.col(ts).between(F.col("start_at"), F.col("end_at")))
+    spans = windows.where("start_at <= end_at").select(*by, "event_id", "start_at", "end_at")
+    seen = items.select(F.col(key).alias("_item"), F.col(ts).alias("_at"), *by)
+    hits = points_in_ranges(seen, day_number(F.col("_at")), spans, day_number(F.col("start_at")), day_number(F.col("end_at")), by)
+    hits = hits.where(F.col("_at").between(F.col("start_at"), F.col("end_at")))
     first = F.min(F.struct("start_at", "end_at", "event_id"))
-    return hits.groupBy(key).agg(first.alias("_w")).select(key, F.col("_w.event_id").alias("event_id"))
+    return hits.groupBy(F.col("_item").alias(key)).agg(first.alias("_w")).select(key, F.col("_w.event_id").alias("event_id"))
+
+
+def first_windows(windows: DataFrame) -> DataFrame:
+    """(start_at, until, event_id): stretches of time that do not overlap, each with the first window by
+    (start, end, id) of those that hold it; ``until`` is not part of it.
+
+    Whatever joins them meets one row at most, and needs no aggregate to find the first window.
+    """
+    spans = windows.where("start_at <= end_at").select("event_id", "start_at", "end_at")
+    kind = dict(spans.dtypes)["start_at"]
+    us = spans.select("event_id", "start_at", "end_at", F.unix_micros(F.col("start_at").cast("timestamp")).alias("_s"), F.unix_micros(F.col("end_at").cast("timestamp")).alias("_e"))
+    edges = us.select(F.col("_s").alias("_edge")).unionByName(us.select((F.col("_e") + 1).alias("_edge"))).distinct()
+    placed = cut(dense_index(edges, [F.col("_edge")], "_n"))
+    ahead = placed.select((F.col("_n") - 1).alias("_n"), F.col("_edge").alias("_until"))
+    pieces = placed.join(ahead, "_n").drop("_n")
+
+    def day(c: str) -> Column:
+        return F.floor(F.col(c) / 86_400_000_000)
+
+    hits = points_in_ranges(pieces, day("_edge"), us, day("_s"), day("_e")).where(F.col("_edge").between(F.col("_s"), F.col("_e")))
+    first = hits.groupBy("_edge", "_until").agg(F.min(F.struct("start_at", "end_at", "event_id")).alias("_w"))
+
+    def time(c: str) -> Column:
+        return F.timestamp_micros(F.col(c)).cast(kind)
+
+    return first.select(time("_edge").alias("start_at"), time("_until").alias("until"), F.col("_w.event_id").alias("event_id"))
 
 
 def cluster_spans(clustered: DataFrame, keys: list[str], ts: str = "taken_at", key: str = "id") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import curation, duplicates, sessions
 from tidemark.operators.edits import allocate, highest_id
-from tidemark.operators.occasions import occasion_hits, recurring_dates
+from tidemark.operators.occasions import on_any_occasion, recurring_dates
 from tidemark.operators.vectors import zero_shot_tags
 from tidemark.params import Settings
 from tidemark.plans.library import Library
@@ -136,7 +136,7 @@ def place_items(lib: Library, by: list[str] | None = None) -> tuple[DataFrame, D
         "cluster", F.col("start_at").cast("date").alias("start_date"), F.col("end_at").cast("date").alias("end_date")
     )
     recurring = recurring_dates(lib["occasions"], lib["persons"])
-    special = occasion_hits(small, lib["festivals"], recurring, key="cluster")
+    special = on_any_occasion(small, lib["festivals"], recurring, key="cluster")
     placed = sessions.roll_up_small(clustered, spans, keys, s.event_min_photos, special, by)
     return sticky, absorbed, cut(placed)
 

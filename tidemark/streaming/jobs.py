@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.changes import classify_changes
+from tidemark.operators.intervals import blocked_points, blocked_ranges, day_number, used_levels
 from tidemark.operators.ordering import dense_index
+from tidemark.operators.sessions import first_windows
 from tidemark.operators.vectors import CLASS_ROWS, matrix
+from tidemark.session import cut
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -63,20 +66,19 @@ def stream_first_copies(stream: DataFrame, late: str, hash_column: str = "sha256
 
 
 def stream_absorb(stream: DataFrame, windows: DataFrame, ts: str = "ts", key: str = "id") -> DataFrame:
-    """Rows of the stream with the locked windows they fall into, joined on the calendar day."""
-    days = windows.select(
-        "event_id",
-        "start_at",
-        "end_at",
-        F.explode(F.sequence(F.col("start_at").cast("date"), F.col("end_at").cast("date"))).alias("_day"),
-    )
-    # every window of a day in order, so that the first one wins without an aggregation
-    per_day = days.groupBy("_day").agg(
-        F.array_sort(F.collect_list(F.struct("start_at", "end_at", "event_id"))).alias("_windows")
-    )
-    joined = stream.withColumn("_day", F.col(ts).cast("date")).join(per_day, "_day")
-    inside = F.filter("_windows", lambda w: F.col(ts).between(w["start_at"], w["end_at"]))
-    return joined.withColumn("event_id", F.get(inside, 0)["event_id"]).where("event_id is not null").select(key, ts, "event_id")
+    """Rows of the stream with the first locked window they fall into.
+
+    The windows are cut once, when the query is built, into stretches that do not overlap, each with its
+    first window. Stream and stretches meet on blocks of days; a row lies in one stretch at most, so
+    nothing is aggregated and no state is kept.
+    """
+    stretches = cut(first_windows(windows))
+    # the day of the last moment that is still inside
+    last = F.unix_micros(F.col("until").cast("timestamp")) - 1
+    blocks = blocked_ranges(stretches, day_number(F.col("start_at")), F.floor(last / 86_400_000_000))
+    rows = blocked_points(stream.select(key, ts), day_number(F.col(ts)), used_levels(blocks))
+    inside = (F.col(ts) >= F.col("start_at")) & (F.col(ts) < F.col("until"))
+    return rows.join(blocks, ["_level", "_block"]).where(inside).select(key, ts, "event_id")
 
 
 class _Thinning(StatefulProcessor):
