@@ -154,7 +154,7 @@ def _against_classes(
     """Run ``kernel(batch, class matrix, class rows)`` for every item and class shard; whether there are several shards.
 
     The classes are worked out once. Up to ``CLASS_BYTES`` and ``max_classes`` rows of them go to every
-    task; beyond that items and classes meet block by block.
+    task; beyond that (always, with 0 rows) items and classes meet block by block.
     """
     table = cut(classes.select("class_id", F.col("class_vector").cast("array<double>"), *[c for c in classes.columns if c not in ("class_id", "class_vector")]))
     needed = items.where(F.col(vector).isNotNull()).select(key, F.col(vector).alias("_v"), *extra)
@@ -178,7 +178,7 @@ def _against_classes(
         cols = {c: known[c].to_pylist() for c in known.column_names if c not in ("class_vector", "_lb", "_rb")}
         return kernel(part.combine_chunks().to_batches()[0], matrix(known["class_vector"]), cols)
 
-    shards = blocks_of(count, dim, rows=min(max_classes, BLOCK_ROWS))
+    shards = blocks_of(count, dim, rows=min(max_classes or BLOCK_ROWS, BLOCK_ROWS))
     parts = blocks_of(needed.count(), dim)
     return block_join(needed, table, key, "class_id", parts, shards, block, schema), True
 

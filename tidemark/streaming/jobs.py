@@ -9,17 +9,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.changes import classify_changes
 from tidemark.operators.intervals import blocked_points, blocked_ranges, day_number, used_levels
-from tidemark.operators.ordering import dense_index
 from tidemark.operators.sessions import first_windows
-from tidemark.operators.vectors import CLASS_ROWS, matrix
+from tidemark.operators.vectors import nearest_class
 from tidemark.session import cut
+from tidemark.streaming.snapshot import BucketedSnapshot, committed
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -29,22 +28,39 @@ def watch_files(spark: SparkSession, path: str, schema: str, per_batch: int = 10
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
-def incremental_ingest(stream: DataFrame, snapshot: str, changes: str, checkpoint: str, keys: list[str], compare: list[str]):
+def ingest_snapshot(spark: SparkSession, stream: DataFrame, snapshot: str, keys: list[str], compare: list[str], **layout) -> BucketedSnapshot:
+    """The snapshot of a manifest stream: keys, what is compared, and whether the row is missing."""
+    kinds = dict(stream.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, *compare])
+    return BucketedSnapshot(spark, snapshot, f"{schema}, missing boolean", keys, **layout)
+
+
+def incremental_ingest(stream: DataFrame, snapshot: str, changes: str, checkpoint: str, keys: list[str], compare: list[str], **layout):
     """Classify each batch of manifest rows against the stored snapshot and update it.
 
-    The snapshot is a folder of versions, written side by side and named by batch, so that a
-    repeated batch after a failure starts from the same version.
+    Only the buckets that hold the batch's keys are read, and only changed rows are written (see
+    ``BucketedSnapshot``; ``layout``: buckets, max_deltas).
     """
+    spark = stream.sparkSession
+    store = ingest_snapshot(spark, stream, snapshot, keys, compare, **layout)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = spark.read.parquet(f"{snapshot}/v={batch_id}")
-        latest = batch.groupBy(*keys).agg(*[F.max_by(c, "seen_at").alias(c) for c in compare])
-        status = classify_changes(latest, known, keys, compare).where("status not in ('missing', 'gone')")
-        status.write.mode("overwrite").parquet(f"{changes}/batch={batch_id}")
-        kept = known.join(latest, keys, "left_anti")
-        fresh = latest.withColumn("missing", F.lit(False)).select(*known.columns)
-        kept.unionByName(fresh).write.mode("overwrite").parquet(f"{snapshot}/v={batch_id + 1}")
+        # of rows seen at the same time the largest, so that a repeated batch takes the same
+        newest = F.max_by(F.struct(*compare), F.struct("seen_at", *compare)).alias("_row")
+        latest = batch.groupBy(*keys).agg(newest).select(*keys, "_row.*").persist()
+        try:
+            # as many as there are buckets
+            touched = [r[0] for r in latest.select(store.bucket()).distinct().collect()]
+            known = store.read(batch_id, touched)
+            status = classify_changes(latest, known, keys, compare).where("status not in ('missing', 'gone')")
+            status.write.mode("overwrite").parquet(f"{changes}/batch={batch_id}")
+            written = batch.sparkSession.read.schema(status.schema).parquet(f"{changes}/batch={batch_id}")
+            fresh = latest.join(written.where("status <> 'unchanged'").select(*keys), keys, "left_semi")
+            store.append(fresh.withColumn("missing", F.lit(False)), batch_id)
+            store.compact(batch_id)
+            store.purge(batch_id)
+        finally:
+            latest.unpersist()
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
 
@@ -82,19 +98,22 @@ def stream_absorb(stream: DataFrame, windows: DataFrame, ts: str = "ts", key: st
 
 
 class _Thinning(StatefulProcessor):
-    """Keeps the last kept fingerprint of an owner: one row of state per owner."""
+    """Keeps the last kept fingerprint of an owner until no row can be compared with it any more."""
 
     def __init__(self, window_s: float, max_diff: float):
         self.window_us = int(window_s * 1_000_000)
         self.max_diff = max_diff
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("last", "at bigint, mark array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
         last = self.state.get() if self.state.exists() else None
         at, mark = (last[0], np.asarray(last[1])) if last else (None, None)
-        frames = [r for r in rows if len(r)]
+        frames = [r[r["us"] >= passed] for r in rows if len(r)]
+        frames = [r for r in frames if len(r)]
         if not frames:
             return
         batch = pd.concat(frames).sort_values(["us", "id"], ignore_index=True)
@@ -112,66 +131,70 @@ class _Thinning(StatefulProcessor):
             kept.append(i)
         if at is not None:
             self.state.update((at, [float(x) for x in mark]))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            # the first whole millisecond after the window
+            self.handle.registerTimer((at + self.window_us) // 1000 + 1)
         yield pd.DataFrame({"owner": batch["owner"], "id": batch["id"], "us": batch["us"]}).iloc[kept]
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def stream_thin(stream: DataFrame, owner: str, fingerprint: str, window_s: float = 120, max_diff: float = 12.0, ts: str = "ts", key: str = "id") -> DataFrame:
+def stream_thin(
+    stream: DataFrame, owner: str, fingerprint: str, window_s: float = 120, max_diff: float = 12.0, ts: str = "ts", key: str = "id", late: str = "1 hour"
+) -> DataFrame:
     """Sequential thinning per owner; rows are put in order within each batch.
 
-    State has no expiry: with a clock of its own the query would never come to an end on a bounded source.
+    Rows later than ``late`` are left out. An owner's state goes when the watermark has passed the window
+    after its last kept row: nothing that may still come could be compared with it.
     """
-    rows = stream.select(
+    rows = stream.withWatermark(ts, late).select(
         F.col(owner).alias("owner"),
         F.col(key).alias("id"),
         F.unix_micros(F.col(ts).cast("timestamp")).alias("us"),
         F.col(fingerprint).cast("array<double>").alias("mark"),
+        F.col(ts),
     )
     owner_type = rows.schema["owner"].dataType.simpleString()
     return rows.groupBy("owner").transformWithStateInPandas(
         statefulProcessor=_Thinning(window_s, max_diff),
         outputStructType=f"owner {owner_type}, id bigint, us bigint",
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
 
 
-def stream_entities(
-    stream: DataFrame, persons: DataFrame, threshold: float, vector: str = "embedding", key: str = "id", max_classes: int = CLASS_ROWS
-) -> DataFrame:
-    """(key, class_id, similarity) of arriving vectors at or above ``threshold``; equal ones go to the lowest class.
+def publish_classes(classes: DataFrame, folder: str) -> int:
+    """Write the next version of a class table (class_id, class_vector); its number."""
+    version = max(committed(classes.sparkSession, folder, "v"), default=-1) + 1
+    classes.select(F.col("class_id").cast("bigint"), F.col("class_vector").cast("array<double>")).write.mode("overwrite").parquet(f"{folder}/v={version}")
+    return version
 
-    The centroids (class_id, class_vector) are those of the start of the query. They are sent to the tasks in shards of
-    ``max_classes``; the stream passes one after the other and carries its best match along. Without any nothing matches.
+
+def stream_entities(stream: DataFrame, classes: str, matches: str, checkpoint: str, threshold: float, vector: str = "embedding", key: str = "id"):
+    """Write (key, class_id, similarity, version) of arriving vectors at or above ``threshold`` below ``matches``.
+
+    Every batch reads the newest finished version of the class table in the folder ``classes``, so a new class
+    is met from the next batch on. Vectors and classes meet block by block (``vectors.block_join``): no
+    class table goes through the driver or whole to a task. Equal similarities go to the lowest class.
     """
-    known = dense_index(persons.select("class_id", F.col("class_vector").cast("array<double>").alias("v")), [F.col("class_id")], "at")
-    shards = -(-known.count() // max_classes)
-    found = stream.where(F.col(vector).isNotNull()).select(
-        F.col(key).cast("bigint").alias(key), F.col(vector).cast("array<double>").alias("v"), F.lit(None).cast("bigint").alias("class_id"),
-        F.lit(None).cast("double").alias("similarity"),
-    )
-    for n in range(shards):
-        # at most max_classes rows
-        rows = known.where(F.floor(F.col("at") / max_classes) == n).orderBy("class_id").collect()
-        ids, mat = np.array([r["class_id"] for r in rows]), np.array([r["v"] for r in rows])
-
-        def better(batches: Iterator[pa.RecordBatch], ids=ids, mat=mat) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                sims = matrix(batch.column("v")) @ mat.T
-                top = sims.argmax(axis=1)
-                score = sims[np.arange(len(sims)), top]
-                before = batch.column("similarity").fill_null(-np.inf).to_numpy(zero_copy_only=False)
-                old = batch.column("class_id").fill_null(-1).to_numpy(zero_copy_only=False)
-                new = (score >= threshold) & (score > before)
-                best, value = np.where(new, ids[top], old), np.where(new, score, before)
-                none = value == -np.inf
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(best, mask=none), pa.array(value, mask=none)], names=batch.schema.names
-                )
-
-        found = found.mapInArrow(better, found.schema)
-    return found.where("class_id is not null").drop("v")
+
+    def match(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        versions = committed(spark, classes, "v")
+        if not versions:
+            return
+        known = spark.read.schema("class_id bigint, class_vector array<double>").parquet(f"{classes}/v={versions[-1]}")
+        rows = batch.select(F.col(key).cast("bigint").alias(key), vector).persist()
+        try:
+            found = nearest_class(rows, known, threshold, key, vector, max_classes=0)
+            found.withColumn("version", F.lit(versions[-1])).write.mode("overwrite").parquet(f"{matches}/batch={batch_id}")
+        finally:
+            rows.unpersist()
+
+    return stream.writeStream.foreachBatch(match).option("checkpointLocation", checkpoint)
