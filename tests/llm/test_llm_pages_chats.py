@@ -1,4 +1,5 @@
 import collections
+import gzip
 import hashlib
 import json
 import random
@@ -47,6 +48,17 @@ def test_selected_records_by_index(spark):
     assert got == {i: h for i, _, h, *_ in rows if i in (8, 3)}
 
 
+def test_records_are_gzip_members(spark, monkeypatch):
+    """Any WARC reader can read an archive as a whole, and the number of read tasks follows the bytes."""
+    rows = page_rows()
+    index = warc.write(spark.createDataFrame(rows, PAGES).coalesce(1), warc.shared_folder(spark, "warc-test")).orderBy("offset").collect()
+    data = open(index[0]["file"].removeprefix("file:"), "rb").read()
+    parts = [gzip.decompress(data[r["offset"] : r["offset"] + r["length"]]) for r in index]
+    assert gzip.decompress(data) == b"".join(parts) and all(p.startswith(b"WARC/1.1\r\n") for p in parts)
+    frame = spark.createDataFrame(index)
+    assert warc.read(frame, stretch=max(1, len(data) // 5)).rdd.getNumPartitions() >= 5
+
+
 def test_reads_are_coalesced():
     ranges = [(0, 10), (10, 5), (100, 10), (111, 4), (1000, 50), (1050, 5000)]
     reads = warc.coalesced(ranges, gap=10, stretch=1000)

@@ -1,15 +1,15 @@
 """WARC archives, index first: records are found and read by an index of byte ranges.
 
 Writing. Each task writes its pages into one archive in the shared folder and returns an index row per record: file, offset,
-length, URL and digest. Archives are written under another name and moved when whole. A task that runs again writes another file,
+length, URL and digest. A record is a gzip member of its own, so that its byte range can be read without the others. Archives are written under another name and moved when whole. A task that runs again writes another file,
 and only the index that is kept names files, so nothing is read twice or missed.
 
 Equal payloads. Of records with equal payloads of at least ``least`` bytes the one with the largest page id is a response with the
 payload; the others are revisit records that refer to it. The page table meets the (narrow) table of repeated payloads under a salt,
 so that a payload shared by many pages does not land in one task. Payloads are equal if SHA-1 and length are.
 
-Reading. Selected index rows are dealt by file and stretch of ``stretch`` bytes and sorted by offset; neighbouring ranges with gaps
-of up to ``gap`` bytes are read as one, up to a stretch at a time. A response whose payload does not have its digest is an error.
+Reading. Selected index rows are dealt by file and stretch of ``stretch`` bytes to as many tasks as their lengths have stretches, and
+sorted by offset; neighbouring ranges with gaps of up to ``gap`` bytes are read as one, up to a stretch at a time. A response whose payload does not have its digest is an error.
 
 Defined cases. A null html is an empty payload, a null URL an empty one; URLs are percent-encoded, so that no line break gets into
 a header. A page without an id is always a response and nothing refers to it; rows that repeat the largest id are responses, all of
@@ -19,6 +19,7 @@ them. An empty table writes nothing and gives an empty result. Only ``page_id``,
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import posixpath
 import uuid
@@ -31,9 +32,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import filesystem, put_file, shared_folder, stored
 
 LEAST = 1000
-STRETCH = 8 << 20
+STRETCH = 4 << 20
 GAP = 1 << 16
 SALTS = 32
+LEVEL = 4
 DATE = "1970-01-01T00:00:00Z"  # the page table has no time of capture
 INDEX = "page_id bigint, url string, digest string, type string, file string, offset bigint, length bigint"
 _SAFE = "%:/?#[]@!$&'()*+,;=-._~"
@@ -106,7 +108,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
     """Write the archives; the index of their records, kept in the shared folder."""
 
     def run(batches):
-        target = posixpath.join(folder, f"{uuid.uuid4().hex}.warc")
+        target = posixpath.join(folder, f"{uuid.uuid4().hex}.warc.gz")
         rows: list[tuple] = []
 
         def fill(out):
@@ -114,7 +116,8 @@ def write(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
             for batch in batches:
                 for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     payload = html.encode()
-                    data = record(page_id, url, payload, refers_to)
+                    # without a time, equal records are equal bytes
+                    data = gzip.compress(record(page_id, url, payload, refers_to), LEVEL, mtime=0)
                     out.write(data)
                     rows.append((page_id, url, hashlib.sha1(payload).hexdigest(), "response" if refers_to is None else "revisit", target, offset, len(data)))
                     offset += len(data)
@@ -170,11 +173,13 @@ def read(index: DataFrame, stretch: int = STRETCH, gap: int = GAP, payloads: boo
                     for a, b, offset, length in coalesced(ranges, gap, stretch):
                         archive.seek(offset)
                         data = archive.read(length)
-                        found = [parse(data[o - offset : o - offset + n])[: 5 + payloads] for o, n in ranges[a:b]]
+                        found = [parse(gzip.decompress(data[o - offset : o - offset + n]))[: 5 + payloads] for o, n in ranges[a:b]]
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
                 start = end
 
-    dealt = index.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / stretch)).sortWithinPartitions("file", "offset")
+    # the index is tiny beside what its rows stand for, so its own size must not decide the number of tasks
+    tasks = 1 + (index.agg(F.sum("length")).first()[0] or 0) // stretch
+    dealt = index.select("file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / stretch)).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(run, schema)
 
 
