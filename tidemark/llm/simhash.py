@@ -94,17 +94,21 @@ def fingerprints_of(texts: list[bytes], shingle: int = SHINGLE, block: int = 200
     return found
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row; the 64 bits as a signed number."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, hashed: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row, on request with the text's ``hash``; the 64 bits as a signed number."""
+    names = ["doc_id", "fp", *(["hash"] if hashed else [])]
 
     def run(batches):
         for batch in batches:
             texts = raw_texts(batch.column(1))
             for a, b in chunks(texts):
                 found = fingerprints_of(texts[a:b], shingle).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found)], ["doc_id", "fp"])
+                more = [batch.column(2).slice(a, b - a)] if hashed else []
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found), *more], names)
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, fp bigint")
+    text = F.col("text").cast("string")
+    needed = [F.col("doc_id").cast("bigint"), text, *([F.xxhash64(text)] if hashed else [])]
+    return docs.select(*needed).mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -229,41 +233,35 @@ def links(distinct: DataFrame, distance: int = DISTANCE, block: int = BLOCK) ->
     return _index_links(spread.select(F.explode(group).alias("key"), "fp"), distance)
 
 
-def classes(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
-    """(doc_id, fp, component_id) of every row: the smallest id that linked fingerprints reach."""
-    prints = stored(fingerprints(docs, shingle), "simhash")
+def _members(prints: DataFrame, distance: int, block: int) -> DataFrame:
+    """(fp, first, component) of every distinct fingerprint: its smallest id, and the smallest fingerprint it is connected with."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = links(distinct.select("fp"), distance, block)
     members = connected_components(stored(found.distinct(), "simhash-links"))
-    per_class = (
-        distinct.join(members.select(F.col("node").alias("fp"), "component"), "fp", "left")
-        .select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    )
+    return distinct.join(members.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+
+
+def classes(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+    """(doc_id, fp, component_id) of every row: the smallest id that linked fingerprints reach."""
+    prints = stored(fingerprints(docs, shingle), "simhash")
     # only fingerprints with a link need their class's smallest id
-    linked = per_class.where("component is not null")
+    linked = _members(prints, distance, block).where("component is not null")
     lowest = linked.groupBy("component").agg(F.min("first").alias("component_id"))
     resolved = linked.join(lowest, "component").select("fp", "component_id")
     return prints.join(resolved, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` with one document of each class: the one with the smallest id.
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` with one document of each class: the one with the smallest id (none comes last), fingerprint and text hash.
 
-    Rows that share that id count as one document and the first text of them stays; of a class without any id, one text stays.
+    An id that stands for unlike texts is several documents. Rows with equal id and text are one document and the first of them stays.
     """
-    found = classes(docs, shingle, distance)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(_without_id(docs, found, shingle))
-
-
-def _without_id(docs: DataFrame, found: DataFrame, shingle: int) -> DataFrame:
-    """One row per class in which no row has an id; such classes are few, as ids are missing by accident only."""
-    loose = docs.where("doc_id is null")
-    if loose.isEmpty():
-        return loose
-    fp = found.where("component_id is null").select("fp").distinct()
-    numbered = loose.withColumn("_loose", F.xxhash64("text"))
-    prints = fingerprints(numbered.select(F.col("_loose").alias("doc_id"), "text").distinct(), shingle).withColumnRenamed("doc_id", "_loose")
-    kept = prints.join(fp, "fp", "left_semi").groupBy("fp").agg(F.min("_loose").alias("_loose"))
-    return numbered.join(kept.select("_loose"), "_loose", "left_semi").dropDuplicates(["_loose"]).drop("_loose")
+    prints = stored(fingerprints(docs, shingle, hashed=True), "simhash")
+    # of each fingerprint one row competes for its class, so that a class of copies is not gathered
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "hash"))
+    first = prints.groupBy("fp").agg(best.alias("best"))
+    kept = first.join(_members(prints, distance, block).select("fp", "component"), "fp").groupBy("component").agg(F.min("best").alias("best"))
+    named = kept.select(F.col("best.doc_id").alias("_kept_id"), F.col("best.hash").alias("_kept_hash"))
+    rows = docs.withColumn("_kept_hash", F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (rows["_kept_hash"] == named["_kept_hash"])
+    return rows.join(named, same, "left_semi").dropDuplicates(["doc_id", "_kept_hash"]).drop("_kept_hash")
