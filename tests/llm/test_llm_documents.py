@@ -180,12 +180,20 @@ def test_index_finds_all_links(spark, block):
 def test_one_of_each_class_stays(spark):
     docs = messy(spark)
     kept = simhash.keep_one(docs)
-    found = simhash.classes(docs).collect()
-    with_id = {r["component_id"] for r in found if r["component_id"] is not None}
-    without = {r["fp"] for r in found if r["component_id"] is None}
     assert kept.columns == docs.columns
-    got = ids(kept)
-    assert [x for x in got if x is not None] == sorted(with_id) and got.count(None) == len(without)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    prints = simhash.fingerprints_of([(t or "").encode() for _, t in rows])
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if int(prints[i] ^ prints[j]).bit_count() <= 4:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    stay = [r["doc_id"] for r in kept.collect()]
+    # one document of each group, and none of them twice, although an id stands for unlike texts
+    smallest = [min((rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None), default=None) for g in set(group)]
+    assert sorted(stay, key=repr) == sorted(smallest, key=repr) and len({t for _, t in rows if t}) > len(smallest)
+    assert collections.Counter(i for i in stay if i is not None)[12] == 2
     assert simhash.keep_one(empty(spark)).count() == 0
 
 
@@ -541,6 +549,17 @@ def test_mixed_text_is_the_taken_text(spark):
     assert mixing.mix(empty(spark)).count() == 0 and mixing.mixed(empty(spark)).count() == 0
 
 
+def test_mixed_rows_are_whole_takes(spark):
+    """A row for what is taken once and one for what is taken twice, each in the order of the text."""
+    rows = [row(i, " ".join(f"w{i}x{k}" for k in range(n)), "ab"[i % 2]) for i, n in enumerate([500, 40, 3, 300, 90, 70])]
+    found = collections.defaultdict(list)
+    for r in mixing.mixed(spark.createDataFrame(rows, DOCS), mixing.Settings(block=16, shard_slots=32)).collect():
+        found[r["doc_id"]].append([int(w.rpartition("x")[2]) for w in r["text"].split(" ")])
+    for takes in found.values():
+        takes.sort(key=len)
+        assert len(takes) <= 2 and all(t == sorted(set(t)) for t in takes) and set(takes[0]) <= set(takes[-1])
+
+
 # --- training order -----------------------------------------------------------------------------------------------
 
 

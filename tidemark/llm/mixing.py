@@ -183,9 +183,11 @@ def mix(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def mixed(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The mix: a row of ``docs`` for each piece in each slot, all columns as they were but ``text`` (and ``n_chars``) of the piece.
+    """The mix as documents: rows of ``docs`` with the words that the mix takes of them, all columns as they were but ``text`` (and ``n_chars``).
 
-    Words are joined by a blank. The pieces of a document travel to its text, not the text to every slot.
+    The k-th row of a document has, in order, the pieces whose block fills k slots or more: one row for what is taken once, another
+    for what is taken twice, and so on, at most ceil(``most``) rows. Words are joined by a blank. The pieces of a document travel to
+    its text, not the text to every slot, and its words are cut out once per row.
     """
     placed, _, slots = plan(docs, settings)
     used = slots.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
@@ -199,9 +201,17 @@ def mixed(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     same = F.col("_hash") == F.col("_w_hash")
     for c in ("_id", "_source", "_copy"):
         same = same & F.col(c).eqNullSafe(F.col(f"_w{c}"))
-    split = rows.join(wanted, same).withColumn("_words", F.regexp_extract_all("text", F.lit(f"({WORD})")))
-    each = split.withColumn("_part", F.explode("_parts")).withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_part.times").cast("int"))))
-    text = F.array_join(F.slice("_words", (F.col("_part.first") + 1).cast("int"), F.col("_part.words").cast("int")), " ")
+    each = rows.join(wanted, same).withColumn("_again", F.explode(F.sequence(F.lit(1), F.array_max("_parts.times").cast("int"))))
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})"))
+    own = F.filter("_parts", lambda p: p["times"] >= F.col("_again"))
+    # the words are worked out once and handed to the pieces
+    text = F.element_at(
+        F.transform(
+            F.array(F.struct(words.alias("words"), own.alias("own"))),
+            lambda x: F.array_join(F.flatten(F.transform(x["own"], lambda p: F.slice(x["words"], (p["first"] + 1).cast("int"), p["words"].cast("int")))), " "),
+        ),
+        1,
+    )
     out = each.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
