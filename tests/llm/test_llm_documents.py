@@ -583,10 +583,10 @@ def test_training_order_round_trip(spark, tmp_path):
             assert own[-1] == settings.end and encode.decode(own[:-1].tolist()) == (r["text"] or "")
     assert sum(r["n"] for r in got) == sum(c * (len(encode.encode_ordinary(t)) + 1) for t, c in texts.items())
     folder = str(tmp_path / "shards")
-    written = {r["shard"]: r["sequences"] for r in materialise.write_shards(rows, folder).collect()}
+    written = {r["shard"]: r["sequences"] for r in materialise.write_shards(rows, folder, -(-n // 50)).collect()}
     assert sum(written.values()) == n
     one = (tmp_path / "shards" / "shard-000000.bin").stat().st_mtime_ns
-    materialise.write_shards(rows, folder).collect()  # taken up again: nothing is written twice
+    materialise.write_shards(rows, folder, -(-n // 50)).collect()  # taken up again: nothing is written twice
     assert (tmp_path / "shards" / "shard-000000.bin").stat().st_mtime_ns == one
     for r in got[:: max(1, n // 20)]:
         assert materialise.read_slot(folder, r["slot"], settings).tobytes() == bytes(r["payload"])
@@ -623,6 +623,29 @@ def test_feistel_is_a_permutation(spark):
     assert slots != list(range(1000))
 
 
+def test_feistel_against_plain_rounds(spark):
+    """Slots are those of the network in plain Python, which walks the cycle until it is below n."""
+    n, key, half = 700, 4, 5
+    rights = range(1 << half)
+    rows = spark.createDataFrame([(r, x) for r in range(1, materialise.ROUNDS + 1) for x in rights], "r int, x long")
+    mixes = {(r["r"], r["x"]): r["h"] & 31 for r in rows.withColumn("h", F.xxhash64(F.lit(key), "r", "x")).collect()}
+
+    def network(x):
+        left, right = x >> half, x & 31
+        for r in range(1, materialise.ROUNDS + 1):
+            left, right = right, left ^ mixes[r, right]
+        return left << half | right
+
+    def slot(i):
+        at = network(i)
+        while at >= n:
+            at = network(at)
+        return at
+
+    got = materialise.permuted(spark.range(n).withColumnRenamed("id", "i"), "i", n, key).collect()
+    assert all(r["slot"] == slot(r["i"]) for r in got) and len(got) == n
+
+
 def test_long_texts_are_tokenised_in_parts():
     rng = random.Random(1)
     text = prose(rng, 4000) + "  two blanks " + prose(rng, 300)

@@ -5,7 +5,8 @@
    index is its place in the order of id, text hash and part; rows equal in all of them have equal sequences.
 2. A Feistel network over the next even number of bits permutes the index, keyed by ``key``; it walks the cycle until the result
    is below the number of sequences. Each sequence so has one global slot and each slot one sequence, whatever their number.
-3. A range shuffle by slot brings the sequences to their shards, sorted. Sequences are padded with ``pad`` to the same stride, so
+3. The slots go to one small file per stored partition, which the task that reads the partition looks them up in; then one shuffle by
+   ranges of whole shards brings the sequences to their shards, sorted: payloads are stored once and shuffled once. Sequences are padded with ``pad`` to the same stride, so
    slot s is at byte (s mod ``per_shard``) * stride of shard s div ``per_shard``: reads are sequential and can start anywhere.
 
 The order depends on key and rows only, not on files, partitions or timing. ``write_shards`` writes a file per shard under another
@@ -22,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import posixpath
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +41,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 ROUNDS = 6
 # Longest part of a text that is tokenised at once; cuts fall before a blank.
 PART = 1 << 16
+SHARDS_PER_TASK = 16
 
 
 @dataclass(frozen=True)
@@ -83,7 +86,10 @@ def sequences(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     schema = pa.schema([("partition", pa.int64()), ("number", pa.int64()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("part", pa.int32()), ("n", pa.int32()), ("ids", pa.binary())])
 
     def run(batches):
-        encode = encoder(settings.vocabulary).encode_to_numpy
+        vocabulary = encoder(settings.vocabulary)
+        if max(vocabulary.max_token_value, settings.end, settings.pad) >> 16:
+            raise ValueError("ids must fit 16 bits")
+        encode = vocabulary.encode_to_numpy
         partition, number = TaskContext.get().partitionId(), 0
         rows: list[tuple] = []
         held = 0
@@ -139,21 +145,75 @@ def permuted(df: DataFrame, index: str, n: int, key: int, name: str = "slot") ->
     return out
 
 
-def _placed(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(slot, shard, offset, doc_id, part, n, payload) of every sequence, in no order."""
+def _write_slots(placed: DataFrame, folder: str) -> None:
+    """One file per partition of the stored sequences: the slot of each of its numbers, eight bytes each."""
+
+    def run(batches):
+        open_part, slots = None, []
+
+        def close():
+            data = np.concatenate(slots).astype("<i8").tobytes()
+            put_file(posixpath.join(folder, f"slots-{open_part:08d}"), lambda out: out.write(data))
+            return pa.RecordBatch.from_arrays([pa.array([open_part], pa.int64())], ["partition"])
+
+        for batch in batches:
+            parts, found = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for at in np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]])[: len(parts)]:
+                end = np.searchsorted(parts, parts[at], "right")
+                if parts[at] != open_part:
+                    if open_part is not None:
+                        yield close()
+                    open_part, slots = int(parts[at]), []
+                slots.append(found[at:end])
+        if open_part is not None:
+            yield close()
+
+    dealt = placed.repartition("partition").sortWithinPartitions("partition", "number").select("partition", "slot")
+    dealt.mapInArrow(run, "partition bigint").count()
+
+
+def _with_slots(rows: DataFrame, folder: str) -> DataFrame:
+    """``rows`` (partition, number first) of stored sequences with their ``slot`` in place of both.
+
+    A task reads the slots of its own partition only, so the ids are not shuffled to find their place.
+    """
+
+    def run(batches):
+        held, slots = None, None
+        for batch in batches:
+            parts, numbers = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            found = np.empty(len(parts), np.int64)
+            for part in np.unique(parts):
+                if part != held:
+                    store, path = filesystem(posixpath.join(folder, f"slots-{part:08d}"))
+                    with store.open_input_file(path) as file:
+                        held, slots = part, np.frombuffer(file.read(), "<i8")
+                own = parts == part
+                found[own] = slots[numbers[own]]
+            yield pa.RecordBatch.from_arrays([pa.array(found), *batch.columns[2:]], ["slot", *batch.schema.names[2:]])
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(["slot bigint", *(f"{c} {kinds[c]}" for c in rows.columns[2:])]))
+
+
+def _placed(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame, int]:
+    """(places, places with payload, number of sequences), in no order; see ``ordered`` for the columns."""
     kept = stored(sequences(docs, settings), "sequences")
     narrow = kept.select("partition", "number", "doc_id", "hash", "part")
     order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("hash"), F.col("part"), F.col("partition"), F.col("number")]
-    placed = permuted(dense_index(narrow, order, "_index"), "_index", kept.count(), settings.key).select("partition", "number", "slot")
-    slots = kept.join(stored(placed, "slots"), ["partition", "number"])
+    n, folder = kept.count(), shared_folder(docs.sparkSession, "slots")
+    _write_slots(permuted(dense_index(narrow, order, "_index"), "_index", n, settings.key).select("partition", "number", "slot"), folder)
+
+    def places(*more: str) -> DataFrame:
+        return _with_slots(kept.select("partition", "number", "doc_id", "part", "n", *more), folder).select(
+            "slot",
+            F.floor(F.col("slot") / settings.per_shard).alias("shard"),
+            (F.col("slot") % settings.per_shard * settings.stride).alias("offset"),
+            "doc_id", "part", "n", *more,
+        )
+
     pad = F.lit(int(settings.pad).to_bytes(2, "little"))
-    return slots.select(
-        "slot",
-        F.floor(F.col("slot") / settings.per_shard).alias("shard"),
-        (F.col("slot") % settings.per_shard * settings.stride).alias("offset"),
-        "doc_id", "part", "n",
-        F.rpad("ids", F.lit(settings.stride), pad).alias("payload"),
-    )
+    return places(), places("ids").withColumn("payload", F.rpad("ids", F.lit(settings.stride), pad)).drop("ids"), n
 
 
 def _by_slot(rows: DataFrame, settings: Settings) -> DataFrame:
@@ -163,7 +223,7 @@ def _by_slot(rows: DataFrame, settings: Settings) -> DataFrame:
 
 def ordered(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(slot, shard, offset, doc_id, part, n, payload) of every sequence, in slot order within range partitions."""
-    return _by_slot(_placed(docs, settings), settings)
+    return _by_slot(_placed(docs, settings)[1], settings)
 
 
 def _digest(store, path: str) -> bytes:
@@ -174,21 +234,31 @@ def _digest(store, path: str) -> bytes:
     return digest.digest()
 
 
-def write_shards(rows: DataFrame, folder: str) -> DataFrame:
-    """Write ``shard-000000.bin`` and so on; (shard, sequences) of every shard. Shards that are there with the same bytes stay."""
+def write_shards(rows: DataFrame, folder: str, shards: int) -> DataFrame:
+    """Write ``shard-000000.bin`` and so on; (shard, sequences) of every shard. Shards that are there with the same bytes stay.
+
+    The shards, whose number is known, are cut into ranges of whole shards, one to a partition: neither a sample nor a second shuffle.
+    """
+    spark = rows.sparkSession
+    ranges = max(1, min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // SHARDS_PER_TASK))))
 
     def run(batches):
-        import tempfile
+        open_shard, out, part, count, digest = None, None, None, 0, None
 
-        open_shard, spool, count, digest = None, None, 0, None
+        def begin(shard):
+            nonlocal open_shard, out, part, count, digest
+            store, path = filesystem(posixpath.join(folder, f"shard-{shard:06d}.bin"))
+            store.create_dir(posixpath.dirname(path), recursive=True)
+            part = f"{path}.{uuid.uuid4().hex}.part"
+            open_shard, out, count, digest = shard, store.open_output_stream(part), 0, hashlib.sha256()
 
         def close():
-            target = posixpath.join(folder, f"shard-{open_shard:06d}.bin")
-            store, path = filesystem(target)
-            if not store.get_file_info(path).is_file or _digest(store, path) != digest.digest():
-                spool.seek(0)
-                put_file(target, lambda out: [out.write(x) for x in iter(lambda: spool.read(1 << 20), b"")])
-            spool.close()
+            out.close()
+            store, path = filesystem(posixpath.join(folder, f"shard-{open_shard:06d}.bin"))
+            if store.get_file_info(path).is_file and _digest(store, path) == digest.digest():
+                store.delete_file(part)
+            else:
+                store.move(part, path)
             return pa.RecordBatch.from_arrays([pa.array([open_shard], pa.int64()), pa.array([count], pa.int64())], ["shard", "sequences"])
 
         for batch in batches:
@@ -196,14 +266,16 @@ def write_shards(rows: DataFrame, folder: str) -> DataFrame:
                 if shard != open_shard:
                     if open_shard is not None:
                         yield close()
-                    open_shard, spool, count, digest = shard, tempfile.SpooledTemporaryFile(1 << 24), 0, hashlib.sha256()
-                spool.write(payload)
+                    begin(shard)
+                out.write(payload)
                 digest.update(payload)
                 count += 1
         if open_shard is not None:
             yield close()
 
-    return rows.repartition("shard").sortWithinPartitions("slot").select("shard", "payload").mapInArrow(run, "shard bigint, sequences bigint")
+    own = F.floor(F.col("shard") * ranges / max(1, shards)).cast("int")
+    dealt = rows.select("shard", "slot", "payload").repartitionById(ranges, own).sortWithinPartitions("slot")
+    return dealt.select("shard", "payload").mapInArrow(run, "shard bigint, sequences bigint")
 
 
 def read_shards(places: DataFrame, folder: str, settings: Settings = Settings()) -> DataFrame:
@@ -239,15 +311,15 @@ def materialised(docs: DataFrame, settings: Settings = Settings(), folder: str |
     from pyarrow import fs
 
     folder = folder or shared_folder(docs.sparkSession, "shards")
-    rows = _placed(docs, settings)
+    places, rows, n = _placed(docs, settings)
     # one row for all shards
-    last = write_shards(rows, folder).agg(F.max("shard")).first()[0]
+    last = write_shards(rows, folder, -(-n // settings.per_shard)).agg(F.max("shard")).first()[0]
     store, path = filesystem(folder)
     there = store.get_file_info(fs.FileSelector(path, allow_not_found=True))
     named = [x.base_name for x in there if x.base_name.startswith("shard-") and x.base_name.endswith(".bin")]
     if len(named) != (0 if last is None else last + 1):
         raise ValueError(f"{folder} holds shards of another order beyond the last one")
-    return read_shards(_by_slot(rows.drop("payload"), settings), folder, settings)
+    return read_shards(_by_slot(places, settings), folder, settings)
 
 
 def read_slot(folder: str, slot: int, settings: Settings = Settings()) -> np.ndarray:
