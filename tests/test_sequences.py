@@ -124,7 +124,8 @@ def test_thinning_in_chunks(spark):
     start = datetime(2024, 1, 1)
     rows = [(i, i % 2, start + timedelta(seconds=20 * i), None if rng.random() < 0.2 else [float(rng.randrange(3) * 10)]) for i in range(300)]
     df = spark.createDataFrame(rows, "id long, who int, taken_at timestamp_ntz, mark array<double>")
-    got = {r["id"] for r in curation.thin_sequence(df, "mark", ["who"], window_s=120, max_diff=12.0, chunk_rows=23).collect()}
+    rounds: list[int] = []
+    got = {r["id"] for r in curation.thin_sequence(df, "mark", ["who"], window_s=120, max_diff=12.0, chunk_rows=23, rounds=rounds).collect()}
     want = set()
     for who in (0, 1):
         mark = at = None
@@ -135,6 +136,19 @@ def test_thinning_in_chunks(spark):
             if m is not None:
                 mark, at = m, t
     assert got == want
+    # 14 chunks: all but the first are handed an item, and few end otherwise for it
+    assert rounds[0] <= 13 and sum(rounds[1:]) <= 6 and rounds[-1] == 0
+
+
+def test_thinning_agrees_early(spark):
+    """What a chunk's first run has kept is taken over from where both runs agree; one endless repeat hands the first item on."""
+    start = datetime(2024, 5, 1)
+    rows = [(i, start + timedelta(seconds=i), [float(i // 40)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, taken_at timestamp_ntz, mark array<double>")
+    rounds: list[int] = []
+    got = curation.thin_sequence(df, "mark", window_s=1000, max_diff=0.5, chunk_rows=10, rounds=rounds)
+    assert sorted(r["id"] for r in got.collect()) == [0, 40, 80, 120, 160]
+    assert rounds[0] == 19 and rounds[-1] == 0 and len(rounds) <= 6
 
 
 def test_vector_shards(spark):

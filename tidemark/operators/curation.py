@@ -191,28 +191,36 @@ def curate(members: DataFrame, items: DataFrame, group: str, k: int = CURATED_MA
 # ---------- sequential thinning ----------
 
 def _thin(owner: list[str], key: str, window_s: float, max_diff: float):
+    """One chunk from its entry on; ``_kept`` is what the run before has kept (null in the first).
+
+    As soon as both runs keep the same fingerprint they agree to the end, so the rest is taken over.
+    """
+
     def run(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame({"_chunk": [], key: [], "kept": [], "state": []})
         rows = rows.sort_values("_idx", ignore_index=True)
+        marked = rows["_print"].notna().to_numpy()
+        at = rows["_us"].to_numpy(np.int64)
+        marks = dict(zip(np.flatnonzero(marked).tolist(), (np.asarray(m, dtype=np.float64) for m in rows["_print"][marked]), strict=True))
+        owners = list(zip(*[rows[o] for o in owner])) if owner else [()] * len(rows)
+        was = rows["_kept"].to_numpy() if rows["_kept"].notna().all() else None
         state = None
         if len(entry):
             first = entry.iloc[0]
-            state = (tuple(first[o] for o in owner), int(first["_us"]), np.asarray(first["_print"]), first[key])
-        owners = list(zip(*[rows[o] for o in owner])) if owner else [()] * len(rows)
+            state = (tuple(first[o] for o in owner), int(first["_us"]), np.asarray(first["_print"], dtype=np.float64))
         kept = np.ones(len(rows), dtype=bool)
-        for i, (who, at, mark, item) in enumerate(zip(owners, rows["_us"], rows["_print"], rows[key])):
-            if mark is None:
+        for i, mark in marks.items():
+            if state is not None and state[0] == owners[i] and at[i] - state[1] <= window_s * 1_000_000 and np.abs(mark - state[2]).mean() < max_diff:
+                kept[i] = False
                 continue
-            mark = np.asarray(mark, dtype=np.float64)
-            if state is not None and state[0] == who and at - state[1] <= window_s * 1_000_000:
-                if np.abs(mark - state[2]).mean() < max_diff:
-                    kept[i] = False
-                    continue
-            state = (who, at, mark, item)
-        return pd.DataFrame(
-            {"_chunk": rows["_chunk"], key: rows[key], "kept": kept, "state": pd.array([None if state is None else state[3]] * len(rows), dtype="Int64")}
-        )
+            if was is not None and was[i]:
+                kept[i:] = was[i:]
+                break
+            state = (owners[i], at[i], mark)
+        last = np.flatnonzero(kept & marked)
+        end = rows[key].iloc[last[-1]] if len(last) else entry.iloc[0][key] if len(entry) else None
+        return pd.DataFrame({"_chunk": rows["_chunk"], key: rows[key], "kept": kept, "state": pd.array([end] * len(rows), dtype="Int64")})
 
     return run
 
@@ -226,13 +234,15 @@ def thin_sequence(
     window_s: float = 120,
     max_diff: float = 12.0,
     chunk_rows: int = 20_000,
+    rounds: list[int] | None = None,
 ) -> DataFrame:
     """Drop items that repeat the last kept fingerprint within ``window_s`` seconds.
 
     Items without a fingerprint stay and do not change what later ones are compared with.
-    The sequence is cut into chunks of fixed size that run side by side. A chunk starts from
-    the item its predecessor ended with in the previous round; rounds repeat until no chunk
-    ends differently, which is then the sequential result.
+    The sequence is cut into chunks of fixed size that run side by side, as if nothing came before.
+    Then a chunk runs again if its predecessor ends with another item than it started from, and only up
+    to the place where it agrees with its run before; rounds repeat until no chunk is handed another
+    item, which is then the sequential result. ``rounds`` receives the number of chunks of each round.
     """
     by = by or []
     narrow = items.select(
@@ -243,23 +253,25 @@ def thin_sequence(
     # aliases keep the two sides of the cogroup apart
     columns = ["_chunk", *by, "_us", "_print", key]
     states = rows.select(*[F.col(c).alias(c) for c in columns])
-    entry = states.limit(0)
-    before = None
-    run = _thin(by, key, window_s, max_diff)
+    run, schema = _thin(by, key, window_s, max_diff), f"_chunk bigint, {key} bigint, kept boolean, state bigint"
+
+    def ran(part: DataFrame, entry: DataFrame) -> DataFrame:
+        return part.groupBy("_chunk").cogroup(entry.groupBy("_chunk")).applyInPandas(run, schema)
+
+    done = cut(ran(rows.withColumn("_kept", F.lit(None).cast("boolean")), states.limit(0)))
+    used = done.select("_chunk", "state").limit(0)
     while True:
-        done = cut(
-            rows.groupBy("_chunk")
-            .cogroup(entry.groupBy("_chunk"))
-            .applyInPandas(run, f"_chunk bigint, {key} bigint, kept boolean, state bigint")
-        )
-        ends = done.groupBy("_chunk").agg(F.max("state").alias("state"))
-        if before is not None:
-            other = before.select("_chunk", F.col("state").alias("was"))
-            if ends.join(other, "_chunk").where(~F.col("state").eqNullSafe(F.col("was"))).isEmpty():
-                break
-        elif ends.count() == 1:
+        ends = cut(done.groupBy("_chunk").agg(F.max("state").alias("state")))
+        handed = ends.where("state is not null").select((F.col("_chunk") + 1).alias("_chunk"), "state").join(ends.select("_chunk"), "_chunk", "left_semi")
+        before = used.select("_chunk", F.col("state").alias("was"))
+        changed = cut(handed.join(before, "_chunk", "left").where(~F.col("state").eqNullSafe(F.col("was"))).select("_chunk", "state"))
+        n = changed.count()
+        if rounds is not None:
+            rounds.append(n)
+        if not n:
             break
-        before = ends
-        handed = ends.where("state is not null").select((F.col("_chunk") + 1).alias("_chunk"), F.col("state").alias(key))
-        entry = handed.join(states.drop("_chunk"), key).select(*[F.col(c).alias(c) for c in columns])
+        again = rows.join(changed.select("_chunk"), "_chunk", "left_semi").join(done.select(key, F.col("kept").alias("_kept")), key)
+        entry = changed.withColumnRenamed("state", key).join(states.drop("_chunk"), key).select(*[F.col(c).alias(c) for c in columns])
+        done = cut(done.join(changed.select("_chunk"), "_chunk", "left_anti").unionByName(ran(again, entry)))
+        used = cut(handed)
     return items.join(done.where("kept").select(key), key, "left_semi")
