@@ -22,6 +22,21 @@ def test_manifest_of_real_files(spark, tmp_path):
     assert [(r["title"], len(r["id"])) for r in manifest.audio_files(files).collect()] == [("my song", 16)]
 
 
+def test_hidden_files_are_listed(spark, tmp_path):
+    """Names that start with '_' or '.' are files like others; only resource forks and hidden folders are left out later."""
+    names = ["_a.jpg", ".b.jpg", "._c.jpg", "d/_e/f.png", "d/.g/h.png", "_SUCCESS", "d/plain.mp4", "#odd?name%20.jpg"]
+    for i, name in enumerate(names):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * i)
+    (tmp_path / "nothing").mkdir()
+    for root in (str(tmp_path), f"file:{tmp_path}/"):
+        files = manifest.list_files(spark, root)
+        found = {r["rel_path"]: (r["size"], r["mtime_ns"]) for r in files.collect()}
+        assert found == {n: (i, (tmp_path / n).stat().st_mtime_ns) for i, n in enumerate(names)}
+        kept = {r["rel_path"] for r in manifest.media_files(files).collect()}
+        assert kept == {"_a.jpg", ".b.jpg", "d/_e/f.png", "d/plain.mp4", "#odd?name%20.jpg"}
+
+
 def test_festival_table(spark, tmp_path):
     data = {"festivals": {"ugadi": {"2024": {"date": "2024-04-09"}}, "sankranti": {"2025": {"date": "2025-01-14", "start": "2025-01-13", "end": "2025-01-15"}}}}
     (tmp_path / "f.json").write_text(json.dumps(data))
