@@ -95,3 +95,30 @@ def test_first_windows(spark):
     for at in moments:
         fits = sorted((s, e, w) for w, s, e in windows if s <= at <= e)
         assert [r["event_id"] for r in got if r["start_at"] <= at < r["until"]] == [x[2] for x in fits[:1]]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_late_rows_repair_sessions(spark, seed):
+    """Late rows join, extend and bridge stored sessions as if all rows had been there; owners may be null."""
+    rng = random.Random(seed)
+    t = datetime(2023, 12, 30)
+    rows = [(rng.choice(["a", "b", None]), t + timedelta(minutes=10 * rng.randrange(3000))) for _ in range(160)]
+    rows += [("a", t + timedelta(hours=6 * k)) for k in range(4)]
+    late = [r for r in rows if rng.random() < 0.3] or rows[:1]
+    early = list(rows)
+    for r in late:
+        early.remove(r)
+    schema = "who string, taken_at timestamp_ntz"
+    stored = sessions.session_spans(spark.createDataFrame(early, schema), 6, ["who"])
+    got = sessions.repair_spans(stored, spark.createDataFrame(late, schema), 6, ["who"])
+    want = sessions.session_spans(spark.createDataFrame(rows, schema), 6, ["who"])
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_untouched_sessions_stay(spark):
+    """Sessions beyond the gap of every late row are handed on as they are stored."""
+    t = datetime(2023, 1, 1)
+    stored = spark.createDataFrame([("a", t, t, 7), ("a", t + timedelta(hours=13), t + timedelta(hours=14), 9)], "who string, start_at timestamp_ntz, end_at timestamp_ntz, n long")
+    late = spark.createDataFrame([("a", t + timedelta(hours=6)), ("b", t + timedelta(hours=14))], "who string, taken_at timestamp_ntz")
+    got = sorted(map(tuple, sessions.repair_spans(stored, late, 6, ["who"]).collect()))
+    assert got == [("a", t, t + timedelta(hours=6), 8), ("a", t + timedelta(hours=13), t + timedelta(hours=14), 9), ("b", t + timedelta(hours=14), t + timedelta(hours=14), 1)]

@@ -41,6 +41,18 @@ def global_sessions(spark, sf):
     )
 
 
+@query("""
+WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS end_at, count(*) AS n FROM s GROUP BY user_id, k""")
+def late_sessions(spark, sf):
+    """Sessions of every user after the clicks came late: those that they touch are merged, the others stay."""
+    e = table(spark, sf, "events").select("user_id", "ts", "event_type")
+    stored = sessions.session_spans(e.where("event_type <> 'click'"), 6, ["user_id"], "ts")
+    whole = sessions.repair_spans(stored, e.where("event_type = 'click'"), 6, ["user_id"], "ts")
+    return whole.select("user_id", time_text("start_at").alias("start_at"), time_text("end_at").alias("end_at"), "n")
+
+
 PLACED = """
 p AS (SELECT event_id, user_id, ts,
     CASE WHEN event_id%5=0 THEN NULL WHEN event_id%7=0 THEN 0.0 ELSE 17.0::DOUBLE + (event_id*7919%60)/100.0::DOUBLE END AS lat,

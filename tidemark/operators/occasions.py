@@ -70,13 +70,13 @@ def calendar_list(occasions: DataFrame, persons: DataFrame) -> DataFrame:
 
 # ---------- placing occasions on date ranges ----------
 
-def overlaps(left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str]) -> DataFrame:
-    """Pairs of rows whose date ranges share a day: one of the two starts within the other."""
+def overlaps(left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str], by: list[str] | None = None) -> DataFrame:
+    """Pairs of rows (of the same owner) whose date ranges share a day: one of the two starts within the other."""
     a = left.where(F.col(left_range[0]).cast("date") <= F.col(left_range[1]).cast("date"))
     b = right.where(F.col(right_range[0]).cast("date") <= F.col(right_range[1]).cast("date"))
     (la, ha), (lb, hb) = ([day_number(F.col(c)) for c in names] for names in (left_range, right_range))
-    within = points_in_ranges(a, la, b, lb, hb)
-    after = points_in_ranges(b, lb, a, la + 1, ha)
+    within = points_in_ranges(a, la, b, lb, hb, by)
+    after = points_in_ranges(b, lb, a, la + 1, ha, by)
     return within.unionByName(after)
 
 

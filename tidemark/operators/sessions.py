@@ -39,6 +39,42 @@ def gap_sessions(items: DataFrame, gap_hours: float, by: list[str] | None = None
     return join_same(bucketed, numbered, [*by, "_bucket"]).drop("_bucket")
 
 
+def session_spans(items: DataFrame, gap_hours: float, by: list[str] | None = None, ts: str = "taken_at") -> DataFrame:
+    """(by, start_at, end_at, n) of every session."""
+    by = by or []
+    rows = gap_sessions(items.select(*by, ts), gap_hours, by, ts)
+    return rows.groupBy(*by, "session").agg(F.min(ts).alias("start_at"), F.max(ts).alias("end_at"), F.count(F.lit(1)).alias("n")).drop("session")
+
+
+def repair_spans(spans: DataFrame, late: DataFrame, gap_hours: float, by: list[str] | None = None, ts: str = "taken_at") -> DataFrame:
+    """``spans`` after the ``late`` rows have come in: what sessions of all rows would be, without reading the others again.
+
+    Late rows make sessions of their own first. Only stored sessions within the gap of one of those can
+    change; they are merged with them, and all others stay as they are. What is ordered per owner is a row
+    per changed session, not the rows in it.
+    """
+    from tidemark.operators.occasions import overlaps
+
+    by = by or []
+    gap = F.expr(f"INTERVAL '{round(gap_hours * 3600)}' SECOND")
+    fresh = cut(session_spans(late, gap_hours, by, ts))
+    reach = fresh.select(*by, (F.col("start_at") - gap).alias("_low"), (F.col("end_at") + gap).alias("_high"))
+    met = overlaps(spans.select(*by, "start_at", "end_at"), reach, ("start_at", "end_at"), ("_low", "_high"), by)
+    touched = met.where((F.col("start_at") <= F.col("_high")) & (F.col("end_at") >= F.col("_low"))).select(*by, "start_at").distinct()
+    named = touched.withColumnsRenamed({c: f"_t_{c}" for c in touched.columns}).withColumn("_touched", F.lit(True))
+    same = F.lit(True)
+    for c in touched.columns:
+        same = same & spans[c].eqNullSafe(named[f"_t_{c}"])
+    marked = cut(spans.join(named, same, "left").select(*spans.columns, F.coalesce("_touched", F.lit(False)).alias("_touched")))
+    changed = marked.where("_touched").drop("_touched").unionByName(fresh.select(*spans.columns))
+    along = Window.partitionBy(*by).orderBy("start_at", "end_at")
+    before = F.max("end_at").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.coalesce((F.col("start_at") > before + gap).cast("bigint"), F.lit(0))
+    islands = changed.withColumn("_new", apart).withColumn("_island", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = islands.groupBy(*by, "_island").agg(F.min("start_at").alias("start_at"), F.max("end_at").alias("end_at"), F.sum("n").alias("n"))
+    return marked.where("not _touched").drop("_touched").unionByName(merged.drop("_island"))
+
+
 def split_clusters(
     items: DataFrame,
     gap_hours: float,
