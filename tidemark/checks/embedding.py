@@ -172,7 +172,23 @@ def event_heroes(spark, sf):
     return heroes
 
 
-@query()
+def _unlike(kept: str, seen: str) -> str:
+    """No kept vector looks like the seen one, or like it within 90 seconds."""
+    cos = f"list_dot_product(x.v, {seen}.v)"
+    return f"len(list_filter({kept}, lambda x: {cos} >= 0.45 OR ({cos} >= 0.3 AND abs(x.t - {seen}.t) <= 90))) = 0"
+
+
+@query(f"""WITH RECURSIVE
+seq AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, t, id) AS rn FROM
+  (SELECT vec_id AS id, CAST(label AS BIGINT) AS g, (vec_id * 37 % 101) / 100.0 AS score, vec_id * 20 AS t, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)),
+pick(g, rn, kept, ids) AS (
+  SELECT DISTINCT g, CAST(0 AS BIGINT), CAST([] AS STRUCT(v DOUBLE[], t BIGINT)[]), CAST([] AS BIGINT[]) FROM seq
+  UNION ALL
+  SELECT p.g, s.rn,
+    CASE WHEN {_unlike('p.kept', 's')} THEN list_append(p.kept, {{'v': s.v, 't': s.t}}) ELSE p.kept END,
+    CASE WHEN {_unlike('p.kept', 's')} THEN list_append(p.ids, s.id) ELSE p.ids END
+  FROM pick p JOIN seq s ON s.g = p.g AND s.rn = p.rn + 1 WHERE len(p.ids) < 12)
+SELECT g AS label, unnest(ids) AS id, unnest(range(1, len(ids) + 1)) AS pick FROM (SELECT g, arg_max(ids, rn) AS ids FROM pick GROUP BY g)""")
 def diverse_vectors(spark, sf):
     """Diverse picks of every class by vector similarity."""
     rows = _vectors(spark, sf).select(
@@ -183,7 +199,8 @@ def diverse_vectors(spark, sf):
         F.lit(None).cast("bigint").alias("sig"),
         F.col("embedding").alias("vec"),
     )
-    return curation.diverse_top_k(rows, ["label"], 12, same_cos=0.45, burst_cos=0.3)
+    found = curation.diverse_top_k(rows, ["label"], 12, same_cos=0.45, burst_cos=0.3)
+    return found.select("label", "id", big("pick"))
 
 
 @query("""
