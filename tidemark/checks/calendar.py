@@ -122,14 +122,14 @@ rows_ AS MATERIALIZED (SELECT * FROM base WHERE md IN ({day}) OR (NOT EXISTS (SE
 
 
 @query(with_tables(CUR_TABLES, PEOPLE + OTD.format(year=2001, day="'0714'", week="'0711','0712','0713','0714','0715','0716','0717'") + """
-cand AS (SELECT id, sig, score, ts, y AS g FROM rows_ WHERE kind='photo'),""" + GREEDY.replace("{k}", "3") + """,
+cand AS (SELECT id, sig, vec, score, ts, y AS g FROM rows_ WHERE kind='photo'),""" + GREEDY.replace("{k}", "3") + """,
 early AS (SELECT y, id FROM (SELECT y, id, row_number() OVER (PARTITION BY y ORDER BY ts, id) AS r FROM rows_ WHERE y NOT IN (SELECT g FROM cand)) WHERE r <= 3),
 totals AS (SELECT y, count(*) AS total FROM rows_ GROUP BY y)
 SELECT CAST(t.y AS BIGINT) AS year, CASE WHEN 2001-t.y = 1 THEN 'A year ago' ELSE (2001-t.y) || ' years ago' END AS label,
   'day' AS span, total, p.id FROM totals t JOIN (SELECT g AS y, id FROM final UNION ALL SELECT y, id FROM early) p ON p.y = t.y"""))
 def on_this_day(spark, sf):
     """What was taken on one calendar day in earlier years, with picks."""
-    lib = library(spark, sf, without=("embeddings",))
+    lib = library(spark, sf)
     years, picks = views.on_this_day(lib, date(2001, 7, 14), per_year=3)
     return years.join(picks, "year").select(big("year"), "label", "span", "total", "id")
 

@@ -131,43 +131,45 @@ def entity_assignment(spark, sf):
     return done.select("id", "person_id", "assigned_by")
 
 
-GREEDY = """
+_ALIKE = """len(list_filter(p.kept, lambda x: bit_count(xor(x.sig, s.sig)) <= 10 OR coalesce(
+      list_dot_product(x.vec, s.vec) >= 0.93 OR (list_dot_product(x.vec, s.vec) >= 0.88 AND abs(x.us - epoch_us(s.ts)) <= 90000000), false)))"""
+GREEDY = f"""
 seq AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, ts, id) AS rn FROM cand),
 pick(g, rn, kept, ids) AS (
-  SELECT DISTINCT g, CAST(0 AS BIGINT), CAST([] AS UBIGINT[]), CAST([] AS BIGINT[]) FROM seq
+  SELECT DISTINCT g, CAST(0 AS BIGINT), CAST([] AS STRUCT(sig UBIGINT, vec DOUBLE[], us BIGINT)[]), CAST([] AS BIGINT[]) FROM seq
   UNION ALL
   SELECT p.g, s.rn,
-    CASE WHEN len(list_filter(p.kept, lambda x: bit_count(xor(x, s.sig)) <= 10)) = 0 THEN list_append(p.kept, s.sig) ELSE p.kept END,
-    CASE WHEN len(list_filter(p.kept, lambda x: bit_count(xor(x, s.sig)) <= 10)) = 0 THEN list_append(p.ids, s.id) ELSE p.ids END
-  FROM pick p JOIN seq s ON s.g = p.g AND s.rn = p.rn + 1 WHERE len(p.ids) < {k}),
+    CASE WHEN {_ALIKE} = 0 THEN list_append(p.kept, {{'sig': s.sig, 'vec': s.vec, 'us': epoch_us(s.ts)}}) ELSE p.kept END,
+    CASE WHEN {_ALIKE} = 0 THEN list_append(p.ids, s.id) ELSE p.ids END
+  FROM pick p JOIN seq s ON s.g = p.g AND s.rn = p.rn + 1 WHERE len(p.ids) < {{k}}),
 final AS (SELECT g, unnest(ids) AS id FROM (SELECT g, arg_max(ids, rn) AS ids FROM pick GROUP BY g))"""
 
 PEOPLE = """,
 people AS MATERIALIZED (SELECT f.media_id, count(DISTINCT person_id) AS n FROM faces f JOIN persons p ON p.id = f.person_id AND NOT p.hidden GROUP BY 1),
-cur AS MATERIALIZED (SELECT m.id, m.kind, taken_at AS ts, has_thumb, m.id IN (SELECT media_id FROM hidden) AS copy, sig, width >= height AS wide, aesthetic,
+cur AS MATERIALIZED (SELECT m.id, m.kind, taken_at AS ts, has_thumb, m.id IN (SELECT media_id FROM hidden) AS copy, sig, CAST(v.embedding AS DOUBLE[]) AS vec, width >= height AS wide, aesthetic,
     coalesce(q.total, 50.0) + 4 * least(coalesce(people.n, 0), 3) AS score
-  FROM media m LEFT JOIN quality q ON q.media_id = m.id LEFT JOIN people ON people.media_id = m.id WHERE NOT missing)"""
+  FROM media m LEFT JOIN quality q ON q.media_id = m.id LEFT JOIN people ON people.media_id = m.id LEFT JOIN embeddings v ON v.vec_id = m.id WHERE NOT missing)"""
 CUR_TABLES = ["media", "quality", "faces", "persons", "dup_groups", "dup_members", "hidden"]
 
 
 @query(with_tables(CUR_TABLES, PEOPLE + """,
-cand AS (SELECT id, sig, score, ts, year(ts) AS g FROM cur WHERE kind='photo' AND has_thumb AND NOT copy),""" + GREEDY.replace("{k}", "24") + """
+cand AS (SELECT id, sig, vec, score, ts, year(ts) AS g FROM cur WHERE kind='photo' AND has_thumb AND NOT copy),""" + GREEDY.replace("{k}", "24") + """
 SELECT CAST(g AS BIGINT) AS year, id FROM final"""))
 def best_of_year(spark, sf):
     """24 diverse picks of every year."""
-    lib = library(spark, sf, without=("embeddings",))
+    lib = library(spark, sf)
     return views.best_of_year(lib).select(big("year"), "id")
 
 
 @query(with_tables([*CUR_TABLES, "event_media"], PEOPLE + """,
-cand AS (SELECT id, sig, score, ts, event_id AS g FROM cur JOIN event_media e ON e.media_id = id WHERE kind='photo' AND has_thumb AND NOT copy),""" + GREEDY.replace("{k}", "12") + """,
+cand AS (SELECT id, sig, vec, score, ts, event_id AS g FROM cur JOIN event_media e ON e.media_id = id WHERE kind='photo' AND has_thumb AND NOT copy),""" + GREEDY.replace("{k}", "12") + """,
 hero AS (SELECT g, arg_max(c.id, (score + CASE WHEN wide THEN 6 ELSE 0 END + 10*coalesce(aesthetic, 0), -rn)) AS h
   FROM final JOIN cur c USING (id) JOIN (SELECT g, id, rn FROM seq) s USING (g, id) GROUP BY g),
 other AS (SELECT event_id AS g, arg_min(id, (ts, id)) AS h FROM cur JOIN event_media e ON e.media_id = id WHERE has_thumb GROUP BY 1)
 SELECT other.g AS event_id, coalesce(hero.h, other.h) AS hero_id FROM other LEFT JOIN hero USING (g)"""))
 def event_heroes(spark, sf):
     """Hero of every event: the best pick, or the earliest item where there is no photo."""
-    lib = library(spark, sf, without=("embeddings",))
+    lib = library(spark, sf)
     _, heroes = curation.curate(lib.live_members(), lib.curation_items(), "event_id")
     return heroes
 
