@@ -145,6 +145,69 @@ def test_canonical_json():
     assert tool_calls.violations(True, {"type": "integer"}) == ["$: type"] and tool_calls.violations(3.0, {"type": "integer"}) == []
 
 
+def test_odd_json_is_an_error_or_has_a_stated_form(spark):
+    """Valid JSON at the edge of what can be stored: every row gives a result."""
+    big = "9" * 400
+    texts = {
+        "float": '{"n": 1e400}', "lone": '{"n": 1, "s": "\\ud800", "\\udfff": 2}', "big": f'{{"n": {big}}}', "deep": '{"n": ' + "[" * 3000 + "]" * 3000 + "}",
+        "deeper": "[" * 200_000, "digits": '{"n": ' + "9" * 9000 + "}", "twice": '{"n": 0, "n": 3}', "pair": '{"n": 1, "s": "\\ud83d\\ude00"}',
+        "allowed": "[" * 200 + "]" * 200, "small": '{"n": 1e-400}',
+    }
+    rows = {r["call_id"]: r for r in formatted(spark, [(1, i, k, "t", v, None) for i, (k, v) in enumerate(texts.items())], [])}
+    assert len(rows) == len(texts)
+    for name in ("float", "deep", "deeper", "digits"):
+        assert rows[name]["errors"] == ["invalid_json"] and rows[name]["message"].startswith('{"arguments":null,')
+    assert rows["lone"]["errors"] == ["$.s: enum", "$.\\udfff: additionalProperties"]
+    assert rows["lone"]["message"] == '{"arguments":{"n":1,"s":"\\ud800","\\udfff":2},"id":"lone","name":"t","result":null}'
+    assert json.loads(rows["lone"]["message"])["arguments"]["s"] == "\ud800"
+    assert rows["big"]["valid"] and f'"n":{big}' in rows["big"]["message"]
+    assert rows["twice"]["valid"] and rows["pair"]["errors"] == ["$.s: enum"] and '"😀"' in rows["pair"]["message"]
+    assert rows["allowed"]["errors"] == ["$: type"] and rows["small"]["errors"] == ["$.n: minimum"]
+
+
+def test_schemas_that_cannot_be_read():
+    assert tool_calls.errors_of({}, None) == tool_calls.errors_of({}, [1]) == ["invalid_schema"]
+    assert tool_calls.errors_of({"a": 1}, {"properties": {"a": {"minimum": "x"}}}) == ["invalid_schema"]
+    assert tool_calls.errors_of(1, {"type": "whole"}) == ["$: type"] and tool_calls.errors_of(1, {"type": ["whole", "integer"]}) == []
+
+
+def _places(calls, results):
+    """Places by the definition: relax every need until nothing moves; what never settles is on a cycle or waits for one."""
+    first_call, first_result = {}, {}
+    for pos, cid, needs in sorted(calls, key=lambda c: c[:2]):
+        first_call.setdefault(cid, (pos, needs))
+    for pos, cid in sorted(results):
+        first_result.setdefault(cid, pos)
+    needs = {c: {n for n in wanted if n != c and n in first_call and n in first_result} for c, (_, wanted) in first_call.items()}
+    place = {c: (pos, 0) for c, (pos, _) in first_call.items()}
+    for _ in range(len(place) + 1):
+        for c in place:
+            for n in needs[c]:
+                p, d = max((first_result[n], 0), (place[n][0], place[n][1] + 1))
+                place[c] = max(place[c], (p, d + 1))
+    return place
+
+
+def test_places_against_relaxation(spark):
+    """Random conversations without cycles, with repeated and loose ids, against the plain definition."""
+    rng = random.Random(12)
+    calls, results, want = [], [], {}
+    for conv in range(8):
+        order = [f"c{i}" for i in range(12)]
+        rng.shuffle(order)
+        own, back = [], []
+        for i, name in enumerate(order):
+            own.append((rng.randint(0, 30), name, rng.sample(order[:i], min(i, rng.randint(0, 2))) + ["nobody", name][: rng.randint(0, 2)]))
+            if rng.random() < 0.8:
+                back.append((rng.randint(0, 45), name))
+        back += [(60 + i, name) for i, name in enumerate(order[:3])]
+        calls += [(conv, pos, name, "t", "{}", needs) for pos, name, needs in own]
+        results += [(conv, pos, name, "r") for pos, name in back]
+        want |= {(conv, c): place for c, place in _places(own, back).items()}
+    rows = formatted(spark, calls, results)
+    assert {(r["conv_id"], r["call_id"]): (r["order_pos"], r["order_depth"]) for r in rows if r["status"] in ("linked", "no_result")} == want
+
+
 def test_calls_from_conversations(spark):
     from tidemark.llm.queries import derived_calls
 

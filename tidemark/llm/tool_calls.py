@@ -15,10 +15,14 @@ that do (on the cycle, or waiting for it) get status ``cycle``, their own positi
 
 Validation. Schemas are joined by name and read once per task. ``errors`` lists the paths that break ``type``, ``required``,
 ``properties``, ``additionalProperties`` (false), ``enum``, ``minimum``, ``maximum``, ``minLength``, ``maxLength`` or ``items``;
-``invalid_json`` and ``unknown_tool`` are errors too.
+``invalid_json``, ``unknown_tool`` and ``invalid_schema`` (a schema that is no JSON object, or whose rules have values of the wrong
+kind) are errors too. A ``type`` that is none of JSON's fits no value.
 
 Canonical JSON. Keys sorted by UTF-16 units, no blanks, shortest numbers (1.0 is 1), only necessary escapes; equal values give equal
-bytes. ``message`` is {"arguments", "id", "name", "result"} of a call with its result (null without).
+bytes. ``message`` is {"arguments", "id", "name", "result"} of a call with its result (null without). A lone surrogate, which UTF-8
+cannot hold, stays an escape of four lower-case digits, in messages and in error paths. Of equal keys of an object the last counts.
+Integers are exact, of whatever size up to ``MAX_DIGITS`` digits. Beyond what can be stated in these terms, text is ``invalid_json``:
+numbers outside the range of doubles (1e400), longer integers, and values nested deeper than ``MAX_DEPTH``.
 
 Defined cases. Null ids link with nothing; null arguments are invalid JSON; a null result is null; null needs are none, unknown ids
 in it are ignored, as is an id's own. Of rows with equal position and id the smallest content counts as first. Empty tables give an
@@ -29,6 +33,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,9 +41,17 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored
 
+MAX_DEPTH = 200
+MAX_DIGITS = 4000
 _TYPES = {
     "object": dict, "array": list, "string": str, "boolean": bool, "null": type(None),
 }
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def _storable(text: str) -> str:
+    """Text with its lone surrogates as escapes."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def _number(x: int | float) -> str:
@@ -64,7 +77,7 @@ def canonical(value) -> str:
     if isinstance(value, (int, float)):
         return _number(value)
     if isinstance(value, str):
-        return json.dumps(value, ensure_ascii=False)
+        return _storable(json.dumps(value, ensure_ascii=False))
     if isinstance(value, list):
         return "[" + ",".join(map(canonical, value)) + "]"
     keys = sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
@@ -73,10 +86,10 @@ def canonical(value) -> str:
 
 def _is(value, kind: str) -> bool:
     if kind == "integer":
-        return isinstance(value, (int, float)) and not isinstance(value, bool) and float(value).is_integer()
+        return isinstance(value, (int, float)) and not isinstance(value, bool) and (isinstance(value, int) or value.is_integer())
     if kind == "number":
         return isinstance(value, (int, float)) and not isinstance(value, bool)
-    return isinstance(value, _TYPES[kind])
+    return isinstance(value, _TYPES.get(kind, ()))
 
 
 def violations(value, schema: dict, path: str = "$") -> list[str]:
@@ -105,16 +118,49 @@ def violations(value, schema: dict, path: str = "$") -> list[str]:
     return out
 
 
-def _finite(text: str):
+def _constant(text: str):
     raise ValueError(f"{text} is not JSON")
 
 
+def _float(text: str) -> float:
+    x = float(text)
+    if not math.isfinite(x):
+        raise ValueError(f"{text} is out of range")
+    return x
+
+
+def _int(text: str) -> int:
+    if len(text.lstrip("-")) > MAX_DIGITS:
+        raise ValueError("too many digits")
+    return int(text)
+
+
+def _shallow(value) -> bool:
+    level = [value]
+    for _ in range(MAX_DEPTH + 1):
+        level = [x for v in level if isinstance(v, (list, dict)) for x in (v.values() if isinstance(v, dict) else v)]
+        if not level:
+            return True
+    return False
+
+
 def parse(text: str | None):
-    """(value, whether it is JSON)."""
+    """(value, whether it is JSON within the stated bounds)."""
     try:
-        return json.loads(text, parse_constant=_finite), True
+        value = json.loads(text, parse_constant=_constant, parse_float=_float, parse_int=_int)
     except (TypeError, ValueError, RecursionError):
         return None, False
+    return (value, True) if _shallow(value) else (None, False)
+
+
+def errors_of(value, schema) -> list[str]:
+    """``violations`` in a form that can be stored; ``invalid_schema`` where the rules themselves cannot be read."""
+    if not isinstance(schema, dict):
+        return ["invalid_schema"]
+    try:
+        return [_storable(e) for e in violations(value, schema)]
+    except (TypeError, AttributeError):
+        return ["invalid_schema"]
 
 
 def _first(df: DataFrame, *content: str) -> DataFrame:
@@ -234,8 +280,8 @@ def formatted(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataF
                     errors[i] = ["unknown_tool"]
                 else:
                     if rules not in read:
-                        read[rules] = json.loads(rules)
-                    errors[i] = violations(value, read[rules])
+                        read[rules] = parse(rules)[0]
+                    errors[i] = errors_of(value, read[rules])
                 valid[i] = not errors[i]
                 messages[i] = canonical({"arguments": value, "id": get["call_id"][i], "name": get["name"][i], "result": get["content"][i]})
             arrays = [batch.column(c) for c in kept] + [pa.array(valid, pa.bool_()), pa.array(errors, pa.list_(pa.string())), pa.array(messages, pa.string())]
