@@ -481,6 +481,31 @@ def test_licenses_against_containment(spark):
     assert {(r["doc_id"], r["license"], r["containment"]) for r in found.collect()} == want
 
 
+def test_stretched_licenses_at_every_offset():
+    """Words inserted into a template, as many as to double it, wherever the passage begins among the blocks."""
+    rng, index = random.Random(17), licenses.Index(licenses.TEMPLATES)
+    for name in ("ISC", "MIT", "BSD-2-Clause"):
+        words = licenses.TEMPLATES[name].split()
+        size = len(licenses.word_hashes(np.frombuffer(licenses.TEMPLATES[name].encode(), np.uint8))[0]) - 4
+        block = 1 << (size - 1).bit_length()
+        cut = rng.randrange(10, len(words) - 10)
+        extra = [f"w{rng.randrange(10**9)}" for _ in range(min(20, block - 10))]
+        passage = words[:cut] + extra + words[cut:]
+        texts = [" ".join([f"p{rng.randrange(10**9)}" for _ in range(offset)] + passage + [f"q{rng.randrange(10**9)}" for _ in range(2 * block)]) for offset in range(block)]
+        found = {i: (share, first, length) for i, license, share, first, length in index.matches([t.encode() for t in texts]) if license == name}
+        assert sorted(found) == list(range(block)) and len({share for share, _, _ in found.values()}) == 1
+        assert all(first == i for i, (_, first, _) in found.items()) and len({length for _, _, length in found.values()}) == 1
+
+
+def test_the_shortest_stretch_is_reported():
+    assert licenses.shortest([0, 3, 9, 10, 11], [0, 1, 2, 0, 1], 3) == (9, 11)
+    assert licenses.shortest([4, 5, 8, 9], [0, 1, 0, 1], 2) == (4, 5) and licenses.shortest([7], [0], 1) == (7, 7)
+    notice = licenses.TEMPLATES["ISC"]
+    text = ("permission notice appear in all copies " + "x " * 9 + notice + " y" * 3 + " " + notice).encode()
+    ((_, _, share, first, _),) = [m for m in licenses.Index(licenses.TEMPLATES).matches([text]) if m[1] == "ISC"]
+    assert (share, first) == (1.0, 15)
+
+
 def test_licenses_on_messy_rows(spark):
     docs = messy(spark).unionByName(spark.createDataFrame([row(None, "Released under the MIT License."), row(30, "one two released UNDER the, mit licence / license")], DOCS))
     assert ids(licenses.scan(docs)) == [None]

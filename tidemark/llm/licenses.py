@@ -7,10 +7,13 @@ The minima of a window are those of its blocks; blocks of 2s shingles are pairs
 
 Guarantee. A window of 2s shingles that holds 0.8 of a template of over s/2 shingles has a Jaccard similarity of at least 0.19 with
 it. With ``BANDS`` = 64 bands of one row it meets the template in a band with a probability of at least 1 - 0.81 ** 64 = 0.999998.
-(Two rows to a band would need 300 bands for that; the check that follows makes long bands needless.)
+(Two rows to a band would need 300 bands for that; the check that follows makes long bands needless.) A passage that insertions
+stretch, up to 2s shingles, lies in three neighbouring blocks; one of their two windows holds half of it: similarity 0.087 at least
+(0.15 for a template of s shingles), met with a probability of 0.997 (0.99998).
 
-A retrieved template is verified exactly: the share of its distinct shingles in the window (all its words' hashes are compared)
-must reach ``CONTAINMENT``. A row of the result is a document and a template, with the best window, the earliest of equal ones.
+A retrieved template is verified exactly, in the window and a block on either side of it, which hold such a passage whole: the share
+of the template's distinct shingles found there (all words' hashes are compared) must reach ``CONTAINMENT``. A row of the result is a
+document and a template, with the best share and the shortest stretch that has it, the earliest of equal ones.
 
 Templates are a stated query set of bounded size: ``MAX_TEMPLATE_BYTES`` in all, else an error. Documents are never shuffled.
 
@@ -83,6 +86,21 @@ def _coefficients(bands: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 1 << 32, bands, np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, bands, np.uint32)
 
 
+def shortest(places: list[int], kinds: list[int], n: int) -> tuple[int, int]:
+    """First and last place of the shortest stretch in which all ``n`` kinds occur, the earliest of equal ones."""
+    count, missing, left, best = [0] * n, n, 0, (places[0], places[-1])
+    for right, kind in enumerate(kinds):
+        missing -= count[kind] == 0
+        count[kind] += 1
+        while not missing:
+            if places[right] - places[left] < best[1] - best[0]:
+                best = (places[left], places[right])
+            count[kinds[left]] -= 1
+            missing += count[kinds[left]] == 0
+            left += 1
+    return best
+
+
 class Index:
     """Templates by size, with the minima that each band is looked up by."""
 
@@ -90,13 +108,14 @@ class Index:
         if sum(len(t.encode()) for t in templates.values()) > MAX_TEMPLATE_BYTES:
             raise ValueError("the templates are larger than a query set may be")
         self.bands, self.a, self.b = bands, *_coefficients(bands)
-        self.names, self.shingles = [], []
+        self.names, self.shingles, self.blocks = [], [], []
         sizes = defaultdict(list)
         for name, text in templates.items():
             own = shingle_hashes(word_hashes(np.frombuffer(text.encode(), np.uint8))[0])
             if not len(own):
                 raise ValueError(f"{name} has fewer than {SHINGLE} words")
             sizes[(len(own) - 1).bit_length()].append(len(self.names))
+            self.blocks.append(1 << (len(own) - 1).bit_length())
             self.names.append(name)
             self.shingles.append(np.unique(own))
         self.levels = {}
@@ -161,13 +180,16 @@ class Index:
         first_word = np.searchsorted(owner, np.arange(len(texts)))
         best: dict[tuple, tuple] = {}
         for a, b, t in self.candidates(shingles, text):
-            own = shingles[a:b]
-            inside = np.isin(own, self.shingles[t])
-            share = len(np.unique(own[inside])) / len(self.shingles[t])
+            low, high = np.searchsorted(text, text[a], "left"), np.searchsorted(text, text[a], "right")
+            begin = max(int(low), a - self.blocks[t])
+            own = shingles[begin : min(int(high), b + self.blocks[t])]
+            held = np.flatnonzero(np.isin(own, self.shingles[t]))
+            kinds, kind = np.unique(own[held], return_inverse=True)
+            share = len(kinds) / len(self.shingles[t])
             if share >= containment:
-                held = np.flatnonzero(inside)
-                start = int(whole[a + held[0]] - first_word[text[a]])
-                length = int(held[-1] - held[0]) + SHINGLE
+                one, last = shortest(held.tolist(), kind.tolist(), len(kinds))
+                start = int(whole[begin + one] - first_word[text[a]])
+                length = last - one + SHINGLE
                 key = (int(text[a]), t)
                 if key not in best or (-share, start) < best[key][:2]:
                     best[key] = (-share, start, length)
