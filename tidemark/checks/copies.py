@@ -132,7 +132,7 @@ def document_members(spark, sf):
     )
 
 
-LIB_GROUPS = with_tables(["media", "quality"], """,
+LIB_COMPONENTS = with_tables(["media", "quality"], """,
 items AS MATERIALIZED (SELECT m.id, m.kind, sha256 AS sha, sig, CASE WHEN date_source IN ('exif','video_meta') THEN date_trunc('minute', taken_at) END AS minute,
     pinned_best AS pinned, coalesce(q.total, 0) AS total, width*height AS pixels
   FROM media m LEFT JOIN quality q ON q.media_id = m.id WHERE NOT missing),
@@ -145,10 +145,11 @@ raw AS (
 pairs AS MATERIALIZED (SELECT a, b, min(reason) AS reason FROM raw GROUP BY a, b),
 sym AS MATERIALIZED (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
 reach(id, root) AS (SELECT DISTINCT a, a FROM sym UNION SELECT s.b, r.root FROM reach r JOIN sym s ON s.a = r.id WHERE r.root < s.b),
-comp AS MATERIALIZED (SELECT id, min(root) AS g FROM reach GROUP BY id)
+comp AS MATERIALIZED (SELECT id, min(root) AS g FROM reach GROUP BY id)""")
+LIB_GROUPS = LIB_COMPONENTS + """
 SELECT c.g AS id, arg_max(c.id, (i.pinned, i.total, i.pixels, -c.id)) AS best_media_id, count(*) AS size,
   (SELECT CASE max(reason) WHEN 0 THEN 'exact' WHEN 1 THEN 'near' ELSE 'burst' END FROM pairs p JOIN comp x ON x.id = p.a WHERE x.g = c.g) AS kind
-FROM comp c JOIN items i ON i.id = c.id GROUP BY c.g""")
+FROM comp c JOIN items i ON i.id = c.id GROUP BY c.g"""
 
 
 @query(LIB_GROUPS)

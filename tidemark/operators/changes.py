@@ -161,3 +161,23 @@ def forget_folder(tables: dict[str, DataFrame], folder_id: int) -> tuple[dict[st
         if name in out:
             out[name] = out[name].join(gone, "media_id", "left_anti")
     return out, gone.agg(F.count(F.lit(1)).alias("media_forgotten"))
+
+
+# Columns that say when a row was written, not what it says.
+BOOKKEEPING = ("scanned_at", "analyzed_at", "created_at", "added_at", "last_scanned_at")
+
+
+def fingerprint(rows: DataFrame, ignore: tuple[str, ...] = BOOKKEEPING) -> DataFrame:
+    """One row with a digest of a table's rows, whatever their order and partitions; equal rows count each.
+
+    Two sums of 64-bit hashes and the number of rows, added up in each task before they meet. Columns count by name, nulls by place;
+    nulls inside arrays are not told apart from their absence where the length is the same.
+    """
+    names = sorted(c for c in rows.columns if c not in ignore)
+    values = [F.col(f"`{c}`") for c in names]
+    shape = F.concat_ws(",", *[v.isNull().cast("int").cast("string") for v in values]) if values else F.lit("")
+
+    def total(salt: int):
+        return F.coalesce(F.sum(F.xxhash64(F.lit(salt), shape, *values).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string")
+
+    return rows.agg(F.sha2(F.concat_ws("|", F.lit(",".join(names)), F.count(F.lit(1)).cast("string"), total(1), total(2)), 256).alias("fingerprint"))

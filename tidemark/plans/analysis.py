@@ -68,7 +68,7 @@ def run_analysis(lib: Library, classes: DataFrame | None = None) -> tuple[Librar
         return frame.select(column).scalar().alias(column)
 
     summary = events.select(
-        "events",
+        "*",
         one(dup, "groups"),
         one(dup, "hidden"),
         one(people, "assigned"),

@@ -62,10 +62,10 @@ def item_event(lib: Library) -> DataFrame:
     return lib["event_media"].select("media_id", "event_id").join(titles, "event_id")
 
 
-def item_detail(lib: Library, ids: list[int]) -> DataFrame:
-    """Everything about the given items: group, quality, faces, tags and event."""
+def item_detail(lib: Library, ids: list[int] | None = None) -> DataFrame:
+    """Everything about the given items, or all: group, quality, faces, tags and event."""
     def of(table: str, column: str = "media_id") -> DataFrame:
-        return lib[table].where(F.col(column).isin(ids))
+        return lib[table] if ids is None else lib[table].where(F.col(column).isin(ids))
 
     info = of("dup_members").join(lib["dup_groups"].select(F.col("id").alias("group_id"), F.col("size").alias("group_size")), "group_id")
     names = lib["persons"].select(F.col("id").alias("person_id"), F.col("name").alias("person_name"), F.col("hidden").alias("person_hidden"))
@@ -337,8 +337,12 @@ def story(lib: Library) -> dict[str, DataFrame]:
     years = both.withColumn("chapter_age", chapter_age(birth, F.col("chapter_start"), F.col("chapter_end"))).withColumn(
         "age", turns_label(owner_name, birth, F.col("year"))
     )
+    shown = placed.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    span = rollups.collection_span(lib["media"]).select(
+        "*", shown.alias("event_count"), owner_name.alias("owner_name"), birth.alias("owner_birth_date")
+    )
     return {
-        "span": rollups.collection_span(lib["media"]),
+        "span": span,
         "years": years.orderBy("chapter", "year"),
         "events": placed.orderBy("chapter", "start_at", "id"),
         "milestones": marks.orderBy("chapter", "year", "date"),

@@ -39,6 +39,8 @@ SCHEMAS = {
     "settings": "key string, value string",
     # highest id ever given out per table, so that ids of deleted rows are not used again
     "id_marks": "name string, top long",
+    # what each derivation read when it last ran
+    "derivations": "step string, fingerprint string",
 }
 
 
