@@ -41,7 +41,7 @@ def fresh(spark):
 
 def test_the_first_run_derives_everything(fresh):
     lib, report = fresh
-    assert ran(report) == ["duplicates", "people", "tags", "events"]
+    assert ran(report) == ["duplicates", "people", "events"]
     assert sorted(members(lib).values()) == sorted(outings()[1])
     assert lib["persons"].count() == 2 and lib["faces"].where("person_id is null").isEmpty()
 

@@ -41,9 +41,7 @@ def _people(lib: Library, classes: DataFrame | None) -> Library:
     return lib.marked("persons", lib.top_id("persons"))
 
 
-def _tags(lib: Library, classes: DataFrame | None) -> Library:
-    if classes is None:
-        return lib
+def _tags(lib: Library, classes: DataFrame) -> Library:
     lib = retag(lib, classes)
     return lib.having(media_tags=cut(lib["media_tags"]))
 
@@ -73,9 +71,6 @@ class _Fingerprints:
         parts = [f"{name}={getattr(lib.settings, name)!r}" for name in step.settings]
         for name in step.reads:
             rows = self.classes if name == "classes" else lib[name]
-            if rows is None:
-                parts.append(f"{name}:")
-                continue
             if name not in self.known or self.known[name][0] is not rows:
                 self.known[name] = (rows, changes.fingerprint(rows).first()["fingerprint"])
             parts.append(f"{name}:{self.known[name][1]}")
@@ -91,6 +86,9 @@ def refresh(lib: Library, classes: DataFrame | None = None, steps: tuple[Step, .
     prints, report, covered = _Fingerprints(classes), [], set()
     after = dict(before)
     for step in steps:
+        if "classes" in step.reads and classes is None:
+            report.append((step.name, False))
+            continue
         wanted = step.name not in covered and prints.of(lib, step) != before.get(step.name)
         if wanted:
             lib = step.run(lib, classes)
