@@ -588,43 +588,62 @@ def test_mixed_rows_are_whole_takes(spark):
 # --- training order -----------------------------------------------------------------------------------------------
 
 
-def test_training_order_round_trip(spark, tmp_path):
+def stream_of(docs, settings):
+    """All ids in the order of id and text hash, and (doc_id, ids) of each text."""
+    encode = materialise.encoder(settings.vocabulary)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["h"]))
+    texts = [(r["doc_id"], [*encode.encode_ordinary(r["text"] or ""), settings.end]) for r in rows]
+    return [x for _, ids in texts for x in ids], texts
+
+
+@pytest.mark.parametrize("piece", [materialise.PIECE, 100])
+def test_training_order_round_trip(spark, tmp_path, monkeypatch, piece):
+    """Sequences are the stream of all texts cut every 64 ids; only the last one is padded."""
+    monkeypatch.setattr(materialise, "PIECE", piece)
     docs = messy(spark).repartition(3)
-    settings = materialise.Settings(length=64, per_shard=50)
-    rows = materialise.ordered(docs, settings)
-    got = rows.collect()
-    n = len(got)
+    settings = materialise.Settings(length=64, per_shard=50, pad=7)
+    got = materialise.ordered(docs, settings).collect()
+    stream, texts = stream_of(docs, settings)
+    n = -(-len(stream) // 64)
     assert sorted(r["slot"] for r in got) == list(range(n)) and all(len(r["payload"]) == settings.stride for r in got)
     assert all(r["offset"] == r["slot"] % 50 * 128 and r["shard"] == r["slot"] // 50 for r in got)
-    encode = materialise.encoder(settings.vocabulary)
-    texts = collections.Counter(r["text"] or "" for r in docs.collect())
-    back = collections.defaultdict(list)
-    for r in got:
-        back[r["doc_id"]].append((r["part"], np.frombuffer(r["payload"], "<u2")[: r["n"]]))
-    joined = {i: np.concatenate([x for _, x in sorted(p, key=lambda x: x[0])]) for i, p in back.items() if i in (1, 4, 5, 8, 9, 11)}
-    for r in docs.collect():
-        if r["doc_id"] in joined:
-            own = joined[r["doc_id"]]
-            assert own[-1] == settings.end and encode.decode(own[:-1].tolist()) == (r["text"] or "")
-    assert sum(r["n"] for r in got) == sum(c * (len(encode.encode_ordinary(t)) + 1) for t, c in texts.items())
+    by = sorted(got, key=lambda r: r["sequence"])
+    assert [r["slot"] for r in by] == materialise.permuted(np.arange(n), n, settings.key).tolist()
+    assert np.frombuffer(b"".join(r["payload"] for r in by), "<u2").tolist() == stream + [7] * (n * 64 - len(stream))
+    # which text each id belongs to
+    owners = [i for r in by for i, k in zip(r["doc_ids"], r["lengths"], strict=True) for _ in range(k)]
+    assert owners == [i for i, ids in texts for _ in ids]
+    assert all(sum(r["lengths"]) == r["n"] and len(r["doc_ids"]) == len(r["lengths"]) for r in by)
     folder = str(tmp_path / "shards")
-    written = {r["shard"]: r["sequences"] for r in materialise.write_shards(rows, folder, -(-n // 50)).collect()}
-    assert sum(written.values()) == n
+    rows, number = materialise.pieces(docs, settings)
+    assert number == n
+    places = materialise.write_shards(rows, folder, n, settings).collect()
+    assert sorted(tuple(r) for r in places) == sorted(tuple(r)[:-1] for r in got)
     one = (tmp_path / "shards" / "shard-000000.bin").stat().st_mtime_ns
-    materialise.write_shards(rows, folder, -(-n // 50)).collect()  # taken up again: nothing is written twice
+    materialise.write_shards(rows, folder, n, settings).collect()  # taken up again: nothing is written twice
     assert (tmp_path / "shards" / "shard-000000.bin").stat().st_mtime_ns == one
     for r in got[:: max(1, n // 20)]:
         assert materialise.read_slot(folder, r["slot"], settings).tobytes() == bytes(r["payload"])
     assert materialise.ordered(empty(spark)).count() == 0
 
 
+def test_missing_pieces_are_an_error(spark, tmp_path):
+    settings = materialise.Settings(length=64, per_shard=50)
+    rows, n = materialise.pieces(messy(spark), settings)
+    rows = rows.cache()
+    for k, lost in enumerate(("slot = 3", f"sequence = {n // 2} and first = 0", f"slot = {n - 1}")):
+        with pytest.raises(Exception, match="slot"):
+            materialise.write_shards(rows.where(f"not ({lost})"), str(tmp_path / str(k)), n, settings).collect()
+
+
 def test_resume_with_another_split(spark, tmp_path):
     """The order is that of the data, and shards of another order are not kept."""
     settings = materialise.Settings(length=64, per_shard=50)
     docs, folder = messy(spark), tmp_path / "shards"
 
     def plain(df):
-        return sorted(tuple(r) for r in df.select("slot", "shard", "offset", "doc_id", "part", "n", "payload").collect())
+        return sorted(tuple(r) for r in df.select("slot", "shard", "offset", "sequence", "doc_ids", "lengths", "n", "payload").collect())
 
     one = plain(materialise.materialised(docs.repartition(3), settings, str(folder)))
     assert one == plain(materialise.ordered(docs.repartition(5, "text"), settings))
@@ -641,24 +660,27 @@ def test_resume_with_another_split(spark, tmp_path):
     assert materialise.materialised(empty(spark)).count() == 0
 
 
-def test_feistel_is_a_permutation(spark):
+def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 5, 17, 1000):
-        slots = [r["slot"] for r in materialise.permuted(spark.range(n).withColumnRenamed("id", "i"), "i", n, 4).collect()]
+        slots = materialise.permuted(np.arange(n), n, 4).tolist()
         assert sorted(slots) == list(range(n))
-    assert slots != list(range(1000))
+    assert slots != list(range(1000)) and slots != materialise.permuted(np.arange(1000), 1000, 5).tolist()
+    assert materialise.permuted(np.array([], np.int64), 0, 4).tolist() == []
 
 
-def test_feistel_against_plain_rounds(spark):
+def test_feistel_against_plain_rounds():
     """Slots are those of the network in plain Python, which walks the cycle until it is below n."""
-    n, key, half = 700, 4, 5
-    rights = range(1 << half)
-    rows = spark.createDataFrame([(r, x) for r in range(1, materialise.ROUNDS + 1) for x in rights], "r int, x long")
-    mixes = {(r["r"], r["x"]): r["h"] & 31 for r in rows.withColumn("h", F.xxhash64(F.lit(key), "r", "x")).collect()}
+    n, key, half, word = 700, -4, 5, (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & word
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & word
+        return x ^ x >> 31
 
     def network(x):
         left, right = x >> half, x & 31
         for r in range(1, materialise.ROUNDS + 1):
-            left, right = right, left ^ mixes[r, right]
+            left, right = right, left ^ mix(right ^ mix(key & word ^ r << 48)) & 31
         return left << half | right
 
     def slot(i):
@@ -667,8 +689,7 @@ def test_feistel_against_plain_rounds(spark):
             at = network(at)
         return at
 
-    got = materialise.permuted(spark.range(n).withColumnRenamed("id", "i"), "i", n, key).collect()
-    assert all(r["slot"] == slot(r["i"]) for r in got) and len(got) == n
+    assert materialise.permuted(np.arange(n), n, key).tolist() == [slot(i) for i in range(n)]
 
 
 def test_long_texts_are_tokenised_in_parts():

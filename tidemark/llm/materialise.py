@@ -1,21 +1,24 @@
 """Training-order materialisation: token ids in fixed-stride shards, in the order of a keyed Feistel permutation.
 
-1. Texts are tokenised with a public vocabulary (``vocabulary``: a rank file, its path is a parameter) and end with ``end``.
-   Every ``length`` ids are a sequence, which has ids of one text only. Sequences are written once to the shared folder. A sequence's
-   index is its place in the order of id, text hash and part; rows equal in all of them have equal sequences.
-2. A Feistel network over the next even number of bits permutes the index, keyed by ``key``; it walks the cycle until the result
-   is below the number of sequences. Each sequence so has one global slot and each slot one sequence, whatever their number.
-3. The slots go to one small file per stored partition, which the task that reads the partition looks them up in; then one shuffle by
-   ranges of whole shards brings the sequences to their shards, sorted: payloads are stored once and shuffled once. Sequences are padded with ``pad`` to the same stride, so
-   slot s is at byte (s mod ``per_shard``) * stride of shard s div ``per_shard``: reads are sequential and can start anywhere.
+1. Texts are tokenised with a public vocabulary (``vocabulary``: a rank file, its path is a parameter) and end with ``end``. The ids
+   are written once to the shared folder, a long text in pieces of ``PIECE`` ids.
+2. In the order of id and text hash the texts are one stream of ids, which is cut into sequences of ``length`` ids: only the last
+   sequence can be shorter. A text's place in the stream is a running total over one narrow row per text. Rows equal in id and hash
+   have equal ids, so the stream does not depend on which of them comes first.
+3. A Feistel network over the next even number of bits permutes the index of a sequence, keyed by ``key``; it walks the cycle until
+   the result is below the number of sequences. Each sequence so has one global slot and each slot one sequence, whatever their number.
+4. The places of the texts go to one small file per stored partition, which the task that reads the partition looks them up in and
+   cuts its texts at the ends of sequences. One shuffle by ranges of whole shards brings the pieces to their shards, sorted; the task
+   that writes a shard puts them together. Ids are stored once and shuffled once. The last sequence is padded with ``pad``, so slot s
+   is at byte (s mod ``per_shard``) * stride of shard s div ``per_shard``: reads are sequential and can start anywhere.
 
 The order depends on key and rows only, not on files, partitions or timing. ``write_shards`` writes a file per shard under another
 name and moves it, so a shard is whole or absent. A shard that is there stays only if its bytes have the digest of the shard to be
 written, else it is replaced: a broken run is taken up again, and orders are never mixed. ``materialised`` writes all shards and gives
 the rows with the payloads as read back from them; it is an error if the folder then holds shards beyond the last one.
 
-Defined cases. Null and empty texts are the end id alone. Repeated rows are sequences of their own, ids may be null. An empty table
-gives no sequence. A text of any length is cut into as many sequences as it needs. Only ``doc_id`` and ``text`` are read.
+Defined cases. Null and empty texts are the end id alone. Repeated rows are texts of their own, ids may be null. An empty table
+gives no sequence. A text of any length fills as many sequences as it needs. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -24,16 +27,17 @@ import base64
 import hashlib
 import posixpath
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import filesystem, put_file, shared_folder, stored
-from tidemark.operators.ordering import dense_index
+from tidemark.operators.ordering import dense_index, running
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: how the public vocabulary cuts texts before merging
@@ -41,7 +45,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 ROUNDS = 6
 # Longest part of a text that is tokenised at once; cuts fall before a blank.
 PART = 1 << 16
+# Most ids of a text in one stored row.
+PIECE = 1 << 16
 SHARDS_PER_TASK = 16
+PLACES = "slot bigint, shard bigint, offset bigint, sequence bigint, doc_ids array<bigint>, lengths array<int>, n int"
 
 
 @dataclass(frozen=True)
@@ -81,9 +88,12 @@ def parts_of(text: str, size: int = PART) -> list[str]:
     return [*out, text[start:]]
 
 
-def sequences(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(partition, number, doc_id, hash, part, n, ids) of every sequence; ids are little-endian 16-bit numbers."""
-    schema = pa.schema([("partition", pa.int64()), ("number", pa.int64()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("part", pa.int32()), ("n", pa.int32()), ("ids", pa.binary())])
+def tokens(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(partition, number, doc_id, hash, at, total, ids) of every text's pieces; ids are little-endian 16-bit numbers.
+
+    ``number`` counts the texts of a partition, ``at`` the ids of the text before the piece, ``total`` all of the text's.
+    """
+    schema = pa.schema([("partition", pa.int64()), ("number", pa.int64()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("at", pa.int64()), ("total", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
         vocabulary = encoder(settings.vocabulary)
@@ -102,11 +112,11 @@ def sequences(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             for doc_id, text, digest in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 parts = parts_of(text.as_py() or "")
                 ids = np.concatenate([*(encode(p, disallowed_special=()) for p in parts), [settings.end]]).astype("<u2")
-                for k in range(0, len(ids), settings.length):
-                    own = ids[k : k + settings.length]
-                    rows.append((partition, number, doc_id, digest, k // settings.length, len(own), own.tobytes()))
-                    number += 1
+                for k in range(0, len(ids), PIECE):
+                    own = ids[k : k + PIECE]
+                    rows.append((partition, number, doc_id, digest, k, len(ids), own.tobytes()))
                     held += own.nbytes
+                number += 1
                 if held > 1 << 22:
                     yield out()
                     rows, held = [], 0
@@ -114,46 +124,50 @@ def sequences(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("bigint"), text, F.xxhash64(text).alias("hash")).mapInArrow(
-        run, "partition bigint, number bigint, doc_id bigint, hash bigint, part int, n int, ids binary"
+        run, "partition bigint, number bigint, doc_id bigint, hash bigint, at bigint, total bigint, ids binary"
     )
 
 
-def _feistel(x: Column, half: int, key: int) -> Column:
-    mask = F.lit((1 << half) - 1)
-
-    def step(state, r):
-        left, right = F.shiftright(state, half), state.bitwiseAND(mask)
-        return F.shiftleft(right, half).bitwiseOR(left.bitwiseXOR(F.xxhash64(F.lit(key), r, right).bitwiseAND(mask)))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x.cast("bigint"), step)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit mix of every number (the finaliser of SplitMix64; its two factors and three shifts are fixed values)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def permuted(df: DataFrame, index: str, n: int, key: int, name: str = "slot") -> DataFrame:
-    """Add the place of ``index`` in the keyed permutation of 0..n-1.
+def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
+    """The place of each index in the keyed permutation of 0..n-1.
 
-    The network's domain has fewer than 4n values. A row walks its cycle until it is below n; after 16 steps in an expression the
-    few rows still outside (about 0.75 ** 16 of them at most) are settled by a loop over smaller and smaller tables.
+    The network's domain has fewer than 4n values, so a walk takes four steps on average; it ends, as the cycle comes back to the
+    index itself.
     """
     half = max(1, -(-max(1, (n - 1).bit_length()) // 2))
-    walk = lambda x: F.aggregate(
-        F.sequence(F.lit(1), F.lit(16)), _feistel(x, half, key), lambda at, _: F.when(at < n, at).otherwise(_feistel(at, half, key))
-    )
-    # the loop is over whole walks: a value at most 4n - 1 below the number of steps that any cycle can take
-    out = df.withColumn(name, walk(F.col(index)))
-    while not out.where(F.col(name) >= n).isEmpty():
-        out = stored(out.withColumn(name, F.when(F.col(name) < n, F.col(name)).otherwise(walk(F.col(name)))), "walk")
-    return out
+    mask, width = np.uint64((1 << half) - 1), np.uint64(half)
+    keys = _mixed(np.uint64(key % (1 << 64)) ^ np.arange(1, ROUNDS + 1, dtype=np.uint64) << np.uint64(48))
+
+    def network(x):
+        left, right = x >> width, x & mask
+        for k in keys:
+            left, right = right, left ^ (_mixed(right ^ k) & mask)
+        return left << width | right
+
+    out = network(np.asarray(index).astype(np.uint64))
+    outside = np.flatnonzero(out >= n)
+    while len(outside):
+        out[outside] = network(out[outside])
+        outside = outside[out[outside] >= n]
+    return out.astype(np.int64)
 
 
-def _write_slots(placed: DataFrame, folder: str) -> None:
-    """One file per partition of the stored sequences: the slot of each of its numbers, eight bytes each."""
+def _write_starts(placed: DataFrame, folder: str) -> None:
+    """One file per partition of the stored ids: where in the stream each of its texts starts, eight bytes each."""
 
     def run(batches):
-        open_part, slots = None, []
+        open_part, starts = None, []
 
         def close():
-            data = np.concatenate(slots).astype("<i8").tobytes()
-            put_file(posixpath.join(folder, f"slots-{open_part:08d}"), lambda out: out.write(data))
+            data = np.concatenate(starts).astype("<i8").tobytes()
+            put_file(posixpath.join(folder, f"starts-{open_part:08d}"), lambda out: out.write(data))
             return pa.RecordBatch.from_arrays([pa.array([open_part], pa.int64())], ["partition"])
 
         for batch in batches:
@@ -163,67 +177,136 @@ def _write_slots(placed: DataFrame, folder: str) -> None:
                 if parts[at] != open_part:
                     if open_part is not None:
                         yield close()
-                    open_part, slots = int(parts[at]), []
-                slots.append(found[at:end])
+                    open_part, starts = int(parts[at]), []
+                starts.append(found[at:end])
         if open_part is not None:
             yield close()
 
-    dealt = placed.repartition("partition").sortWithinPartitions("partition", "number").select("partition", "slot")
+    dealt = placed.repartition("partition").sortWithinPartitions("partition", "number").select("partition", "start")
     dealt.mapInArrow(run, "partition bigint").count()
 
 
-def _with_slots(rows: DataFrame, folder: str) -> DataFrame:
-    """``rows`` (partition, number first) of stored sequences with their ``slot`` in place of both.
+def _cut(kept: DataFrame, folder: str, n: int, settings: Settings) -> DataFrame:
+    """(slot, sequence, first, begins, doc_id, ids): the stored texts cut at the ends of sequences.
 
-    A task reads the slots of its own partition only, so the ids are not shuffled to find their place.
+    ``first`` is the place in the sequence, ``begins`` is true for the start of a text. A task reads the starts of its own
+    partitions only, so the ids are not shuffled to find their place.
     """
+    schema = pa.schema([("slot", pa.int64()), ("sequence", pa.int64()), ("first", pa.int32()), ("begins", pa.bool_()), ("doc_id", pa.int64()), ("ids", pa.binary())])
+    size = settings.length
 
     def run(batches):
-        held, slots = None, None
+        held, starts = None, None
         for batch in batches:
-            parts, numbers = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            found = np.empty(len(parts), np.int64)
-            for part in np.unique(parts):
+            sequences, firsts, begins, ids_of, own = [], [], [], [], []
+            for part, number, doc_id, at, ids in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
                 if part != held:
-                    store, path = filesystem(posixpath.join(folder, f"slots-{part:08d}"))
+                    store, path = filesystem(posixpath.join(folder, f"starts-{part:08d}"))
                     with store.open_input_file(path) as file:
-                        held, slots = part, np.frombuffer(file.read(), "<i8")
-                own = parts == part
-                found[own] = slots[numbers[own]]
-            yield pa.RecordBatch.from_arrays([pa.array(found), *batch.columns[2:]], ["slot", *batch.schema.names[2:]])
+                        held, starts = part, np.frombuffer(file.read(), "<i8")
+                place = int(starts[number]) + at
+                low, begin = 0, at == 0
+                while low < len(ids):
+                    sequence, first = divmod(place, size)
+                    high = min(len(ids), low + 2 * (size - first))
+                    sequences.append(sequence)
+                    firsts.append(first)
+                    begins.append(begin)
+                    ids_of.append(doc_id)
+                    own.append(ids[low:high])
+                    place, low, begin = place + (high - low) // 2, high, False
+            slots = permuted(np.array(sequences, np.int64), n, settings.key)
+            columns = [slots, sequences, firsts, begins, ids_of, own]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return kept.select("partition", "number", "doc_id", "at", "ids").mapInArrow(
+        run, "slot bigint, sequence bigint, first int, begins boolean, doc_id bigint, ids binary"
+    )
 
-    kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join(["slot bigint", *(f"{c} {kinds[c]}" for c in rows.columns[2:])]))
 
+def pieces(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, int]:
+    """(the pieces of all sequences with their slots, number of sequences); see ``_cut`` for the columns."""
+    kept = stored(tokens(docs, settings), "tokens")
+    narrow = kept.where("at = 0").select("partition", "number", "doc_id", "hash", "total")
+    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("hash"), F.col("partition"), F.col("number")]
+    placed = running(dense_index(narrow, order, "_index"), F.col("total"), "start", inclusive=False, index="_index")
+    folder = shared_folder(docs.sparkSession, "starts")
+    _write_starts(placed.select("partition", "number", "start"), folder)
+    n = -(-(narrow.agg(F.sum("total")).first()[0] or 0) // settings.length)
+    return _cut(kept, folder, n, settings), n
 
-def _placed(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame, int]:
-    """(places, places with payload, number of sequences), in no order; see ``ordered`` for the columns."""
-    kept = stored(sequences(docs, settings), "sequences")
-    narrow = kept.select("partition", "number", "doc_id", "hash", "part")
-    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("hash"), F.col("part"), F.col("partition"), F.col("number")]
-    n, folder = kept.count(), shared_folder(docs.sparkSession, "slots")
-    _write_slots(permuted(dense_index(narrow, order, "_index"), "_index", n, settings.key).select("partition", "number", "slot"), folder)
 
-    def places(*more: str) -> DataFrame:
-        return _with_slots(kept.select("partition", "number", "doc_id", "part", "n", *more), folder).select(
-            "slot",
-            F.floor(F.col("slot") / settings.per_shard).alias("shard"),
-            (F.col("slot") % settings.per_shard * settings.stride).alias("offset"),
-            "doc_id", "part", "n", *more,
-        )
+def _whole(batches, settings: Settings) -> Iterator[tuple]:
+    """(slot, sequence, documents, lengths, n, payload) from batches of pieces sorted by slot and place."""
+    at, sequence, docs, lengths, parts, size = None, None, [], [], [], 0
 
-    pad = F.lit(int(settings.pad).to_bytes(2, "little"))
-    return places(), places("ids").withColumn("payload", F.rpad("ids", F.lit(settings.stride), pad)).drop("ids"), n
+    def padded():
+        payload = b"".join(parts)
+        pad = int(settings.pad).to_bytes(2, "little") * (settings.length - size)
+        return at, sequence, docs, lengths, size, payload + pad
 
+    for batch in batches:
+        for slot, number, first, begins, doc_id, ids in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+            if slot != at:
+                if at is not None:
+                    yield padded()
+                at, sequence, docs, lengths, parts, size = slot, number, [], [], [], 0
+            if first != size:
+                raise ValueError(f"slot {slot} has {size} ids before a piece at {first}")
+            if begins or not docs:
+                docs.append(doc_id)
+                lengths.append(0)
+            lengths[-1] += len(ids) // 2
+            size += len(ids) // 2
+            parts.append(ids)
+    if at is not None:
+        yield padded()
+
+
+def _place(whole: tuple, settings: Settings) -> tuple:
+    slot, sequence, docs, lengths, n, _ = whole
+    return slot, slot // settings.per_shard, slot % settings.per_shard * settings.stride, sequence, docs, lengths, n
+
+
+_ARROW = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32()]
+_NAMES = [x.split()[0] for x in PLACES.split(", ")]
 
-def _by_slot(rows: DataFrame, settings: Settings) -> DataFrame:
-    parts = [settings.partitions] if settings.partitions else []
-    return rows.repartitionByRange(*parts, "slot").sortWithinPartitions("slot")
+
+def _batch(rows: list[tuple], payloads: list[bytes] | None = None) -> pa.RecordBatch:
+    columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _ARROW, strict=True)]
+    more = [] if payloads is None else [pa.array(payloads, pa.binary())]
+    return pa.RecordBatch.from_arrays([*columns, *more], _NAMES + ["payload"] * len(more))
 
 
 def ordered(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(slot, shard, offset, doc_id, part, n, payload) of every sequence, in slot order within range partitions."""
-    return _by_slot(_placed(docs, settings)[1], settings)
+    """(slot, shard, offset, sequence, doc_ids, lengths, n, payload) of every sequence, in slot order within range partitions.
+
+    ``doc_ids`` are the documents in a sequence, in order, ``lengths`` how many of its ``n`` ids each has.
+    """
+    rows, _ = pieces(docs, settings)
+
+    def run(batches):
+        held, payloads = [], []
+        for whole in _whole(batches, settings):
+            held.append(_place(whole, settings))
+            payloads.append(whole[-1])
+            if len(held) == 1024:
+                yield _batch(held, payloads)
+                held, payloads = [], []
+        if held:
+            yield _batch(held, payloads)
+
+    parts = [settings.partitions] if settings.partitions else []
+    return rows.repartitionByRange(*parts, "slot").sortWithinPartitions("slot", "first").mapInArrow(run, f"{PLACES}, payload binary")
+
+
+def _dealt(rows: DataFrame, n: int, settings: Settings) -> DataFrame:
+    """``rows`` in ranges of whole shards, one to a partition. The number of shards is known: no sample is taken."""
+    shards = -(-n // settings.per_shard)
+    least = settings.partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, min(shards, max(least, -(-shards // SHARDS_PER_TASK))))
+    shard = F.floor(F.col("slot") / settings.per_shard)
+    return rows.repartitionById(ranges, F.floor(shard * ranges / max(1, shards)).cast("int"))
 
 
 def _digest(store, path: str) -> bytes:
@@ -234,52 +317,58 @@ def _digest(store, path: str) -> bytes:
     return digest.digest()
 
 
-def write_shards(rows: DataFrame, folder: str, shards: int) -> DataFrame:
-    """Write ``shard-000000.bin`` and so on; (shard, sequences) of every shard. Shards that are there with the same bytes stay.
+def write_shards(rows: DataFrame, folder: str, n: int, settings: Settings = Settings()) -> DataFrame:
+    """Write the ``n`` sequences of ``pieces`` as ``shard-000000.bin`` and so on; their places, as in ``ordered``.
 
-    The shards, whose number is known, are cut into ranges of whole shards, one to a partition: neither a sample nor a second shuffle.
+    Shards that are there with the same bytes stay.
     """
-    spark = rows.sparkSession
-    ranges = max(1, min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // SHARDS_PER_TASK))))
 
     def run(batches):
-        open_shard, out, part, count, digest = None, None, None, 0, None
+        open_shard, out, part, digest, expected = None, None, None, None, None
+        held = []
 
         def begin(shard):
-            nonlocal open_shard, out, part, count, digest
+            nonlocal open_shard, out, part, digest, expected
             store, path = filesystem(posixpath.join(folder, f"shard-{shard:06d}.bin"))
             store.create_dir(posixpath.dirname(path), recursive=True)
             part = f"{path}.{uuid.uuid4().hex}.part"
-            open_shard, out, count, digest = shard, store.open_output_stream(part), 0, hashlib.sha256()
+            open_shard, out, digest, expected = shard, store.open_output_stream(part), hashlib.sha256(), shard * settings.per_shard
 
         def close():
             out.close()
+            if expected != min(n, (open_shard + 1) * settings.per_shard):
+                raise ValueError(f"shard {open_shard} lacks sequences from slot {expected} on")
             store, path = filesystem(posixpath.join(folder, f"shard-{open_shard:06d}.bin"))
             if store.get_file_info(path).is_file and _digest(store, path) == digest.digest():
                 store.delete_file(part)
             else:
                 store.move(part, path)
-            return pa.RecordBatch.from_arrays([pa.array([open_shard], pa.int64()), pa.array([count], pa.int64())], ["shard", "sequences"])
 
-        for batch in batches:
-            for shard, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if shard != open_shard:
-                    if open_shard is not None:
-                        yield close()
-                    begin(shard)
-                out.write(payload)
-                digest.update(payload)
-                count += 1
+        for whole in _whole(batches, settings):
+            place = _place(whole, settings)
+            if place[1] != open_shard:
+                if open_shard is not None:
+                    close()
+                begin(place[1])
+            if place[0] != expected:
+                raise ValueError(f"slot {expected} is missing")
+            out.write(whole[-1])
+            digest.update(whole[-1])
+            expected += 1
+            held.append(place)
+            if len(held) == 4096:
+                yield _batch(held)
+                held = []
         if open_shard is not None:
-            yield close()
+            close()
+        if held:
+            yield _batch(held)
 
-    own = F.floor(F.col("shard") * ranges / max(1, shards)).cast("int")
-    dealt = rows.select("shard", "slot", "payload").repartitionById(ranges, own).sortWithinPartitions("slot")
-    return dealt.select("shard", "payload").mapInArrow(run, "shard bigint, sequences bigint")
+    return _dealt(rows, n, settings).sortWithinPartitions("slot", "first").mapInArrow(run, PLACES)
 
 
 def read_shards(places: DataFrame, folder: str, settings: Settings = Settings()) -> DataFrame:
-    """``places`` (slot, shard, offset, doc_id, part, n) with the payload that the shards hold for each slot."""
+    """``places`` (as of ``write_shards``) with the payload that the shards hold for each slot."""
 
     def run(batches):
         name, shard = None, None
@@ -302,8 +391,7 @@ def read_shards(places: DataFrame, folder: str, settings: Settings = Settings())
         if shard is not None:
             shard.close()
 
-    schema = "slot bigint, shard bigint, offset bigint, doc_id bigint, part int, n int, payload binary"
-    return places.mapInArrow(run, schema)
+    return places.mapInArrow(run, f"{PLACES}, payload binary")
 
 
 def materialised(docs: DataFrame, settings: Settings = Settings(), folder: str | None = None) -> DataFrame:
@@ -311,15 +399,14 @@ def materialised(docs: DataFrame, settings: Settings = Settings(), folder: str |
     from pyarrow import fs
 
     folder = folder or shared_folder(docs.sparkSession, "shards")
-    places, rows, n = _placed(docs, settings)
-    # one row for all shards
-    last = write_shards(rows, folder, -(-n // settings.per_shard)).agg(F.max("shard")).first()[0]
+    rows, n = pieces(docs, settings)
+    places = stored(write_shards(rows, folder, n, settings), "places")
     store, path = filesystem(folder)
     there = store.get_file_info(fs.FileSelector(path, allow_not_found=True))
     named = [x.base_name for x in there if x.base_name.startswith("shard-") and x.base_name.endswith(".bin")]
-    if len(named) != (0 if last is None else last + 1):
+    if len(named) != -(-n // settings.per_shard):
         raise ValueError(f"{folder} holds shards of another order beyond the last one")
-    return read_shards(_by_slot(places, settings), folder, settings)
+    return read_shards(_dealt(places, n, settings).sortWithinPartitions("slot"), folder, settings)
 
 
 def read_slot(folder: str, slot: int, settings: Settings = Settings()) -> np.ndarray:
