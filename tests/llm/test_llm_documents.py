@@ -1,4 +1,5 @@
 import collections
+import dataclasses
 import hashlib
 import inspect
 import random
@@ -601,7 +602,9 @@ def stream_of(docs, settings):
 def test_training_order_round_trip(spark, tmp_path, monkeypatch, piece):
     """Sequences are the stream of all texts cut every 64 ids; only the last one is padded."""
     monkeypatch.setattr(materialise, "PIECE", piece)
-    docs = messy(spark).repartition(3)
+    rng = random.Random(5)
+    more = spark.createDataFrame([row(100 + i, prose(rng, 60)) for i in range(300)], DOCS)
+    docs = messy(spark).unionByName(more).repartition(3)
     settings = materialise.Settings(length=64, per_shard=50, pad=7)
     got = materialise.ordered(docs, settings).collect()
     stream, texts = stream_of(docs, settings)
@@ -616,12 +619,12 @@ def test_training_order_round_trip(spark, tmp_path, monkeypatch, piece):
     assert owners == [i for i, ids in texts for _ in ids]
     assert all(sum(r["lengths"]) == r["n"] and len(r["doc_ids"]) == len(r["lengths"]) for r in by)
     folder = str(tmp_path / "shards")
-    rows, number = materialise.pieces(docs, settings)
-    assert number == n
-    places = materialise.write_shards(rows, folder, n, settings).collect()
+    every = materialise.pieces(docs, settings)
+    assert every.n == n and every.dictionary
+    places = materialise.write_shards(every, folder, settings).collect()
     assert sorted(tuple(r) for r in places) == sorted(tuple(r)[:-1] for r in got)
     one = (tmp_path / "shards" / "shard-000000.bin").stat().st_mtime_ns
-    materialise.write_shards(rows, folder, n, settings).collect()  # taken up again: nothing is written twice
+    materialise.write_shards(every, folder, settings).collect()  # taken up again: nothing is written twice
     assert (tmp_path / "shards" / "shard-000000.bin").stat().st_mtime_ns == one
     for r in got[:: max(1, n // 20)]:
         assert materialise.read_slot(folder, r["slot"], settings).tobytes() == bytes(r["payload"])
@@ -630,11 +633,18 @@ def test_training_order_round_trip(spark, tmp_path, monkeypatch, piece):
 
 def test_missing_pieces_are_an_error(spark, tmp_path):
     settings = materialise.Settings(length=64, per_shard=50)
-    rows, n = materialise.pieces(messy(spark), settings)
-    rows = rows.cache()
-    for k, lost in enumerate(("slot = 3", f"sequence = {n // 2} and first = 0", f"slot = {n - 1}")):
+    every = materialise.pieces(messy(spark), settings)
+    for k, lost in enumerate(("slot = 3", f"sequence = {every.n // 2} and first = 0", f"slot = {every.n - 1}")):
         with pytest.raises(Exception, match="slot"):
-            materialise.write_shards(rows.where(f"not ({lost})"), str(tmp_path / str(k)), n, settings).collect()
+            materialise.write_shards(dataclasses.replace(every, rows=every.rows.where(f"not ({lost})")), str(tmp_path / str(k)), settings).collect()
+
+
+def test_texts_that_teach_nothing(spark):
+    """Without a dictionary (no texts, or too few ids to learn from) the rows are the same kind of rows."""
+    docs = spark.createDataFrame([row(1, "one"), row(2, None), row(3, "one")], DOCS)
+    every = materialise.pieces(docs)
+    got = materialise.materialised(docs).collect()
+    assert every.dictionary == b"" and every.n == len(got) == 1 and got[0]["doc_ids"] == [1, 2, 3] and sum(got[0]["lengths"]) == got[0]["n"]
 
 
 def test_resume_with_another_split(spark, tmp_path):

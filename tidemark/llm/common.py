@@ -54,10 +54,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return posixpath.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "zstd", level: int = 3) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage, and survives lost executors."""
     path = shared_folder(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -9,7 +9,8 @@
    the result is below the number of sequences. Each sequence so has one global slot and each slot one sequence, whatever their number.
 4. The places of the texts go to one small file per stored partition, which the task that reads the partition looks them up in and
    cuts its texts at the ends of sequences. One shuffle by ranges of whole shards brings the pieces to their shards, sorted; the task
-   that writes a shard puts them together. Ids are stored once and shuffled once. The last sequence is padded with ``pad``, so slot s
+   that writes a shard puts them together. Ids are stored once and shuffled once, each piece packed with a dictionary that is trained
+   on the starts of about ``SAMPLE`` texts (a bounded sample that decides sizes, never results). The last sequence is padded with ``pad``, so slot s
    is at byte (s mod ``per_shard``) * stride of shard s div ``per_shard``: reads are sequential and can start anywhere.
 
 The order depends on key and rows only, not on files, partitions or timing. ``write_shards`` writes a file per shard under another
@@ -32,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +50,11 @@ PART = 1 << 16
 # Most ids of a text in one stored row.
 PIECE = 1 << 16
 SHARDS_PER_TASK = 16
+# Texts whose starts make the dictionary (twice as many at most), its bytes, and the levels of packing.
+SAMPLE = 4096
+DICTIONARY = 1 << 18
+LEVEL = 5
+STORED_LEVEL = 6
 PLACES = "slot bigint, shard bigint, offset bigint, sequence bigint, doc_ids array<bigint>, lengths array<int>, n int"
 
 
@@ -186,10 +193,10 @@ def _write_starts(placed: DataFrame, folder: str) -> None:
     dealt.mapInArrow(run, "partition bigint").count()
 
 
-def _cut(kept: DataFrame, folder: str, n: int, settings: Settings) -> DataFrame:
+def _cut(kept: DataFrame, folder: str, n: int, dictionary: bytes, settings: Settings) -> DataFrame:
     """(slot, sequence, first, begins, doc_id, ids): the stored texts cut at the ends of sequences.
 
-    ``first`` is the place in the sequence, ``begins`` is true for the start of a text. A task reads the starts of its own
+    ``ids`` are packed. ``first`` is the place in the sequence, ``begins`` is true for the start of a text. A task reads the starts of its own
     partitions only, so the ids are not shuffled to find their place.
     """
     schema = pa.schema([("slot", pa.int64()), ("sequence", pa.int64()), ("first", pa.int32()), ("begins", pa.bool_()), ("doc_id", pa.int64()), ("ids", pa.binary())])
@@ -197,6 +204,7 @@ def _cut(kept: DataFrame, folder: str, n: int, settings: Settings) -> DataFrame:
 
     def run(batches):
         held, starts = None, None
+        pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_learned(dictionary), write_dict_id=False).compress
         for batch in batches:
             sequences, firsts, begins, ids_of, own = [], [], [], [], []
             for part, number, doc_id, at, ids in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
@@ -213,7 +221,7 @@ def _cut(kept: DataFrame, folder: str, n: int, settings: Settings) -> DataFrame:
                     firsts.append(first)
                     begins.append(begin)
                     ids_of.append(doc_id)
-                    own.append(ids[low:high])
+                    own.append(pack(ids[low:high]))
                     place, low, begin = place + (high - low) // 2, high, False
             slots = permuted(np.array(sequences, np.int64), n, settings.key)
             columns = [slots, sequences, firsts, begins, ids_of, own]
@@ -224,21 +232,49 @@ def _cut(kept: DataFrame, folder: str, n: int, settings: Settings) -> DataFrame:
     )
 
 
-def pieces(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, int]:
-    """(the pieces of all sequences with their slots, number of sequences); see ``_cut`` for the columns."""
-    kept = stored(tokens(docs, settings), "tokens")
+@dataclass(frozen=True)
+class Pieces:
+    """The pieces of all sequences (see ``_cut``), the number of sequences, and the dictionary that the ids are packed with."""
+
+    rows: DataFrame
+    n: int
+    dictionary: bytes
+
+
+def _dictionary(kept: DataFrame, texts: int, settings: Settings) -> bytes:
+    """Trained on the starts of some texts, picked by their place in the stored table; empty where they are too few or too alike."""
+    chosen = F.pmod(F.xxhash64("partition", "number"), F.lit(max(1, texts))) < SAMPLE
+    starts = kept.where("at = 0").where(chosen).select(F.substring("ids", 1, settings.stride).alias("ids")).limit(2 * SAMPLE)
+    samples = [bytes(r["ids"]) for r in starts.collect()]
+    try:
+        # a dictionary needs several times its size to learn from
+        size = min(DICTIONARY, sum(map(len, samples)) // 8)
+        return zstandard.train_dictionary(size, samples).as_bytes() if size > 1024 else b""
+    except zstandard.ZstdError:
+        return b""
+
+
+def _learned(dictionary: bytes) -> zstandard.ZstdCompressionDict | None:
+    return zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+
+
+def pieces(docs: DataFrame, settings: Settings = Settings()) -> Pieces:
+    kept = stored(tokens(docs, settings), "tokens", level=STORED_LEVEL)
     narrow = kept.where("at = 0").select("partition", "number", "doc_id", "hash", "total")
     order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("hash"), F.col("partition"), F.col("number")]
-    placed = running(dense_index(narrow, order, "_index"), F.col("total"), "start", inclusive=False, index="_index")
+    placed = dense_index(narrow, order, "_index").select("partition", "number", "total", "_index")
+    placed = running(placed, F.col("total"), "start", inclusive=False, index="_index")
     folder = shared_folder(docs.sparkSession, "starts")
     _write_starts(placed.select("partition", "number", "start"), folder)
-    n = -(-(narrow.agg(F.sum("total")).first()[0] or 0) // settings.length)
-    return _cut(kept, folder, n, settings), n
+    size = narrow.agg(F.count(F.lit(1)).alias("texts"), F.sum("total").alias("ids")).first()
+    n, dictionary = -(-(size["ids"] or 0) // settings.length), _dictionary(kept, size["texts"], settings)
+    return Pieces(_cut(kept, folder, n, dictionary, settings), n, dictionary)
 
 
-def _whole(batches, settings: Settings) -> Iterator[tuple]:
+def _whole(batches, dictionary: bytes, settings: Settings) -> Iterator[tuple]:
     """(slot, sequence, documents, lengths, n, payload) from batches of pieces sorted by slot and place."""
     at, sequence, docs, lengths, parts, size = None, None, [], [], [], 0
+    unpack = zstandard.ZstdDecompressor(dict_data=_learned(dictionary)).decompress
 
     def padded():
         payload = b"".join(parts)
@@ -253,6 +289,7 @@ def _whole(batches, settings: Settings) -> Iterator[tuple]:
                 at, sequence, docs, lengths, parts, size = slot, number, [], [], [], 0
             if first != size:
                 raise ValueError(f"slot {slot} has {size} ids before a piece at {first}")
+            ids = unpack(ids)
             if begins or not docs:
                 docs.append(doc_id)
                 lengths.append(0)
@@ -283,11 +320,12 @@ def ordered(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     ``doc_ids`` are the documents in a sequence, in order, ``lengths`` how many of its ``n`` ids each has.
     """
-    rows, _ = pieces(docs, settings)
+    every = pieces(docs, settings)
+    dictionary = every.dictionary
 
     def run(batches):
         held, payloads = [], []
-        for whole in _whole(batches, settings):
+        for whole in _whole(batches, dictionary, settings):
             held.append(_place(whole, settings))
             payloads.append(whole[-1])
             if len(held) == 1024:
@@ -297,7 +335,7 @@ def ordered(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             yield _batch(held, payloads)
 
     parts = [settings.partitions] if settings.partitions else []
-    return rows.repartitionByRange(*parts, "slot").sortWithinPartitions("slot", "first").mapInArrow(run, f"{PLACES}, payload binary")
+    return every.rows.repartitionByRange(*parts, "slot").sortWithinPartitions("slot", "first").mapInArrow(run, f"{PLACES}, payload binary")
 
 
 def _dealt(rows: DataFrame, n: int, settings: Settings) -> DataFrame:
@@ -317,11 +355,12 @@ def _digest(store, path: str) -> bytes:
     return digest.digest()
 
 
-def write_shards(rows: DataFrame, folder: str, n: int, settings: Settings = Settings()) -> DataFrame:
-    """Write the ``n`` sequences of ``pieces`` as ``shard-000000.bin`` and so on; their places, as in ``ordered``.
+def write_shards(every: Pieces, folder: str, settings: Settings = Settings()) -> DataFrame:
+    """Write the sequences of ``pieces`` as ``shard-000000.bin`` and so on; their places, as in ``ordered``.
 
     Shards that are there with the same bytes stay.
     """
+    n, dictionary = every.n, every.dictionary
 
     def run(batches):
         open_shard, out, part, digest, expected = None, None, None, None, None
@@ -344,7 +383,7 @@ def write_shards(rows: DataFrame, folder: str, n: int, settings: Settings = Sett
             else:
                 store.move(part, path)
 
-        for whole in _whole(batches, settings):
+        for whole in _whole(batches, dictionary, settings):
             place = _place(whole, settings)
             if place[1] != open_shard:
                 if open_shard is not None:
@@ -364,7 +403,7 @@ def write_shards(rows: DataFrame, folder: str, n: int, settings: Settings = Sett
         if held:
             yield _batch(held)
 
-    return _dealt(rows, n, settings).sortWithinPartitions("slot", "first").mapInArrow(run, PLACES)
+    return _dealt(every.rows, n, settings).sortWithinPartitions("slot", "first").mapInArrow(run, PLACES)
 
 
 def read_shards(places: DataFrame, folder: str, settings: Settings = Settings()) -> DataFrame:
@@ -399,14 +438,14 @@ def materialised(docs: DataFrame, settings: Settings = Settings(), folder: str |
     from pyarrow import fs
 
     folder = folder or shared_folder(docs.sparkSession, "shards")
-    rows, n = pieces(docs, settings)
-    places = stored(write_shards(rows, folder, n, settings), "places")
+    every = pieces(docs, settings)
+    places = stored(write_shards(every, folder, settings), "places")
     store, path = filesystem(folder)
     there = store.get_file_info(fs.FileSelector(path, allow_not_found=True))
     named = [x.base_name for x in there if x.base_name.startswith("shard-") and x.base_name.endswith(".bin")]
-    if len(named) != -(-n // settings.per_shard):
+    if len(named) != -(-every.n // settings.per_shard):
         raise ValueError(f"{folder} holds shards of another order beyond the last one")
-    return read_shards(_dealt(places, n, settings).sortWithinPartitions("slot"), folder, settings)
+    return read_shards(_dealt(places, every.n, settings).sortWithinPartitions("slot"), folder, settings)
 
 
 def read_slot(folder: str, slot: int, settings: Settings = Settings()) -> np.ndarray:
