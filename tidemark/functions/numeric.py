@@ -150,14 +150,18 @@ def face_usability(detection: Column, size_px: Column, sharpness: Column) -> Col
 
 
 def total_score(components: dict[str, Column]) -> Column:
-    """Weighted mean (0..100, one decimal) of the components that are present; 0 for none."""
-    num = den = F.lit(0.0)
+    """Weighted mean (0..100, one decimal) of the components that are present; 0 for none.
+
+    Weights are added up as whole percents and tenths are rounded as whole numbers, so that a mean
+    half way between two decimals goes to the even one although its last digits are not exact.
+    """
+    num, den = F.lit(0.0), F.lit(0)
     for name, weight in QUALITY_WEIGHTS.items():
         if name in components:
             value = components[name].cast("double")
             num = num + F.coalesce(weight * value, F.lit(0.0))
-            den = den + F.when(value.isNotNull(), weight).otherwise(0.0)
-    return F.when(den > 0, F.bround(100 * num / den, 1)).otherwise(0.0)
+            den = den + F.when(value.isNotNull(), round(100 * weight)).otherwise(0)
+    return F.when(den > 0, F.bround(100 * num / (den / 100) * 10, 0) / 10).otherwise(0.0)
 
 
 # ---------- vectors ----------
