@@ -7,7 +7,8 @@ missed). Larger thresholds have no useful index: the rows of a group are compare
 block instead.
 
 Keys shared by few rows are joined in the JVM. Keys shared by many are cut into blocks and
-compared two blocks at a time, so that no task holds a whole key.
+compared two blocks at a time, so that no task holds a whole key. The number of tasks follows
+the number of rows and of comparisons, not that of bytes: a few bytes can stand for much work.
 """
 
 from __future__ import annotations
@@ -21,7 +22,11 @@ from tidemark.functions.numeric import hamming
 from tidemark.session import cut
 
 SMALL_KEY = 256
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 4096
+CHUNK_ROWS = 128
+# Work of one task: rows that it joins, and signatures that it compares.
+TASK_ROWS = 2_000_000
+TASK_PAIRS = 500_000_000
 BANDED_UP_TO = 11
 NO_CENTRE = -(1 << 63)
 
@@ -72,18 +77,17 @@ def _crowded_keys(sigs: DataFrame, threshold: int, by: list[str]) -> DataFrame:
     return busy.select(*by, F.explode(around).alias("key")).distinct()
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest row of each connected set within one block pair."""
-    root = np.arange(n)
+def _merged(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest row of each connected set, after the links (a, b) were added."""
     while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == root).all():
+        open_links = root[a] != root[b]
+        if not open_links.any():
             return root
-        root = new
+        a, b = root[a[open_links]], root[b[open_links]]
+        root = root.copy()
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != root[root]).any():
+            root = root[root]
 
 
 def _compare_blocks(above: int, threshold: int, links_only: bool):
@@ -91,26 +95,44 @@ def _compare_blocks(above: int, threshold: int, links_only: bool):
         rows = rows.sort_values("id", ignore_index=True)
         sig = rows["sig"].to_numpy(np.int64).view(np.uint64)
         ids = rows["id"].to_numpy(np.int64)
+        marked = "sole" in rows
+        if marked:
+            sole, lone = rows["sole"].to_numpy(np.int64), rows["lone"].to_numpy(bool)
+        lo, hi = rows["lo"].iloc[0], rows["hi"].iloc[0]
         block = rows["block"].to_numpy()
-        same = rows["lo"].iloc[0] == rows["hi"].iloc[0]
-        dist = np.bitwise_count(sig[:, None] ^ sig[None, :])
-        hit = np.triu((dist > above) & (dist <= threshold), 1)
-        if not same:
-            hit &= block[:, None] != block[None, :]
-        sole = rows["sole"].to_numpy(np.int64)
-        lone = rows["lone"].to_numpy(bool)
-        known = sole != NO_CENTRE
-        copies = (sole[:, None] == sole[None, :]) & known[:, None] & (lone[:, None] | lone[None, :])
-        a, b = np.nonzero(hit & ~copies)
+        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        root, found = np.arange(len(rows)), []
+        for start in range(0, len(left), CHUNK_ROWS):
+            part = left[start : start + CHUNK_ROWS]
+            # within one block, each pair once
+            others = right[start:] if lo == hi else right
+            dist = np.bitwise_count(sig[part][:, None] ^ sig[others][None, :])
+            x, y = np.nonzero((dist > above) & (dist <= threshold) if above >= 0 else dist <= threshold)
+            a, b = part[x], others[y]
+            keep = a < b if lo == hi else np.ones(len(a), bool)
+            if marked:
+                keep &= ~((sole[a] == sole[b]) & (sole[a] != NO_CENTRE) & (lone[a] | lone[b]))
+            a, b = a[keep], b[keep]
+            if links_only:
+                root = _merged(root, a, b)
+            else:
+                found.append((np.minimum(a, b).astype(np.int32), np.maximum(a, b).astype(np.int32)))
         if links_only:
-            root = _roots(len(rows), a, b)
             b = np.flatnonzero(root != np.arange(len(rows)))
             a = root[b]
-        return pd.DataFrame({"a": ids[a], "b": ids[b], "distance": dist[a, b].astype(np.int32)})
+        else:
+            a, b = (np.concatenate([f[i] for f in found] or [np.empty(0, np.int32)]) for i in (0, 1))
+        return pd.DataFrame({"a": ids[a], "b": ids[b], "distance": np.bitwise_count(sig[a] ^ sig[b]).astype(np.int32)})
 
     return run
 
 
+def _dealt(df: DataFrame, tasks: float, on: list[str]) -> DataFrame:
+    """``df`` hashed to as many partitions as its work asks for, which are not merged by their bytes."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(int(tasks), cores), *on)
+
+
 def hamming_join(
     sigs: DataFrame,
     threshold: int,
@@ -127,46 +149,64 @@ def hamming_join(
     instead of all of its pairs, so that its output stays linear.
     """
     by = by or []
-    for column, kind in (("sole", "bigint"), ("lone", "boolean")):
-        if column not in sigs.columns:
-            sigs = sigs.withColumn(column, F.lit(None if column == "sole" else False).cast(kind))
+    marked = "sole" in sigs.columns
+    marks = [F.coalesce("sole", F.lit(NO_CENTRE)).alias("sole"), "lone"] if marked else []
     # read several times below, and far narrower than what it was computed from
-    sigs = cut(sigs.select("id", "sig", F.coalesce("sole", F.lit(NO_CENTRE)).alias("sole"), "lone", *by))
+    sigs = cut(sigs.select("id", "sig", *marks, *by))
     banded = threshold <= BANDED_UP_TO
     on = [*by, "key"]
     if banded:
         keyed = sigs.select("*", F.explode(_keys(threshold)).alias("key"))
-        crowded = _crowded_keys(sigs, threshold, by)
+        counted = keyed.join(_crowded_keys(sigs, threshold, by), on, "left_semi")
+        keys = sum(width + 1 for _, width in _bands(threshold))
     else:
-        keyed = sigs.withColumn("key", F.lit(0).cast("bigint"))
-        crowded = keyed.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL_KEY).drop("n")
-
-    crowded = cut(crowded)
-    quiet = crowded.isEmpty()
-    few = keyed if quiet else keyed.join(crowded, on, "left_anti")
-    left = few.select(*on, *[F.col(c).alias(f"{c}_a") for c in ("id", "sig", "sole", "lone")])
-    right = few.select(*on, *[F.col(c).alias(f"{c}_b") for c in ("id", "sig", "sole", "lone")])
+        keyed = counted = sigs.withColumn("key", F.lit(0).cast("bigint"))
+        keys = 1
+    sizes = cut(counted.groupBy(*on).agg(F.count(F.lit(1)).alias("size")))
+    crowded = sizes.where(F.col("size") > SMALL_KEY)
+    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
+    big = F.col("size") > SMALL_KEY
+    work = sizes.agg(
+        F.coalesce(F.sum(F.when(big, F.col("size").cast("double") * F.col("size"))), F.lit(0.0)).alias("compared"),
+        F.coalesce(F.sum(F.when(~big, F.col("size").cast("double") * F.col("size"))), F.lit(0.0)).alias("joined"),
+    ).first()
+    quiet = work["compared"] == 0
+
+    # only what a comparison needs travels with every key; marks are met by the pairs that were found
+    few = keyed.select(*on, "id", "sig")
+    tasks = max(sigs.count() * keys / TASK_ROWS, work["joined"] / (TASK_PAIRS / 10))
+    few = _dealt(few, 1 + tasks, on)
+    if not quiet:
+        few = few.join(crowded.select(*on), on, "left_anti")
+    left = few.select(*on, F.col("id").alias("a"), F.col("sig").alias("sig_a"))
+    right = few.select(*on, F.col("id").alias("b"), F.col("sig").alias("sig_b"))
     distance = hamming(F.col("sig_a"), F.col("sig_b"))
-    linked = (F.col("sole_a") != NO_CENTRE) & (F.col("sole_a") == F.col("sole_b")) & (F.col("lone_a") | F.col("lone_b"))
     pairs = (
         left.join(right, on)
-        .where((F.col("id_a") < F.col("id_b")) & (distance > above) & (distance <= threshold) & ~linked)
-        .select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), distance.alias("distance"))
+        .where((F.col("a") < F.col("b")) & (distance > above) & (distance <= threshold))
+        .select("a", "b", distance.alias("distance"))
     )
-
-    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
+    if banded:
+        pairs = pairs.dropDuplicates(["a", "b"])
+    if marked:
+        known = sigs.where(F.col("sole") != NO_CENTRE)
+        for side in ("a", "b"):
+            side_marks = known.select(F.col("id").alias(side), F.col("sole").alias(f"sole_{side}"), F.col("lone").alias(f"lone_{side}"))
+            pairs = pairs.join(side_marks, side, "left")
+        linked = (F.col("sole_a") == F.col("sole_b")) & (F.col("lone_a") | F.col("lone_b"))
+        pairs = pairs.where(~F.coalesce(linked, F.lit(False))).select("a", "b", "distance")
     if quiet:
-        return pairs.dropDuplicates(["a", "b"]) if banded else pairs
+        return pairs
 
-    busy = keyed.join(crowded, on, "left_semi")
     many = (
-        busy.join(busy.groupBy(*on).agg(F.count(F.lit(1)).alias("size")), on)
+        keyed.join(crowded, on)
         .withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .withColumn("lo", F.least("block", "other"))
         .withColumn("hi", F.greatest("block", "other"))
     )
-    compared = many.groupBy(*on, "lo", "hi").applyInPandas(
+    dealt = _dealt(many, 1 + work["compared"] / 2 / TASK_PAIRS, [*on, "lo", "hi"])
+    compared = dealt.groupBy(*on, "lo", "hi").applyInPandas(
         _compare_blocks(above, threshold, links_only), "a bigint, b bigint, distance int"
     )
     out = pairs.unionByName(compared)
