@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import hamming
-from tidemark.session import cut
+from tidemark.session import cut, maybe_broadcast
 
 SMALL_KEY = 256
 BLOCK_ROWS = 4096
@@ -157,7 +157,9 @@ def hamming_join(
     on = [*by, "key"]
     if banded:
         keyed = sigs.select("*", F.explode(_keys(threshold)).alias("key"))
-        counted = keyed.join(_crowded_keys(sigs, threshold, by), on, "left_semi")
+        # few as a rule; then no key row is shuffled only to be counted
+        suspected = cut(_crowded_keys(sigs, threshold, by))
+        counted = suspected if suspected.isEmpty() else keyed.join(maybe_broadcast(suspected), on, "left_semi")
         keys = sum(width + 1 for _, width in _bands(threshold))
     else:
         keyed = counted = sigs.withColumn("key", F.lit(0).cast("bigint"))
@@ -186,7 +188,7 @@ def hamming_join(
         .where((F.col("a") < F.col("b")) & (distance > above) & (distance <= threshold))
         .select("a", "b", distance.alias("distance"))
     )
-    if banded:
+    if banded and (marked or quiet):
         pairs = pairs.dropDuplicates(["a", "b"])
     if marked:
         known = sigs.where(F.col("sole") != NO_CENTRE)
