@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import duplicates, similarity
 from tidemark.operators.components import connected_components
 from tidemark.params import Settings
+from tidemark.plans.library import Library
 
 ITEM = "id long, kind string, sha256 string, phash string, minute string, pinned boolean, total double, pixels long"
 
@@ -130,3 +131,26 @@ def test_pins(spark):
     out, bad = pin_best(media, members, pins)
     assert {r["id"]: r["pinned_best"] for r in out.collect()} == {1: True, 2: False, 3: True}
     assert [r["group_id"] for r in bad.collect()] == [9]
+
+
+def test_content_keys(spark):
+    """Keys are equal exactly where the digests are, also for what is no digest."""
+    texts = ["ab" * 32, "AB" * 32, "ab" * 31, "x", "", "x\0", "ab" * 32 + "\n", None, "ab" * 32]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, sha256 string")
+    keys = dict(rows.select("id", duplicates.content_key(F.col("sha256")).alias("k")).collect())
+    for i, a in enumerate(texts):
+        assert (keys[i] is None) == (a is None)
+        assert all((keys[i] == keys[j]) == (a == b) for j, b in enumerate(texts))
+
+
+def test_hidden_copies_are_worked_out_once(spark):
+    lib = Library(spark).having(
+        dup_groups=spark.createDataFrame([(1, "near", 2)], "id long, kind string, best_media_id long"),
+        dup_members=spark.createDataFrame([(1, 1), (2, 1)], "media_id long, group_id long"),
+    )
+    hidden = lib.hidden()
+    assert "Join" not in hidden._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["media_id"] for r in hidden.collect()] == [1]
+    assert lib.having(media=hidden).hidden() is hidden
+    other = lib.having(dup_members=spark.createDataFrame([(3, 1)], "media_id long, group_id long"))
+    assert [r["media_id"] for r in other.hidden().collect()] == [3]

@@ -11,6 +11,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.duplicates import content_key
 from tidemark.params import Settings
 from tidemark.plans.library import Library
 
@@ -199,7 +200,7 @@ def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = media(spark, sf_dir).where("not missing")
     rank = F.struct("pinned_best", "size", -F.col("id"))
     return (
-        m.groupBy("sha256")
+        m.groupBy(content_key(F.col("sha256")))
         .agg(F.min("id").alias("id"), F.max_by("id", rank).alias("best_media_id"), F.count(F.lit(1)).alias("size"), F.max_by("taken_at", rank).alias("taken_at"))
         .where("size > 1")
         .select("id", F.lit("exact").alias("kind"), "best_media_id", "size", "taken_at")
@@ -207,9 +208,9 @@ def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = media(spark, sf_dir).where("not missing").select("id", "sha256")
-    g = m.groupBy("sha256").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return m.join(g, "sha256").select(F.col("id").alias("media_id"), "group_id", F.lit(0).alias("distance"))
+    m = media(spark, sf_dir).where("not missing").select("id", content_key(F.col("sha256")).alias("content"))
+    g = m.groupBy("content").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return m.join(g, "content").select(F.col("id").alias("media_id"), "group_id", F.lit(0).alias("distance"))
 
 
 MAKERS = {

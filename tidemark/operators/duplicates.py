@@ -6,7 +6,7 @@ row in the similarity join, and are linked to their group by a star instead of b
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import minute_bucket
@@ -40,17 +40,24 @@ def duplicate_items(media: DataFrame, quality: DataFrame) -> DataFrame:
     )
 
 
+def content_key(sha256: Column) -> Column:
+    """Equal exactly where ``sha256`` is; 64 lower-case hex digits, as a rule, take half the room. Others are longer than 32 bytes."""
+    other = F.concat(F.encode(sha256, "utf-8"), F.lit(bytes(33)))
+    return F.when(sha256.rlike(r"\A[0-9a-f]{64}\z"), F.unhex(sha256)).otherwise(other)
+
+
 def mark_copies(items: DataFrame) -> DataFrame:
-    """Items with the lowest id of their content (``centre``), null where it is unique."""
+    """Items with the lowest id of their content (``centre``), null where it is unique. The centre stands for the content from here on."""
     photo_sig = F.when(F.col("kind") == "photo", F.col("sig"))
+    keyed = items.select("id", "kind", content_key(F.col("sha256")).alias("content"), "sig", "minute")
     centres = (
-        items.where(F.col("sha256").isNotNull())
-        .groupBy("sha256")
+        keyed.where(F.col("content").isNotNull())
+        .groupBy("content")
         .agg(F.min("id").alias("centre"), F.min_by(photo_sig, "id").alias("centre_sig"), F.count(F.lit(1)).alias("copies"))
         .where("copies > 1")
         .drop("copies")
     )
-    return items.select("id", "kind", "sha256", "sig", "minute").join(centres, "sha256", "left")
+    return keyed.join(centres, "content", "left").drop("content")
 
 
 def exact_edges(marked: DataFrame) -> DataFrame:
@@ -65,11 +72,11 @@ def _collapsed(photos: DataFrame, keys: list[str]) -> DataFrame:
     copies; ``lone`` marks a row that is nothing but such a centre. Two rows of one content,
     one of them lone, consist of exact pairs only.
     """
-    hashes = F.min("sha256") == F.max("sha256")
+    one = F.min("centre") == F.max("centre")
     return photos.groupBy(*keys).agg(
         F.min("id").alias("id"),
         F.count(F.lit(1)).alias("size"),
-        F.when(hashes & (F.count("sha256") == F.count(F.lit(1))), F.min("centre")).alias("sole"),
+        F.when(one & (F.count("centre") == F.count(F.lit(1))), F.min("centre")).alias("sole"),
         ((F.count(F.lit(1)) == 1) & F.max(F.coalesce(F.col("id") == F.col("centre"), F.lit(False)))).alias("lone"),
         F.count_if((F.col("id") != F.col("centre")) & (F.col("sig") == F.col("centre_sig"))).alias("star"),
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import curation, duplicates
 from tidemark.operators.edits import highest_id
 from tidemark.params import Settings
+from tidemark.session import cut
 from tidemark.sources import tables
 
 
@@ -23,6 +24,8 @@ class Library:
     spark: SparkSession
     tables: dict[str, DataFrame | Callable[[], DataFrame]] = field(default_factory=dict)
     settings: Settings = Settings()
+    # shared by the libraries made from this one
+    known_hidden: list[tuple[DataFrame, DataFrame, DataFrame]] = field(default_factory=list, repr=False, compare=False)
 
     def __getitem__(self, name: str) -> DataFrame:
         found = self.tables.get(name)
@@ -59,7 +62,14 @@ class Library:
     # ---------- shared intermediates ----------
 
     def hidden(self) -> DataFrame:
-        return duplicates.hidden_copies(self["dup_groups"], self["dup_members"])
+        """Worked out once for the same groups: far narrower than they are, and read by several branches of a query."""
+        groups, members = self["dup_groups"], self["dup_members"]
+        for known_groups, known_members, hidden in self.known_hidden:
+            if known_groups is groups and known_members is members:
+                return hidden
+        hidden = cut(duplicates.hidden_copies(groups, members))
+        self.known_hidden.append((groups, members, hidden))
+        return hidden
 
     def curation_items(self) -> DataFrame:
         return curation.curation_items(
