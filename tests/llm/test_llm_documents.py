@@ -710,3 +710,19 @@ def test_long_texts_are_tokenised_in_parts():
     assert "".join(parts) == text and len(parts) > 5
     assert [t for p in parts for t in encode.encode_ordinary(p)] == encode.encode_ordinary(text)
     assert hashlib.sha256("".join(materialise.parts_of("x" * 5000, 1000)).encode()).digest() == hashlib.sha256(b"x" * 5000).digest()
+
+
+def test_each_different_unit_is_tokenised_once():
+    rng = random.Random(14)
+    signs = [*"ab Z9.,'\"(-\n\t\r\x00\x1c\x7f", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u3000", "é", "à", "漢", "д", "٣", "\u200d", "\U0001f600", "'s", "'re", "  "]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(4000)] + ["", " ", "  ", "a b", " a", "a ", "x" * 3000, "y" * 70000 + " z"]
+    encoder = materialise.encoder(materialise.VOCABULARY)
+    units = materialise.UnitEncoder(materialise.Settings())
+    for got, text in zip(units.texts([t.encode() for t in texts]), texts, strict=True):
+        assert got.tolist() == encoder.encode_ordinary(text), repr(text)
+    assert [x.tolist() for x in units.texts([b"", b""])] == [[], []]
+    seen = []
+    plain, units.encode = units.encode, lambda text, **kw: seen.append(len(text)) or plain(text, **kw)
+    text = prose(rng, 500) + "."
+    (whole,) = units.texts([text.encode() * 200])
+    assert whole.tolist() == encoder.encode_ordinary(text * 200) and sum(seen) < 2 * len(text)

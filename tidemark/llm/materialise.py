@@ -1,6 +1,7 @@
 """Training-order materialisation: token ids in fixed-stride shards, in the order of a keyed Feistel permutation.
 
-1. Texts are tokenised with a public vocabulary (``vocabulary``: a rank file, its path is a parameter) and end with ``end``. The ids
+1. Texts are tokenised with a public vocabulary (``vocabulary``: a rank file, its path is a parameter) and end with ``end``. They are
+   cut into units where the vocabulary cuts too; of some megabytes of texts each different unit is tokenised once. The ids
    are written once to the shared folder, a long text in pieces of ``PIECE`` ids.
 2. In the order of id and text hash the texts are one stream of ids, which is cut into sequences of ``length`` ids: only the last
    sequence can be shorter. A text's place in the stream is a running total over one narrow row per text. Rows equal in id and hash
@@ -38,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import filesystem, put_file, shared_folder, stored
+from tidemark.llm.common import chunks, filesystem, put_file, raw_texts, shared_folder, stored
 from tidemark.operators.ordering import dense_index, running
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -49,6 +50,8 @@ ROUNDS = 6
 PART = 1 << 16
 # Most ids of a text in one stored row.
 PIECE = 1 << 16
+# Bytes of texts whose units are looked up at once (a longer text by itself).
+LOOKED_UP = 1 << 23
 SHARDS_PER_TASK = 16
 # Texts whose starts make the dictionary (twice as many at most), its bytes, and the levels of packing.
 SAMPLE = 4096
@@ -95,6 +98,93 @@ def parts_of(text: str, size: int = PART) -> list[str]:
     return [*out, text[start:]]
 
 
+def _followed() -> np.ndarray:
+    """Whether the vocabulary always cuts between a byte and the next one, as a flat table of 256 rows.
+
+    It does behind an ASCII letter or digit and any other kind of ASCII character, and in front of whitespace that follows none.
+    """
+    kinds = np.array([*range(256)])
+    space, letter, digit = np.isin(kinds, [*range(9, 14), 32]), np.char.isalpha(_CHARS), np.char.isdigit(_CHARS)
+    kind = np.select([space, letter, digit, kinds >= 128], [0, 1, 2, 4], 3)
+    ends = np.isin(kind, [1, 2])[:, None] & (kind != 4) & (kind[:, None] != kind)
+    return (ends | (space & ((kinds > 32) & (kinds != 127))[:, None])).ravel()
+
+
+_CHARS = np.array([chr(x) if x < 128 else "" for x in range(256)])
+_FOLLOWED = _followed()
+# first bytes of the characters beyond ASCII that may be whitespace
+_LEADS = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+
+
+def cuts(data: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
+    """Whether texts are cut before these places (from 1) in any case. Behind characters that may be whitespace the answer is no."""
+    last = data[:-1] if isinstance(at, slice) else data[at - 1]
+    found = _FOLLOWED[last.astype(np.uint16) << 8 | (data[1:] if isinstance(at, slice) else data[at])]
+    wide = np.flatnonzero(found & (last >= 128))
+    place = wide + 1 if isinstance(at, slice) else at[wide]
+    found[wide] = (data[np.maximum(place - 2, 0)] != 0xC2) & ~_LEADS[data[np.maximum(place - 3, 0)]]
+    return found
+
+
+def units(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the units of some texts begin that can be tokenised by themselves.
+
+    ``data`` has the texts' bytes one after the other, ``ends`` where each of them ends.
+    """
+    begins = np.append(np.append(True, cuts(data, slice(1, None))), False)
+    begins[ends] = True
+    return np.flatnonzero(begins[:-1])
+
+
+class UnitEncoder:
+    """Ids of texts; each different unit of the texts given at once is tokenised once."""
+
+    def __init__(self, settings: Settings):
+        vocabulary = encoder(settings.vocabulary)
+        if max(vocabulary.max_token_value, settings.end, settings.pad) >> 16:
+            raise ValueError("ids must fit 16 bits")
+        self.encode = vocabulary.encode_to_numpy
+        self.bytes = np.zeros(vocabulary.max_token_value + 1, np.int64)
+        for token in vocabulary.token_byte_values():
+            self.bytes[vocabulary.encode_single_token(token)] = len(token)
+
+    def learned(self, different: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
+        """The ids of each unit. Units that can stand behind each other are tokenised as one text: it is cut between them in any case."""
+        edges = np.frombuffer(different.buffers()[1], "<i8", len(different) + 1)
+        data = np.frombuffer(different.buffers()[2], np.uint8, edges[-1])
+        at = edges[1:-1]
+        apart = ~cuts(data, at)
+        # and about PART bytes at once
+        apart |= np.diff(edges[1:] // PART, prepend=0)[1:] > 0
+        stops = [*at[apart].tolist(), len(data)]
+        found, start = [], 0
+        for stop in stops:
+            found += [self.encode(p, disallowed_special=()) for p in parts_of(data[start:stop].tobytes().decode())]
+            start = stop
+        ids = np.concatenate(found)
+        after = np.append(0, np.cumsum(self.bytes[ids]))
+        offsets = 2 * np.searchsorted(after, edges).astype("<i8")
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(different), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u2"))])
+
+    def texts(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """The ids of each of the texts."""
+        ends = np.cumsum([len(x) for x in texts])
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        if not len(data):
+            yield from (np.empty(0, "<u2") for _ in texts)
+            return
+        begins = units(data, ends)
+        edges = np.append(begins, len(data)).astype("<i8")
+        own = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        ids = self.learned(own.dictionary).take(own.indices)
+        after = np.frombuffer(ids.buffers()[1], "<i8", len(begins) + 1) // 2
+        ids = np.frombuffer(ids.buffers()[2], "<u2", after[-1])
+        start = 0
+        for stop in after[np.searchsorted(begins, ends)]:
+            yield ids[start:stop]
+            start = stop
+
+
 def tokens(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(partition, number, doc_id, hash, at, total, ids) of every text's pieces; ids are little-endian 16-bit numbers.
 
@@ -103,10 +193,7 @@ def tokens(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     schema = pa.schema([("partition", pa.int64()), ("number", pa.int64()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("at", pa.int64()), ("total", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        vocabulary = encoder(settings.vocabulary)
-        if max(vocabulary.max_token_value, settings.end, settings.pad) >> 16:
-            raise ValueError("ids must fit 16 bits")
-        encode = vocabulary.encode_to_numpy
+        encode = UnitEncoder(settings).texts
         partition, number = TaskContext.get().partitionId(), 0
         rows: list[tuple] = []
         held = 0
@@ -116,14 +203,15 @@ def tokens(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for doc_id, text, digest in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                parts = parts_of(text.as_py() or "")
-                ids = np.concatenate([*(encode(p, disallowed_special=()) for p in parts), [settings.end]]).astype("<u2")
-                for k in range(0, len(ids), PIECE):
-                    own = ids[k : k + PIECE]
-                    rows.append((partition, number, doc_id, digest, k, len(ids), own.tobytes()))
-                    held += own.nbytes
-                number += 1
+            doc_ids, texts, digests = batch.column(0).to_pylist(), raw_texts(batch.column(1)), batch.column(2).to_pylist()
+            for low, high in chunks(texts, LOOKED_UP):
+                for doc_id, own, digest in zip(doc_ids[low:high], encode(texts[low:high]), digests[low:high], strict=True):
+                    ids = np.append(own, np.array([settings.end], "<u2"))
+                    for k in range(0, len(ids), PIECE):
+                        own = ids[k : k + PIECE]
+                        rows.append((partition, number, doc_id, digest, k, len(ids), own.tobytes()))
+                        held += own.nbytes
+                    number += 1
                 if held > 1 << 22:
                     yield out()
                     rows, held = [], 0
