@@ -1,6 +1,7 @@
 """Order-dependent operators against their sequential definitions."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -276,3 +277,29 @@ def test_windows_of_two_owners(spark):
         if fits:
             want[id] = fits[0][2]
     assert {r["id"]: r["event_id"] for r in got.collect()} == want
+
+
+def test_chunks_of_one_step_serve_the_next(spark):
+    """Steps over the same chunks deal the rows out once, and a rebuild does not join the items again."""
+    df = dense_index(spark.range(1000).withColumn("t", F.col("id") % 13), [F.col("t"), F.col("id")])
+    last = F.when(F.col("id") % 7 == 0, F.col("id"))
+    one = running(carried_last(df, last, "last", rows=37, chunks=True), F.col("last") % 5, "total", rows=37)
+    two = running(carried_last(df, last, "last", rows=37), F.col("last") % 5, "total", rows=37)
+    assert one.columns == two.columns and sorted(one.collect()) == sorted(two.collect())
+    dealt = lambda x: len(re.findall(r"Exchange hashpartitioning\(_chunk", x._jdf.queryExecution().executedPlan().toString()))
+    assert dealt(one) < dealt(two)
+    items = spark.createDataFrame([(i, f"2024-01-{1 + i % 9:02d} 0{i % 7}:00:00", 10.0 + i % 5, 70.0) for i in range(60)], "id long, at string, gps_lat double, gps_lon double")
+    items = items.select("id", F.to_timestamp("at").cast("timestamp_ntz").alias("taken_at"), "gps_lat", "gps_lon")
+    narrow = sessions.split_clusters(items, 6, 30, whole=False)
+    assert set(narrow.columns) == {"id", "taken_at", "session", "place"}
+    assert sorted(narrow.select("id", "session", "place").collect()) == sorted(sessions.split_clusters(items, 6, 30).select("id", "session", "place").collect())
+
+
+def test_picks_keep_a_column(spark):
+    rows = [(i % 3, i, float(i % 10), None if i == 5 else i / 7, i * 997) for i in range(60)]
+    df = spark.createDataFrame(rows, "g int, id long, score double, hero double, sig long").withColumn("vec", F.lit(None).cast("array<double>"))
+    df = df.withColumn("ts", F.timestamp_seconds("id").cast("timestamp_ntz"))
+    plain, kept = curation.diverse_top_k(df, ["g"], 5, pool=6), curation.diverse_top_k(df, ["g"], 5, pool=6, keep="hero")
+    assert kept.columns == [*plain.columns, "hero"] and sorted(kept.drop("hero").collect()) == sorted(plain.collect())
+    of = {r[1]: r[3] for r in rows}
+    assert all(r["hero"] == of[r["id"]] for r in kept.collect())

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.duplicates import content_key
@@ -209,8 +209,9 @@ def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = media(spark, sf_dir).where("not missing").select("id", content_key(F.col("sha256")).alias("content"))
-    g = m.groupBy("content").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return m.join(g, "content").select(F.col("id").alias("media_id"), "group_id", F.lit(0).alias("distance"))
+    same = Window.partitionBy("content")
+    grouped = m.where("content is not null").select("id", F.min("id").over(same).alias("group_id"), F.count(F.lit(1)).over(same).alias("n"))
+    return grouped.where("n > 1").select(F.col("id").alias("media_id"), "group_id", F.lit(0).alias("distance"))
 
 
 MAKERS = {

@@ -40,7 +40,7 @@ def look_alike(
 
 
 def _greedy(group: list[str], k: int, pool: int, same_signature: int, same_cos: float, burst_cos: float, burst_seconds: int):
-    columns = [*group, "id", "pick", "more"]
+    columns = [*group, "id", "pick", "_kept", "more"]
     burst_us = burst_seconds * 1_000_000
 
     def alike(a, b) -> bool:
@@ -56,8 +56,8 @@ def _greedy(group: list[str], k: int, pool: int, same_signature: int, same_cos:
         current, kept, out, done = None, [], [], []
         for batch in batches:
             keys = zip(*[batch[c] for c in group])
-            for key, item, sig, vec, at, rank, have in zip(
-                keys, batch["id"], batch["sig"], batch["vec"], batch["_us"], batch["_rank"], batch["_have"]
+            for key, item, sig, vec, at, rank, have, extra in zip(
+                keys, batch["id"], batch["sig"], batch["vec"], batch["_us"], batch["_rank"], batch["_have"], batch["_kept"]
             ):
                 if key != current:
                     done += out
@@ -75,7 +75,7 @@ def _greedy(group: list[str], k: int, pool: int, same_signature: int, same_cos:
                 )
                 if not any(alike(me, other) for other in kept):
                     kept.append(me)
-                    out.append((*key, item, have + len(kept), False))
+                    out.append((*key, item, have + len(kept), extra, False))
             if done:
                 yield pd.DataFrame(done, columns=columns)
                 done = []
@@ -94,10 +94,11 @@ def diverse_top_k(
     same_cos: float = SAME_SCENE_COS,
     burst_cos: float = BURST_COS,
     burst_seconds: int = BURST_SECONDS,
+    keep: str | None = None,
 ) -> DataFrame:
     """(group, id, pick): the k best items of each group that look alike to no better pick.
 
-    ``items``: group columns, id, score, ts, sig, vec. Each round looks only at the ``pool``
+    ``items``: group columns, id, score, ts, sig, vec; the picks have the column ``keep`` of theirs too. Each round looks only at the ``pool``
     best remaining items of a group (the window group limit drops the others before the
     shuffle). Groups that are neither full nor exhausted go on with the items that resemble
     none of their picks, so every further round adds a pick.
@@ -105,23 +106,26 @@ def diverse_top_k(
     pool = pool or 8 * k
     rules = (same_signature, same_cos, burst_cos, burst_seconds)
     by_group = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema if f.name in group)
-    schema = f"{by_group}, id bigint, pick int, more boolean"
+    schema = f"{by_group}, id bigint, pick int, _kept string, more boolean"
+    # as text, in which no null becomes another value on its way through pandas
+    kept = (F.col(keep) if keep else F.lit(None)).cast("string").alias("_kept")
+    shape = [*group, "id", "pick", *([F.col("_kept").cast(dict(items.dtypes)[keep]).alias(keep)] if keep else [])]
     rank = Window.partitionBy(*group).orderBy(F.col("score").desc(), "ts", "id")
-    remaining = items.select(*group, "id", "score", "ts", "sig", "vec").withColumn("_have", F.lit(0))
+    remaining = items.select(*group, "id", "score", "ts", "sig", "vec", kept).withColumn("_have", F.lit(0))
     picks = None
     while True:
         top = remaining.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= pool + 1)
         ordered = top.select(
-            *group, "id", "sig", "vec", F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"), "_rank", "_have"
+            *group, "id", "sig", "vec", F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"), "_rank", "_have", "_kept"
         )
         # the window leaves the rows clustered by group and sorted by rank
-        new = cut(ordered.mapInPandas(_greedy(group, k, pool, *rules), schema))
+        new = cut(ordered.mapInPandas(_greedy(group, k, pool, *rules), schema).select(*shape, "more"))
         picks = new if picks is None else picks.unionByName(new)
         latest = new.groupBy(*group).agg(F.max("pick").alias("_have"), F.max("more").alias("_more"))
         waiting = latest.where(F.col("_more") & (F.col("_have") < k))
         if waiting.isEmpty():
             return picks.drop("more")
-        details = items.select("id", "sig", "vec", "ts").join(new.join(waiting, group, "left_semi"), "id")
+        details = items.select("id", "sig", "vec", "ts").join(new.select(*group, "id").join(waiting, group, "left_semi"), "id")
         shown = details.groupBy(*group).agg(F.collect_list(F.struct("sig", "vec", "ts")).alias("_shown"))
         me = {"sig": F.col("sig"), "vec": F.col("vec"), "ts": F.col("ts")}
         repeats = F.exists("_shown", lambda p: look_alike(me, {"sig": p["sig"], "vec": p["vec"], "ts": p["ts"]}, *rules))
@@ -173,19 +177,15 @@ def curate(members: DataFrame, items: DataFrame, group: str, k: int = CURATED_MA
     """
     inside = members.select(group, "id").join(items, "id")
     photos = inside.where((F.col("kind") == "photo") & F.col("has_thumb") & ~F.col("hidden_copy"))
-    picks = diverse_top_k(photos, [group], k)
-    best = (
-        picks.join(items.select("id", "hero_score"), "id")
-        .groupBy(group)
-        .agg(F.max_by("id", F.struct("hero_score", -F.col("pick"))).alias("hero_id"))
-    )
+    picks = diverse_top_k(photos, [group], k, keep="hero_score")
+    best = picks.groupBy(group).agg(F.max_by("id", F.struct("hero_score", -F.col("pick"))).alias("hero_id"))
     fallback = (
         inside.where("has_thumb")
         .groupBy(group)
         .agg(F.min_by("id", F.struct("ts", "id")).alias("first_id"))
         .join(best, group, "left")
     )
-    return picks, fallback.select(group, F.coalesce("hero_id", "first_id").alias("hero_id"))
+    return picks.drop("hero_score"), fallback.select(group, F.coalesce("hero_id", "first_id").alias("hero_id"))
 
 
 # ---------- sequential thinning ----------

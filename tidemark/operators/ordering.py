@@ -50,7 +50,8 @@ def join_same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _chunked(df: DataFrame, index: str, rows: int) -> DataFrame:
-    return df.withColumn("_chunk", F.floor(F.col(index) / rows))
+    """A table that still has the chunks of the step before is not dealt out to them again."""
+    return df if "_chunk" in df.columns else df.withColumn("_chunk", F.floor(F.col(index) / rows))
 
 
 def running(
@@ -84,9 +85,12 @@ def running(
 
 
 def carried_last(
-    df: DataFrame, value: Column, name: str, inclusive: bool = False, index: str = INDEX, rows: int = CHUNK_ROWS
+    df: DataFrame, value: Column, name: str, inclusive: bool = False, index: str = INDEX, rows: int = CHUNK_ROWS, chunks: bool = False
 ) -> DataFrame:
-    """Last non-null ``value`` before (or up to) each row along the dense index."""
+    """Last non-null ``value`` before (or up to) each row along the dense index.
+
+    With ``chunks`` the column ``_chunk`` stays for a next step over the same index and ``rows``.
+    """
     # structs compare by their first field, so the maximum is the latest one
     stamped = F.when(value.isNotNull(), F.struct(F.col(index).alias("at"), value.alias("value")))
     df = _chunked(df, index, rows).withColumn("_value", stamped)
@@ -97,9 +101,8 @@ def carried_last(
     before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select("_chunk", F.max("_total").over(before).alias("_carried"))
     df = df.withColumn("_inner", F.max("_value").over(within)).join(carried, "_chunk")
-    return df.withColumn(name, F.coalesce("_inner", "_carried")["value"]).drop(
-        "_chunk", "_value", "_inner", "_carried"
-    )
+    out = df.withColumn(name, F.coalesce("_inner", "_carried")["value"]).drop("_value", "_inner", "_carried")
+    return out if chunks else out.drop("_chunk")
 
 
 def next_on_or_after(left: DataFrame, right: DataFrame, left_time: str, right_time: str, name: str, key: str) -> DataFrame:

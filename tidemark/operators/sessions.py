@@ -84,9 +84,12 @@ def split_clusters(
     key: str = "id",
     lat: str = "gps_lat",
     lon: str = "gps_lon",
+    whole: bool = True,
 ) -> DataFrame:
     """Add ``session`` and ``place``; together (with ``by``) they identify a cluster.
 
+    Without ``whole`` only ``by``, ``ts`` and ``key`` are kept of the items, which need not be joined again.
+
     Within a session a cluster ends where a located item lies more than ``gps_km`` from the
     last located item before it.
     """
@@ -96,20 +99,22 @@ def split_clusters(
     narrow = sessions.select(*by, "session", ts, key, geo.alias("_geo"))
     rows = dense_index(narrow, [*map(F.col, by), F.col(ts), F.col(key)])
     here = F.struct(*by, F.col("session"), F.col("_geo"))
-    rows = carried_last(rows, F.when(F.col("_geo").isNotNull(), here), "_before")
+    rows = carried_last(rows, F.when(F.col("_geo").isNotNull(), here), "_before", chunks=True)
     same = F.col("_before.session") == F.col("session")
     for column in by:
         same = same & F.col(f"_before.{column}").eqNullSafe(F.col(column))
     far = haversine_km(F.col("_before._geo.lat"), F.col("_before._geo.lon"), F.col("_geo.lat"), F.col("_geo.lon"))
     jump = F.coalesce((same & (far > gps_km)).cast("bigint"), F.lit(0))
-    rows = cut(running(rows, jump, "place").select(key, "session", "place"))
-    return items.join(rows, key)
+    rows = running(rows, jump, "place")
+    if not whole:
+        return rows.select(*by, ts, key, "session", "place")
+    return items.join(cut(rows.select(key, "session", "place")), key)
 
 
 def absorb(
-    items: DataFrame, windows: DataFrame, ts: str = "taken_at", key: str = "id", by: list[str] | None = None
+    items: DataFrame, windows: DataFrame, ts: str = "taken_at", key: str = "id", by: list[str] | None = None, timed: bool = False
 ) -> DataFrame:
-    """(key, event_id) of items inside a window; the first window by (start, end, id) wins.
+    """(key, event_id) of items inside a window, ``timed`` with their time; the first window by (start, end, id) wins.
 
     ``by`` names owner columns of both tables: a window takes items of its own owner only.
     Windows are cut into blocks of days, at most two per power of two, see ``intervals``.
@@ -120,7 +125,8 @@ def absorb(
     hits = points_in_ranges(seen, day_number(F.col("_at")), spans, day_number(F.col("start_at")), day_number(F.col("end_at")), by)
     hits = hits.where(F.col("_at").between(F.col("start_at"), F.col("end_at")))
     first = F.min(F.struct("start_at", "end_at", "event_id"))
-    return hits.groupBy(F.col("_item").alias(key)).agg(first.alias("_w")).select(key, F.col("_w.event_id").alias("event_id"))
+    kept = [F.col("_item").alias(key), *([F.col("_at").alias(ts)] if timed else [])]
+    return hits.groupBy(*kept).agg(first.alias("_w")).select(key, *([ts] if timed else []), F.col("_w.event_id").alias("event_id"))
 
 
 def first_windows(windows: DataFrame) -> DataFrame:
@@ -168,9 +174,10 @@ def roll_up_small(
     by: list[str] | None = None,
     ts: str = "taken_at",
     key: str = "id",
+    timed: bool = False,
 ) -> DataFrame:
     """(key, kind, group_id): clusters that are large or special stay; the others' items go to
-    one bucket per month of the item itself. A group's id is its lowest item.
+    one bucket per month of the item itself. A group's id is its lowest item. ``timed`` rows have ``ts`` too.
 
     ``special`` holds the ``cluster`` ids that fall on an occasion.
     """
@@ -185,10 +192,10 @@ def roll_up_small(
         .withColumn("_cluster", F.when(F.col("kind") == "auto", F.col("cluster")))
         .select(*by, key, ts, "kind", "_month", "_cluster")
     )
-    bucket = [*by, "_month"]
+    bucket, kept = [*by, "_month"], [key, *([ts] if timed else []), "kind"]
     months = placed.where("kind = 'moments'").groupBy(*bucket).agg(F.min(key).alias("_first"))
-    moments = join_same(placed.where("kind = 'moments'"), months, bucket).select(key, "kind", F.col("_first").alias("group_id"))
-    autos = placed.where("kind = 'auto'").select(key, "kind", F.col("_cluster").alias("group_id"))
+    moments = join_same(placed.where("kind = 'moments'"), months, bucket).select(*kept, F.col("_first").alias("group_id"))
+    autos = placed.where("kind = 'auto'").select(*kept, F.col("_cluster").alias("group_id"))
     return autos.unionByName(moments)
 
 

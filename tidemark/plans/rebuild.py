@@ -94,8 +94,9 @@ def pick_heroes(events: DataFrame, members: DataFrame, items: DataFrame) -> Data
     return out.select(*events.columns)
 
 
-def refresh_events(lib: Library) -> Library:
-    members = cut(lib.live_members())
+def refresh_events(lib: Library, members: DataFrame | None = None) -> Library:
+    """``members``: the live members (event_id, id, taken_at), where they are at hand."""
+    members = cut(lib.live_members()) if members is None else members
     fitted = cut(fit_events(lib["events"], members))
     return lib.having(events=pick_heroes(fitted, members, lib.curation_items()))
 
@@ -107,7 +108,7 @@ def refresh_heroes(lib: Library) -> Library:
 
 def place_items(lib: Library, by: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sticky, absorbed, placed): items held by hand or by locked events, items inside a
-    locked window, and the regrouped rest as (id, kind, group_id).
+    locked window, and the regrouped rest as (id, kind, group_id). All have their ``taken_at``.
 
     ``by`` optionally names owner columns of ``media`` whose items are never mixed.
     """
@@ -118,26 +119,26 @@ def place_items(lib: Library, by: list[str] | None = None) -> tuple[DataFrame, D
     locked = events.where("locked")
     member_of = lib["event_media"].join(events.select(F.col("id").alias("event_id"), "locked"), "event_id")
     sticky = member_of.where((F.col("assigned_by") == "user") | F.col("locked")).select("media_id", "event_id", "assigned_by")
-    sticky = sticky.join(live.select(F.col("id").alias("media_id")), "media_id", "left_semi")
+    sticky = sticky.join(live.select(F.col("id").alias("media_id"), "taken_at"), "media_id")
     rest = live.join(sticky.select(F.col("media_id").alias("id")), "id", "left_anti")
     windows = locked.select(F.col("id").alias("event_id"), "start_at", "end_at")
     if by:
         # a locked event belongs to the owners of its items
         owners = lib["event_media"].join(lib["media"].select(F.col("id").alias("media_id"), *by), "media_id").select("event_id", *by).distinct()
         windows = windows.join(owners, "event_id")
-    absorbed = sessions.absorb(rest, windows, by=by)
+    absorbed = sessions.absorb(rest, windows, by=by, timed=True)
     absorbed = cut(absorbed)
     free = rest.join(absorbed.select("id"), "id", "left_anti")
 
     keys = [*by, "session", "place"]
-    clustered = cut(sessions.split_clusters(free, s.event_gap_hours, s.event_gps_km, by))
+    clustered = cut(sessions.split_clusters(free, s.event_gap_hours, s.event_gps_km, by, whole=False))
     spans = cut(sessions.cluster_spans(clustered, keys))
     small = spans.where(F.col("size") < s.event_min_photos).select(
         "cluster", F.col("start_at").cast("date").alias("start_date"), F.col("end_at").cast("date").alias("end_date")
     )
     recurring = recurring_dates(lib["occasions"], lib["persons"])
     special = on_any_occasion(small, lib["festivals"], recurring, key="cluster")
-    placed = sessions.roll_up_small(clustered, spans, keys, s.event_min_photos, special, by)
+    placed = sessions.roll_up_small(clustered, spans, keys, s.event_min_photos, special, by, timed=True)
     return sticky, absorbed, cut(placed)
 
 
@@ -147,9 +148,8 @@ def rebuild_events(lib: Library, by: list[str] | None = None) -> tuple[Library,
     Returns the library with new events and memberships, and a one-row summary.
     """
     sticky, absorbed, placed = place_items(lib, by)
-    live = lib["media"].where("not missing").select("id", "taken_at")
     events = lib["events"]
-    groups = placed.join(live, "id").groupBy("group_id", "kind").agg(
+    groups = placed.groupBy("group_id", "kind").agg(
         F.min("taken_at").alias("start_at"), F.max("taken_at").alias("end_at")
     )
     position = F.struct(
@@ -166,9 +166,9 @@ def rebuild_events(lib: Library, by: list[str] | None = None) -> tuple[Library,
 
     auto = F.lit("auto").alias("assigned_by")
     membership = (
-        sticky.select("media_id", "event_id", "assigned_by")
-        .unionByName(absorbed.select(F.col("id").alias("media_id"), "event_id", auto))
-        .unionByName(placed.join(ids, "group_id").select(F.col("id").alias("media_id"), "event_id", auto))
+        sticky.select("media_id", "event_id", "assigned_by", "taken_at")
+        .unionByName(absorbed.select(F.col("id").alias("media_id"), "event_id", auto, "taken_at"))
+        .unionByName(placed.join(ids, "group_id").select(F.col("id").alias("media_id"), "event_id", auto, "taken_at"))
     )
     kept = events.where(F.col("locked") | (F.col("kind") == "custom")).unionByName(
         open_events.where("kind <> 'custom'").join(reused.select(F.col("event_id").alias("id")), "id", "left_semi")
@@ -176,8 +176,10 @@ def rebuild_events(lib: Library, by: list[str] | None = None) -> tuple[Library,
     created = fresh.select(
         F.col("event_id").alias("id"), "kind", "start_at", "end_at", F.lit(False).alias("locked"), F.lit(False).alias("hero_by_user")
     )
-    lib = lib.having(event_media=cut(membership), events=kept.unionByName(created, allowMissingColumns=True))
-    out = refresh_events(lib)
+    membership = cut(membership)
+    lib = lib.having(event_media=membership.drop("taken_at"), events=kept.unionByName(created, allowMissingColumns=True))
+    # all of them are live, so they need not meet the items again
+    out = refresh_events(lib, membership.select("event_id", F.col("media_id").alias("id"), "taken_at"))
     out = out.having(events=cut(out["events"]))
     out = out.marked("events", max(top, highest_id(out["events"])))
     old_ids = events.select("id", "locked")
