@@ -2,9 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -303,3 +305,25 @@ def test_picks_keep_a_column(spark):
     assert kept.columns == [*plain.columns, "hero"] and sorted(kept.drop("hero").collect()) == sorted(plain.collect())
     of = {r[1]: r[3] for r in rows}
     assert all(r["hero"] == of[r["id"]] for r in kept.collect())
+
+
+def test_similarities_of_a_batch_are_held_in_slices(monkeypatch):
+    """A batch against many classes holds some of its similarities at once, whatever their number."""
+    taken = []
+    monkeypatch.setattr(vectors, "_against_classes", lambda items, classes, key, vector, cols, kernel, *rest: taken.append(kernel) or (items, False))
+    vectors.nearest_class(None, None, 0.1, forbidden="banned")
+    rng = np.random.default_rng(5)
+    rows, known = rng.normal(size=(3000, 16)), rng.normal(size=(6000, 16))
+    ids, named = rng.permutation(6000), rng.random(6000) < 0.5
+    banned = [[int(x) for x in rng.integers(0, 6000, 3)] if i % 10 == 0 else [] for i in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), pa.array(rows.tolist()), pa.array(banned, pa.list_(pa.int64()))], ["id", "_v", "banned"])
+    tracemalloc.start()
+    got = taken[0](batch, known, {"class_id": ids.tolist(), "named": named.tolist()})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    sims = rows @ known.T
+    for i, out in enumerate(banned):
+        if out:
+            sims[i, ~named | np.isin(ids, out)] = -np.inf
+    assert got["class_id"].to_pylist() == ids[sims.argmax(axis=1)].tolist()
+    assert np.allclose(got["similarity"].to_numpy(), sims.max(axis=1)) and peak < 3 * 8 * vectors.BLOCK_CELLS < rows.shape[0] * known.shape[0] * 8

@@ -17,34 +17,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordering import dense_index
-from tidemark.operators.vectors import BLOCK_BYTES, BLOCK_CELLS, BLOCK_ROWS, block_join, blocks_of, matrix
+from tidemark.operators.vectors import BLOCK_BYTES, BLOCK_ROWS, block_join, blocks_of, matrix, slices
 from tidemark.session import cut
 
 # links that are few enough to be followed one after the other in one task
 FEW_LINKS = 200_000
 
 
-def _slices(rows: int, columns: int):
-    step = max(1, BLOCK_CELLS // max(1, columns))
-    return ((low, min(rows, low + step)) for low in range(0, rows, step))
-
-
 def similar_pairs(rows: DataFrame, link: float, blocks: int) -> DataFrame:
     """(better, worse): places ``at`` of all rows whose vectors ``_v`` have a similarity of ``link``."""
 
-    def kernel(x: pa.Table, y: pa.Table) -> pa.RecordBatch:
+    def kernel(x: pa.Table, y: pa.Table) -> pa.Table:
         left, right = x["at"].to_numpy(), y["at"].to_numpy()
         a, b = matrix(x["_v"]), matrix(y["_v"])
         same = x["_lb"][0].as_py() == y["_rb"][0].as_py()
-        better, worse = [], []
-        for low, high in _slices(len(a), len(b)):
+        found = []
+        for low, high in slices(len(a), len(b)):
             i, j = np.nonzero(a[low:high] @ b.T >= link)
             i, j = left[low + i], right[j]
             if same:
                 i, j = i[i < j], j[i < j]
-            better.append(np.minimum(i, j))
-            worse.append(np.maximum(i, j))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (better, worse)], ["better", "worse"])
+            # a batch for each slice: the pairs of all are not put together once more
+            found.append(pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["better", "worse"]))
+        return pa.Table.from_batches(found)
 
     return block_join(rows, rows, "at", "at", blocks, blocks, kernel, "better bigint, worse bigint", triangle=True)
 
@@ -99,7 +94,7 @@ def _similar_to(rows: DataFrame, leaders: DataFrame, link: float, blocks: tuple[
         order = np.argsort(names, kind="stable")
         b, names = b[order], names[order]
         score, who = np.empty(len(a)), np.empty(len(a), np.int64)
-        for low, high in _slices(len(a), len(b)):
+        for low, high in slices(len(a), len(b)):
             sims = a[low:high] @ b.T
             top = sims.argmax(axis=1)
             score[low:high], who[low:high] = sims[np.arange(high - low), top], names[top]

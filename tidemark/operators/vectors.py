@@ -40,6 +40,18 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
 
 
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as Arrow lists, without a Python object for each number."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rows.ravel(), pa.float64()))
+
+
+def slices(rows: int, columns: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose similarities with so many columns a task may hold at once."""
+    step = max(1, BLOCK_CELLS // max(1, columns))
+    return ((low, min(rows, low + step)) for low in range(0, rows, step))
+
+
 def _summed(rows: DataFrame, schema: str) -> DataFrame:
     """(by, members, sum) with one row per class and task, from rows (by, members, sum).
 
@@ -54,7 +66,7 @@ def _summed(rows: DataFrame, schema: str) -> DataFrame:
         def out() -> pa.RecordBatch:
             counts, sums = zip(*held.values(), strict=True)
             return pa.RecordBatch.from_arrays(
-                [pa.array(list(held), kind), pa.array(counts, pa.int64()), pa.array([x.tolist() for x in sums], pa.list_(pa.float64()))], ["by", "members", "sum"]
+                [pa.array(list(held), kind), pa.array(counts, pa.int64()), _lists(np.stack(sums))], ["by", "members", "sum"]
             )
 
         for batch in batches:
@@ -121,7 +133,7 @@ def blocks_of(n: int, dim: int, rows: int = BLOCK_ROWS, size: int = BLOCK_BYTES)
 
 
 def block_join(left: DataFrame, right: DataFrame, key: str, right_key: str, n_left: int, n_right: int, kernel: Callable, schema: str, triangle: bool = False) -> DataFrame:
-    """``kernel(left table, right table)`` for each of the ``n_left`` x ``n_right`` pairs of blocks.
+    """``kernel(left table, right table)``, a batch or a table, for each of the ``n_left`` x ``n_right`` pairs of blocks.
 
     Rows are dealt out to blocks by hash, so neither a class nor a quality gathers in one. Each
     pair of blocks is a group of its own: a task holds two blocks, whatever the sizes of the sides.
@@ -143,7 +155,8 @@ def block_join(left: DataFrame, right: DataFrame, key: str, right_key: str, n_le
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
         if not x.num_rows or not y.num_rows:
             return target.empty_table()
-        return pa.Table.from_batches([kernel(x, y)]).cast(target)
+        found = kernel(x, y)
+        return (found if isinstance(found, pa.Table) else pa.Table.from_batches([found])).cast(target)
 
     return a.groupBy("_lb", "_rb").cogroup(b.groupBy("_lb", "_rb")).applyInArrow(run, schema)
 
@@ -202,14 +215,17 @@ def nearest_class(
     def kernel(batch: pa.RecordBatch, mat: np.ndarray, cols: list) -> pa.RecordBatch:
         order = np.argsort(np.asarray(cols["class_id"], dtype=np.int64), kind="stable")
         ids = np.asarray(cols["class_id"], dtype=np.int64)[order]
-        sims = matrix(batch.column("_v")) @ mat[order].T
-        if forbidden:
-            named = np.asarray(cols["named"], dtype=bool)[order]
-            for i, banned in enumerate(batch.column(forbidden).to_pylist()):
-                if banned:
-                    sims[i, ~named | np.isin(ids, banned)] = -np.inf
-        best = sims.argmax(axis=1)
-        score = sims[np.arange(len(sims)), best]
+        rows, known = matrix(batch.column("_v")), mat[order].T
+        named = np.asarray(cols["named"], dtype=bool)[order] if forbidden else None
+        best, score = np.empty(len(rows), np.int64), np.empty(len(rows))
+        for low, high in slices(len(rows), len(ids)):
+            sims = rows[low:high] @ known
+            if forbidden:
+                for i, banned in enumerate(batch.column(forbidden)[low:high].to_pylist()):
+                    if banned:
+                        sims[i, ~named | np.isin(ids, banned)] = -np.inf
+            top = sims.argmax(axis=1)
+            best[low:high], score[low:high] = top, sims[np.arange(high - low), top]
         keep = score >= threshold
         return pa.RecordBatch.from_arrays(
             [batch.column(key).filter(pa.array(keep)), pa.array(ids[best][keep]), pa.array(score[keep])],
