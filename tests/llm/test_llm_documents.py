@@ -338,6 +338,19 @@ def test_pieces_make_up_the_text(spark):
         assert "".join(r["p"]) == texts[r["i"]] and all(len(x) <= 2001 for x in r["p"])
 
 
+def test_rows_follow_the_rule_of_pieces(spark):
+    """The rule itself runs over texts with long lines only; all others give the same lines without it."""
+    rng = random.Random(16)
+    texts = ["", "\n", "\n\n", "a", "a\n", "\na", "a\n\nb", "a\r\nb\r", " \n ", "é漢\U0001f600\nx"]
+    texts += ["x" * n + end for n in (1998, 1999, 2000, 2001) for end in ("", "\n", "\nz")] + ["\U0001f600" * 1999 + "\nb", prose(rng, 900) + "\n" + prose(rng, 5)]
+    texts += ["".join(rng.choice("ab \n.") for _ in range(rng.randint(0, 12))) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pieces = F.regexp_extract_all("text", F.lit(fuzzy_lines.PIECES))
+    rule = docs.select(F.col("doc_id").alias("_id"), F.posexplode(F.when(F.size(pieces) == 0, F.array(F.lit(""))).otherwise(pieces)).alias("_line", "_text"))
+    want = rule.select("_id", "_line", fuzzy_lines.normalised(F.col("_text")).alias("_norm"))
+    assert sorted(fuzzy_lines._rows(docs).select("_id", "_line", "_norm").collect()) == sorted(want.collect())
+
+
 def test_a_last_line_is_cut_like_one_inside(spark):
     rng = random.Random(8)
     lines = {n: (" ".join(prose(rng, 12) + "." for _ in range(60)))[:n] for n in (500, 1999, 2000, 2500)}
