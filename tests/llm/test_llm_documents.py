@@ -13,7 +13,7 @@ import xxhash
 from data import DOCS, empty, messy, prose, row, word
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, fuzzy_lines, licenses, materialise, mixing, simhash, toxicity, winnowing
+from tidemark.llm import common, decontaminate, fuzzy_lines, licenses, materialise, mixing, simhash, toxicity, winnowing
 
 BLANK = r"[^\x20\x09-\x0D]+"
 
@@ -437,6 +437,32 @@ def test_edited_lines_meet(spark):
     assert dropped[2] >= 190 and dropped[1] <= 10
 
 
+def test_a_key_of_a_line_is_two_numbers(spark, monkeypatch):
+    """What is dealt out by key is dealt once and holds the key and the line's hash only."""
+    rng = random.Random(31)
+    texts = [prose(rng, 30) for _ in range(40)]
+    docs = spark.createDataFrame([(i, texts[i % 40] + ("" if i < 40 else " " + word(rng))) for i in range(80)], "doc_id long, text string")
+    plans = {}
+
+    def noted(df, name, **more):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return common.stored(df, name, **more)
+
+    monkeypatch.setattr(fuzzy_lines, "stored", noted)
+    assert sum(len(r["dropped"]) for r in fuzzy_lines.documents(docs).collect()) == 40
+    plan = plans["line-members"]
+    assert plan.count("Generate explode") == 1  # a second one would be another exchange of all keys
+    made = re.search(r"Project \[([^]]*)\]\n[^\n]*Generate explode", plan)[1]
+    assert re.findall(r"(\w+)#", re.sub(r"\w+#\d+L? AS ", "", made)) == ["key", "h"]
+
+
+def test_counters_of_a_full_line(spark):
+    """The most words that a piece can have, all alike: every counter is at its highest or at nothing."""
+    text = " ".join("a" for _ in range(1000))
+    row_ = fuzzy_lines._occurrences(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row_["_sim"] % (1 << 64) == xxhash.xxh64_intdigest(b"a", 42)
+
+
 def test_bits_of_the_blocks():
     assert inspect.signature(fuzzy_lines.decisions).parameters["distance"].default == 14
 
