@@ -438,7 +438,7 @@ def test_edited_lines_meet(spark):
 
 
 def test_a_key_of_a_line_is_two_numbers(spark, monkeypatch):
-    """What is dealt out by key is dealt once and holds the key and the line's hash only."""
+    """What is dealt out by key is dealt once and holds the key and the line's number only."""
     rng = random.Random(31)
     texts = [prose(rng, 30) for _ in range(40)]
     docs = spark.createDataFrame([(i, texts[i % 40] + ("" if i < 40 else " " + word(rng))) for i in range(80)], "doc_id long, text string")
@@ -453,7 +453,7 @@ def test_a_key_of_a_line_is_two_numbers(spark, monkeypatch):
     plan = plans["line-members"]
     assert plan.count("Generate explode") == 1  # a second one would be another exchange of all keys
     made = re.search(r"Project \[([^]]*)\]\n[^\n]*Generate explode", plan)[1]
-    assert re.findall(r"(\w+)#", re.sub(r"\w+#\d+L? AS ", "", made)) == ["key", "h"]
+    assert re.findall(r"(\w+)#", re.sub(r"\w+#\d+L? AS ", "", made)) == ["key", "line"]
 
 
 def test_counters_of_a_full_line(spark):
