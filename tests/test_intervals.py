@@ -85,6 +85,24 @@ def test_any_occasion_is_every_occasion(spark):
     assert sorted(x[0] for x in occasions.on_any_occasion(r, f, c).collect()) == sorted({x[0] for x in want})
 
 
+def test_ranges_of_the_same_days_meet_dates_once(spark, monkeypatch):
+    """Whatever the number of ranges, as many meet the dates as differ in their days."""
+    met, join = [], intervals.points_in_ranges
+
+    def counted(points, point, ranges, *rest):
+        met.append(max(points.count(), ranges.count()))
+        return join(points, point, ranges, *rest)
+
+    monkeypatch.setattr(occasions, "points_in_ranges", counted)
+    rows = [(i, date(2020, 1, 1 + i % 5), date(2020, 1, 1 + i % 5 + i % 2)) for i in range(600)]
+    r = spark.createDataFrame([*rows, (600, None, None)], "event_id long, start_date date, end_date date")
+    c = spark.createDataFrame([(1, 2, 2019), (1, 4, 2021)], "month int, day int, first_year int")
+    f = spark.createDataFrame([(date(2020, 1, 5), date(2020, 1, 7))], "start date, end date")
+    got = occasions.on_any_occasion(r, f, c).collect()
+    assert sorted(x[0] for x in got) == [i for i, s, e in rows if s <= date(2020, 1, 2) <= e or e >= date(2020, 1, 5)]
+    assert max(met) <= 11
+
+
 def test_first_windows(spark):
     """Stretches do not overlap and hold the first window of every moment."""
     rng = random.Random(5)

@@ -11,6 +11,7 @@ from tidemark.functions.dates import add_years, on_year, years_ago_label
 from tidemark.functions.text import FESTIVAL_NAMES, lookup, occasion_label
 from tidemark.operators.intervals import day_number, points_in_ranges
 from tidemark.operators.ordering import next_on_or_after
+from tidemark.session import cut
 
 EARLY_YEARS = "Early years"
 
@@ -136,15 +137,17 @@ def on_any_occasion(ranges: DataFrame, festivals: DataFrame, recurring: DataFram
     """The keys of the ranges that some festival or recurring date falls into.
 
     However many people share a birthday, a date of the year counts once: with the earliest of its
-    first years there are 366 dates at most.
+    first years there are 366 dates at most. Ranges of the same days are one range until the end.
     """
+    days = ["start_date", "end_date"]
     dates = recurring.groupBy("month", "day").agg(F.min(F.coalesce("first_year", F.lit(0))).alias("first_year"))
-    spans = ranges.select(F.col(key).alias("_range"), "start_date", "end_date")
-    days = _occurrences(ranges, dates).select("date").distinct()
-    recur = points_in_ranges(days, day_number(F.col("date")), spans, day_number(F.col("start_date")), day_number(F.col("end_date")))
+    spans = cut(ranges.select(*days).distinct())
+    on = _occurrences(spans, dates).select("date").distinct()
+    recur = points_in_ranges(on, day_number(F.col("date")), spans, day_number(F.col("start_date")), day_number(F.col("end_date")))
     windows = festivals.select(F.col("start").alias("_start"), F.col("end").alias("_end")).distinct()
     fest = overlaps(spans, windows, ("start_date", "end_date"), ("_start", "_end"))
-    return recur.select(F.col("_range").alias(key)).unionByName(fest.select(F.col("_range").alias(key))).distinct()
+    hit = recur.select(*days).unionByName(fest.select(*days)).distinct()
+    return ranges.join(hit, days, "left_semi").select(key).distinct()
 
 
 def occasion_hits(ranges: DataFrame, festivals: DataFrame, recurring: DataFrame, key: str = "event_id") -> DataFrame:
