@@ -417,6 +417,43 @@ def test_fuzzy_lines_against_all_pairs(spark):
     assert {(r["doc_id"], r["line"]) for r in decided if r["kept"] and r["group"] is not None} == set(firsts.values())
 
 
+def test_connected_lines_are_not_compared_again(spark, monkeypatch):
+    """Within a crowded key, only lines that the links to the keys' first lines leave apart are paired."""
+    rng, calls, verified = random.Random(22), [], fuzzy_lines._verified
+
+    def seen(pairs, *rest, **more):
+        found = verified(pairs, *rest, **more)
+        calls.append([[tuple(r) for r in x.collect()] for x in (pairs, found)])
+        return found
+
+    monkeypatch.setattr(fuzzy_lines, "_verified", seen)
+    lines = []
+    for base in (prose(rng, 30).split() for _ in range(3)):
+        for _ in range(30):
+            lines.append(" ".join(word(rng) if rng.random() < 0.09 else w for w in base))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    per = fuzzy_lines.documents(docs).collect()
+    root = {i: i for i in range(len(lines))}
+
+    def find(root, x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a in range(len(lines)):
+        for b in range(a):
+            longer = max(len(lines[a]), len(lines[b]))
+            if distance(lines[a], lines[b]) <= int(longer * 0.2 + 1e-9):
+                root[max(find(root, a), find(root, b))] = min(find(root, a), find(root, b))
+    assert {r["doc_id"] for r in per if r["kept"]} == {x for x in root if find(root, x) == x}
+    (star, close), (rest, _) = calls
+    parts = {}
+    for a, b in close:
+        parts[find(parts, a)] = find(parts, b)
+    assert len(star) > 50 and len(close) > 50
+    assert [(a, b) for a, b in rest if find(parts, a) == find(parts, b)] == []
+
+
 def test_edited_lines_meet(spark):
     """Lines against an edited copy each: nearly all with edit similarity 0.8 are found, whatever their bits are."""
     rng = random.Random(21)
